@@ -33,4 +33,5 @@ def load_all() -> None:
     """Import every plan module so that its queries register themselves."""
     from shelfwise.plans import (  # noqa: F401
         q_catalog,
+        q_search,
     )
