@@ -34,4 +34,5 @@ def load_all() -> None:
     from shelfwise.plans import (  # noqa: F401
         q_catalog,
         q_search,
+        q_accounts,
     )
