@@ -35,4 +35,5 @@ def load_all() -> None:
         q_catalog,
         q_search,
         q_accounts,
+        q_reports,
     )
