@@ -36,4 +36,5 @@ def load_all() -> None:
         q_search,
         q_accounts,
         q_reports,
+        q_changes,
     )
