@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -86,3 +87,48 @@ def rate_limit_audit(ev: DataFrame, span: int = DAY, total_limit: int = TOTAL_LI
                .when(F.col("ip_24h") >= address_limit, F.lit(VERDICT_ADDRESS))
                .otherwise(F.lit(VERDICT_ALLOWED)))
     return out.select("event_id", "event_time", "remote_ip", "total_24h", "ip_24h", verdict.alias("verdict"))
+
+
+ADMIT_SCHEMA = "event_id bigint, remote_ip string, event_time bigint, admitted boolean"
+
+
+def admit_rows(pdf: pd.DataFrame, admitted: list[int], limit: int, span: int) -> list[bool]:
+    """Admit rows (sorted by time) while fewer than ``limit`` were admitted in the
+    trailing ``span`` seconds; refused attempts do not count.  Mutates ``admitted``
+    (never longer than ``limit``)."""
+    flags = []
+    for t in pdf["event_time"]:
+        t = int(t)
+        admitted[:] = [a for a in admitted if a > t - span]
+        ok = len(admitted) < limit
+        if ok:
+            admitted.append(t)
+        flags.append(ok)
+    return flags
+
+
+def admit_batch(ev: DataFrame, limit: int = ADDRESS_LIMIT, span: int = DAY) -> DataFrame:
+    """STR-06 batch twin: admission per address over a whole table.
+
+    Admission is sequential within an address, so each address's rows are
+    hash-partitioned together and sorted by time; ``mapInPandas`` then walks the
+    sorted partition keeping only the last ``limit`` admitted times of the
+    current address: memory stays O(limit) however many rows one address has.
+    """
+    cr = ev.filter(F.col("event_type") == "create").select("event_id", "remote_ip", "event_time")
+    part = cr.repartition("remote_ip").sortWithinPartitions("remote_ip", "event_time", "event_id")
+
+    def run(batches):
+        cur, admitted = None, []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            # Rows are sorted by address: split the batch into its address runs.
+            starts = (pdf["remote_ip"] != pdf["remote_ip"].shift()).cumsum()
+            for _, g in pdf.groupby(starts, sort=False):
+                ip = g["remote_ip"].iat[0]
+                if ip != cur:
+                    cur, admitted = ip, []
+                yield g.assign(admitted=admit_rows(g, admitted, limit, span))
+
+    return part.mapInPandas(run, ADMIT_SCHEMA)

@@ -37,4 +37,5 @@ def load_all() -> None:
         q_accounts,
         q_reports,
         q_changes,
+        q_streams,
     )

@@ -56,7 +56,8 @@ def apply_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of ``BASE_CONF`` to an existing session."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.coalescePartitions.enabled",
-              "spark.sql.adaptive.skewJoin.enabled"):
+              "spark.sql.adaptive.skewJoin.enabled",
+              "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
 
