@@ -15,6 +15,9 @@ from shelfwise.streaming import streams as ST
 
 _DELAY_MS = 2 * 3600 * 1000
 _WM_MS = f"(SELECT (max(epoch_us(ts)) // 1000) - {_DELAY_MS} FROM events)"
+# STR-05's watermark follows its own input: lock (error), unlock (view) and session (click) events.
+_WM_MS_EXPIRY = (f"(SELECT (max(epoch_us(ts)) // 1000) - {_DELAY_MS} FROM events "
+                 f"WHERE event_type IN ('error', 'view', 'click'))")
 _IP = "concat('10.0.0.', cast(user_id % 50 AS varchar))"
 
 _INGEST_SQL = f"""SELECT event_id, user_id, event_type, value, {EPOCH} AS event_time FROM events
@@ -79,9 +82,9 @@ WITH a AS (SELECT event_id, user_id, {EPOCH} AS t, event_type FROM events WHERE
 lk AS (SELECT event_id, user_id, t, event_type, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next_t
        FROM a WHERE event_type IN ('error', 'view'))
 SELECT user_id, 'unlocked' AS kind, event_id AS ref_id, t + 300 AS due FROM lk
-WHERE event_type = 'error' AND ((next_t IS NOT NULL AND t + 300 <= next_t) OR (next_t IS NULL AND (t + 300) * 1000 <= {_WM_MS}))
+WHERE event_type = 'error' AND ((next_t IS NOT NULL AND t + 300 <= next_t) OR (next_t IS NULL AND (t + 300) * 1000 <= {_WM_MS_EXPIRY}))
 UNION ALL
-SELECT user_id, 'expired', event_id, t + 3600 FROM a WHERE event_type = 'click' AND (t + 3600) * 1000 <= {_WM_MS}""")
+SELECT user_id, 'expired', event_id, t + 3600 FROM a WHERE event_type = 'click' AND (t + 3600) * 1000 <= {_WM_MS_EXPIRY}""")
 def str05_expiry_events(spark, d):
     return runner.run_append(ST.expiry_events(ST.event_stream(spark, d)), "str05")
 

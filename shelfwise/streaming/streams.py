@@ -239,6 +239,8 @@ def expiry_events(events: DataFrame, delay: str = WATERMARK_DELAY, lock_ttl: int
     (click events) in, 'unlocked' and 'expired' rows out, by event-time timers."""
     et = F.col("event_type")
     kind = F.when(et == "error", "lock").when(et == "view", "unlock").when(et == "click", "session")
+    # The watermark follows the operator's own input (lock, unlock and session
+    # events); Catalyst would push the filter below it anyway.
     acts = events.select("event_id", "user_id", "event_ts", "event_time", kind.alias("kind")) \
         .filter(F.col("kind").isNotNull()).withWatermark("event_ts", delay)
     return acts.groupBy("user_id").transformWithStateInPandas(
