@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 
 
 def latest_value(log: DataFrame, keys: Sequence[str], order: str | Sequence[str],
-                 values: Sequence[str]) -> DataFrame:
-    """For each key keep the columns of the row with the greatest ``order``.
+                 values: Sequence[str], unique_order: bool = False) -> DataFrame:
+    """For each key keep the value columns of the row with the greatest ``order``.
 
     ``order`` may be several columns (compared left to right); ties on the
     whole order are broken by the value columns themselves (deterministic).
+    With ``unique_order=True`` (one order column, unique within each key, or
+    tied rows carrying equal values) ``max_by`` is used instead: for
+    fixed-width columns that runs as a hash aggregate rather than a sort.
     """
     order = [order] if isinstance(order, str) else list(order)
+    if unique_order and len(order) == 1:
+        o = F.col(order[0])
+        return log.groupBy(*keys).agg(*[F.max_by(F.col(v), o).alias(v) for v in values])
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in values])
     agg = log.groupBy(*keys).agg(F.max(packed).alias("_latest"))
     return agg.select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in order + list(values)]) \

@@ -56,20 +56,26 @@ def trailing_counts(ev: DataFrame, keys: Sequence[str], t: str, span: int = DAY)
     time in ``(t - span, t]``.  Returns (keys..., t, trailing)."""
     keys = list(keys)
     per_sec = ev.groupBy(*keys, t).agg(F.count(F.lit(1)).alias("c"))
-    probes = per_sec.select(*keys, (F.col(t) - F.lit(span)).alias(t), F.lit(0).cast("bigint").alias("c"))
-    pts = per_sec.unionByName(probes).groupBy(*keys, t).agg(F.sum("c").alias("c")) \
-        .withColumn("_b", F.floor(F.col(t) / F.lit(span)))
-    # Running sum inside (keys, bucket): bounded partitions.
+    # Real points and their probes (t - span, count 0) from one pass over per_sec.
+    both = per_sec.select(*keys, F.inline(F.array(
+        F.struct(F.col(t).alias(t), F.col("c").alias("c"), F.lit(True).alias("_real")),
+        F.struct((F.col(t) - F.lit(span)).alias(t), F.lit(0).cast("bigint").alias("c"),
+                 F.lit(False).alias("_real")))))
+    # Bounded by distinct (keys, second) pairs; pinned once so that the window,
+    # the bucket totals and the probe self-join below do not rescan the input.
+    pts = both.groupBy(*keys, t).agg(F.sum("c").alias("c"), F.max("_real").alias("_real")) \
+        .withColumn("_b", F.floor(F.col(t) / F.lit(span))).checkpoint()
+    # Running sum inside (keys, bucket): at most `span` rows per partition.
     w_in = Window.partitionBy(*keys, "_b").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
     run = pts.withColumn("_run", F.sum("c").over(w_in))
-    # Bucket bases: exclusive prefix sums over the bucket totals.
+    # Bucket bases: exclusive prefix sums over per-(keys, bucket) totals (bounded by the time range).
     totals = pts.groupBy(*keys, "_b").agg(F.sum("c").alias("_bt"))
     w_b = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
         .orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_bt").over(w_b), F.lit(0))).drop("_bt")
+    bases = totals.select(*keys, "_b", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).alias("_base"))
     cum = run.join(bases, [*keys, "_b"], "inner") \
-        .select(*keys, t, (F.col("_run") + F.col("_base")).alias("_cum"))
-    now = cum.join(per_sec.select(*keys, t), [*keys, t], "left_semi")
+        .select(*keys, t, "_real", (F.col("_run") + F.col("_base")).alias("_cum"))
+    now = cum.filter("_real").select(*keys, t, "_cum")
     before = cum.select(*keys, (F.col(t) + F.lit(span)).alias(t), F.col("_cum").alias("_cum_before"))
     return now.join(before, [*keys, t], "inner") \
         .select(*keys, t, (F.col("_cum") - F.col("_cum_before")).alias("trailing"))

@@ -124,7 +124,9 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
           .join(f, "function_id", "inner")
           .filter(F.col("user_id") != F.col("author_id"))
           .drop("author_id"))
-    return latest_value(ok, ["user_id", "function_id"], "seq", ["value"])
+    # seq ties within one (user, function) carry equal values (FIXTURES hazards), so the
+    # hash-aggregated max_by is exact here.
+    return latest_value(ok, ["user_id", "function_id"], "seq", ["value"], unique_order=True)
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -124,7 +124,7 @@ class LiveRatingProcessor(StatefulProcessor):
         n, total = self.agg.get() if self.agg.exists() else (0, 0)
         for uid, seq, value in zip(pdf["user_id"], pdf["seq"], pdf["value"]):
             uid, seq, value = int(uid), int(seq), int(value)
-            prev = self.by_user.getValue((uid,)) if self.by_user.containsKey((uid,)) else None
+            prev = self.by_user.getValue((uid,))   # None when the user has no rating yet
             if prev is None:
                 n, total = n + 1, total + value
             elif (seq, value) > (prev[0], prev[1]):
@@ -181,7 +181,8 @@ class ExpiryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lock = handle.getValueState("lock", "due bigint, ref bigint")
-        self.sessions = handle.getMapState("sessions", "session_id bigint", "due bigint")
+        # Sessions indexed by due second, so a firing timer finds its sessions directly.
+        self.sessions = handle.getMapState("sessions_by_due", "due bigint", "ids string")
 
     def _out(self, uid, rows) -> Iterator[pd.DataFrame]:
         if rows:
@@ -195,6 +196,7 @@ class ExpiryProcessor(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
         out = []
         pending = self.lock.get() if self.lock.exists() else None
+        new_sessions: dict[int, list[int]] = {}
         for eid, t, kind in zip(pdf["event_id"], pdf["event_time"], pdf["kind"]):
             eid, t = int(eid), int(t)
             if kind in ("lock", "unlock") and pending is not None:
@@ -205,9 +207,12 @@ class ExpiryProcessor(StatefulProcessor):
                 pending = (t + self.lock_ttl, eid)
                 self.handle.registerTimer(pending[0] * 1000)
             elif kind == "session":
-                due = t + self.session_ttl
-                self.sessions.updateValue((eid,), (due,))
-                self.handle.registerTimer(due * 1000)
+                new_sessions.setdefault(t + self.session_ttl, []).append(eid)
+        for due, ids in new_sessions.items():
+            prev = self.sessions.getValue((due,))
+            joined = ",".join(([prev[0]] if prev else []) + [str(i) for i in ids])
+            self.sessions.updateValue((due,), (joined,))
+            self.handle.registerTimer(due * 1000)
         if pending is None:
             self.lock.clear()
         else:
@@ -223,10 +228,10 @@ class ExpiryProcessor(StatefulProcessor):
             if p[0] <= due:
                 out.append(("unlocked", p[1], p[0]))
                 self.lock.clear()
-        for (sid,), (sdue,) in list(self.sessions.iterator()):
-            if sdue <= due:
-                out.append(("expired", sid, sdue))
-                self.sessions.removeKey((sid,))
+        ids = self.sessions.getValue((due,))
+        if ids is not None:
+            out.extend(("expired", int(i), due) for i in ids[0].split(","))
+            self.sessions.removeKey((due,))
         yield from self._out(uid, out)
 
     def close(self) -> None:
