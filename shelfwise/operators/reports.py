@@ -108,7 +108,7 @@ def conversation_messages(conv: DataFrame) -> DataFrame:
     sorted (and spilled if needed) rather than held as one array.
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return conv.select("conv_id", F.row_number().over(w).alias("pos"), "role",
+    return conv.select("conv_id", F.row_number().over(w).cast("bigint").alias("pos"), "role",
                        F.col("text").alias("content"))
 
 
@@ -156,7 +156,7 @@ TYPE_REPORT = T.StructType([T.StructField("generalDiagnostics", T.ArrayType(T.St
 def lint_findings(reports: DataFrame, key: str = "file_id", col: str = "report") -> DataFrame:
     """TXT-08: one row per lint finding plus its documentation link."""
     items = reports.select(key, F.posexplode(F.from_json(col, T.ArrayType(LINT_ITEM))).alias("idx", "f"))
-    return items.select(key, "idx", "f.type", "f.symbol", "f.message", F.col("f.`message-id`").alias("message_id"),
+    return items.select(key, F.col("idx").cast("bigint").alias("idx"), "f.type", "f.symbol", "f.message", F.col("f.`message-id`").alias("message_id"),
                         "f.obj", "f.line", "f.column", "f.endLine", "f.endColumn",
                         F.concat_ws("/", F.lit(LINT_DOC_BASE), F.col("f.type"),
                                     F.concat(F.col("f.symbol"), F.lit(".html"))).alias("link"))
@@ -165,7 +165,7 @@ def lint_findings(reports: DataFrame, key: str = "file_id", col: str = "report")
 def security_findings(reports: DataFrame, key: str = "file_id", col: str = "report") -> DataFrame:
     """TXT-09: one row per security finding; line/line_end = min/max of the line range."""
     items = reports.select(key, F.posexplode(F.from_json(col, T.ArrayType(SECURITY_ITEM))).alias("idx", "f"))
-    return items.select(key, "idx", "f.description", "f.test", "f.test_id", "f.cwe_id", "f.severity",
+    return items.select(key, F.col("idx").cast("bigint").alias("idx"), "f.description", "f.test", "f.test_id", "f.cwe_id", "f.severity",
                         "f.confidence", "f.object",
                         F.array_min("f.line_range").alias("line"), F.array_max("f.line_range").alias("line_end"),
                         "f.col", "f.col_end")
@@ -177,7 +177,7 @@ def type_findings(reports: DataFrame, key: str = "file_id", col: str = "report",
     rep = reports.filter(F.col(status) != 0)
     items = rep.select(key, F.posexplode(F.from_json(col, TYPE_REPORT).getField("generalDiagnostics"))
                        .alias("idx", "f"))
-    return items.select(key, "idx", "f.severity", "f.message",
+    return items.select(key, F.col("idx").cast("bigint").alias("idx"), "f.severity", "f.message",
                         (F.col("f.range.start.line") + 1).alias("line"),
                         (F.col("f.range.end.line") + 1).alias("endLine"),
                         F.col("f.range.start.character").alias("col"),

@@ -112,7 +112,7 @@ def agg02_avg_rating_or_zero(spark, d):
 
 
 @register("agg03_own_rating", with_views("""
-SELECT p.seq, p.function_id, p.user_id, coalesce(r.value, 0) AS own_rating
+SELECT p.seq, p.function_id, p.user_id, CAST(coalesce(r.value, 0) AS BIGINT) AS own_rating
 FROM rating_log p LEFT JOIN ratings r ON r.function_id = p.function_id AND r.user_id = p.user_id""",
     "rating_log", "ratings"))
 def agg03_own_rating(spark, d):
@@ -179,7 +179,7 @@ SELECT p.function_id, p.user_id, f.user_id AS author_id,
        f.name, f.usecase, a.username,
        array_to_string(list_transform(string_split(f.keywords, ','), lambda x: trim(x)), '|') AS keyword_list,
        coalesce({_round_sql('ra.s', 'ra.n', 0)}, 0.0) AS average,
-       coalesce(r.value, 0) AS own_rating
+       CAST(coalesce(r.value, 0) AS BIGINT) AS own_rating
 FROM p JOIN functions f ON f.function_id = p.function_id
 JOIN users a ON a.user_id = f.user_id
 LEFT JOIN users v ON v.user_id = p.user_id

@@ -345,7 +345,7 @@ def test_reports(spark, d) -> DataFrame:
 SELECT doc_id AS file_id, doc_id % 6 = 0 AS success,
        CASE doc_id % 6 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 4 WHEN 2 THEN doc_id % 7 + 3 - 1
                        ELSE 0 END AS ok,
-       CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS fail,
+       CAST(CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS BIGINT) AS fail,
        CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('f ', cast(doc_id AS varchar), chr(10), 'e ', cast(doc_id AS varchar))
                        ELSE 'Failed to run unit tests' END AS messages
 FROM documents""")

@@ -69,7 +69,7 @@ def str03_activity_sessions(spark, d):
 
 
 @register("str04_live_ratings", with_views("""
-SELECT function_id, count(*) AS n, sum(value) AS total,
+SELECT function_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS total,
        CAST(((sum(value) * 20 + count(*)) // (2 * count(*))) AS DOUBLE) / 10 AS average
 FROM ratings GROUP BY function_id""", "ratings"))
 def str04_live_ratings(spark, d):

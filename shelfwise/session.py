@@ -8,8 +8,10 @@ only when it is unset (local tests) do we choose one ourselves.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +51,7 @@ def get_session(master: str | None = None, app_name: str = "shelfwise",
         b = b.config(k, v)
     spark = b.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -60,6 +63,41 @@ def apply_conf(spark: SparkSession) -> None:
               "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by every Python worker (executors, and the
+    driver-side runner of stateful stream processors) with ``addPyFile``, as
+    ``--py-files`` would.  Done once per SparkContext."""
+    # Functions and stateful-processor classes of this package are pickled by
+    # value, so even Python runners that never see --py-files (the driver-side
+    # runner of transformWithStateInPandas) need not import it.
+    import sys as _sys
+
+    from pyspark import cloudpickle
+
+    pkg_mod = _sys.modules[__name__.split(".")[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg_mod)
+    except ValueError:
+        pass  # already registered
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="shelfwise-pyfiles-"), "shelfwise.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -88,5 +126,5 @@ def local_dir_of(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path",
+__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "ship_package",
            "BASE_CONF", "local_dir_of"]
