@@ -29,6 +29,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Commit only the changelog of each batch; snapshots are written in the background.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -60,7 +62,8 @@ def apply_conf(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.coalescePartitions.enabled",
               "spark.sql.adaptive.skewJoin.enabled",
-              "spark.sql.streaming.stateStore.providerClass"):
+              "spark.sql.streaming.stateStore.providerClass",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
     ship_package(spark)

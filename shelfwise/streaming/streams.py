@@ -121,10 +121,11 @@ class LiveRatingProcessor(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True)
         # Within a batch, only each user's latest submission matters.
         pdf = pdf.sort_values(["user_id", "seq", "value"]).drop_duplicates("user_id", keep="last")
-        n, total = self.agg.get() if self.agg.exists() else (0, 0)
+        fresh = not self.agg.exists()          # a function seen for the first time has no users yet
+        n, total = (0, 0) if fresh else self.agg.get()
         for uid, seq, value in zip(pdf["user_id"], pdf["seq"], pdf["value"]):
             uid, seq, value = int(uid), int(seq), int(value)
-            prev = self.by_user.getValue((uid,))   # None when the user has no rating yet
+            prev = None if fresh else self.by_user.getValue((uid,))
             if prev is None:
                 n, total = n + 1, total + value
             elif (seq, value) > (prev[0], prev[1]):
@@ -173,7 +174,13 @@ EXPIRY_SCHEMA = "user_id bigint, kind string, ref_id bigint, due bigint"
 class ExpiryProcessor(StatefulProcessor):
     """Per user: a pending lock expires ``lock_ttl`` s after it was set (unless
     unlocked or re-locked first); each session expires ``session_ttl`` s after
-    creation.  Event-time timers emit 'unlocked' / 'expired' rows."""
+    creation.  Emits 'unlocked' / 'expired' rows by event time.
+
+    One event-time timer per user, at the earliest pending expiry.  When it
+    fires, everything due up to the current watermark is emitted in one sweep
+    and the timer is re-armed at the next pending expiry, so state calls grow
+    with the pending items, not with the events.
+    """
 
     def __init__(self, lock_ttl: int = LOCK_TTL, session_ttl: int = SESSION_TTL):
         self.lock_ttl, self.session_ttl = lock_ttl, session_ttl
@@ -181,8 +188,8 @@ class ExpiryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lock = handle.getValueState("lock", "due bigint, ref bigint")
-        # Sessions indexed by due second, so a firing timer finds its sessions directly.
         self.sessions = handle.getMapState("sessions_by_due", "due bigint", "ids string")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
 
     def _out(self, uid, rows) -> Iterator[pd.DataFrame]:
         if rows:
@@ -191,6 +198,17 @@ class ExpiryProcessor(StatefulProcessor):
                                 "ref_id": pd.array([int(r[1]) for r in rows], dtype="int64"),
                                 "due": pd.array([int(r[2]) for r in rows], dtype="int64")})
 
+    def _arm(self, earliest_due: int | None) -> None:
+        """Make sure a timer is set at ``earliest_due`` (seconds); None clears it."""
+        if earliest_due is None:
+            self.timer.clear()
+            return
+        at = earliest_due * 1000
+        current = self.timer.get()[0] if self.timer.exists() else None
+        if current != at:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         uid = int(key[0])
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
@@ -205,33 +223,43 @@ class ExpiryProcessor(StatefulProcessor):
                 pending = None
             if kind == "lock":
                 pending = (t + self.lock_ttl, eid)
-                self.handle.registerTimer(pending[0] * 1000)
             elif kind == "session":
                 new_sessions.setdefault(t + self.session_ttl, []).append(eid)
+        fresh = not self.sessions.exists()
         for due, ids in new_sessions.items():
-            prev = self.sessions.getValue((due,))
+            prev = None if fresh else self.sessions.getValue((due,))
             joined = ",".join(([prev[0]] if prev else []) + [str(i) for i in ids])
             self.sessions.updateValue((due,), (joined,))
-            self.handle.registerTimer(due * 1000)
         if pending is None:
             self.lock.clear()
         else:
             self.lock.update(pending)
+        candidates = [d for d in (pending[0] if pending else None,
+                                  min(new_sessions) if new_sessions else None,
+                                  self.timer.get()[0] // 1000 if self.timer.exists() else None)
+                      if d is not None]
+        self._arm(min(candidates) if candidates else None)
         yield from self._out(uid, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         uid = int(key[0])
-        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        out = []
+        wm = timerValues.getCurrentWatermarkInMs()
+        out, remaining = [], []
         if self.lock.exists():
-            p = self.lock.get()
-            if p[0] <= due:
-                out.append(("unlocked", p[1], p[0]))
+            due, ref = self.lock.get()
+            if due * 1000 <= wm:
+                out.append(("unlocked", ref, due))
                 self.lock.clear()
-        ids = self.sessions.getValue((due,))
-        if ids is not None:
-            out.extend(("expired", int(i), due) for i in ids[0].split(","))
-            self.sessions.removeKey((due,))
+            else:
+                remaining.append(due)
+        for (due,), (ids,) in list(self.sessions.iterator()):
+            if due * 1000 <= wm:
+                out.extend(("expired", int(i), due) for i in ids.split(","))
+                self.sessions.removeKey((due,))
+            else:
+                remaining.append(due)
+        self.timer.clear()
+        self._arm(min(remaining) if remaining else None)
         yield from self._out(uid, out)
 
     def close(self) -> None:
