@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # white space removed by str.strip, and the line boundaries of str.splitlines.
 PY_STRIP_RX = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 PY_LINE_RX = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Line boundaries other than a plain newline (rare in practice).
+RARE_BREAK_RX = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _c(c) -> Column:
@@ -31,12 +33,26 @@ def contains_ci(c, term) -> Column:
     return F.contains(F.lower(_c(c)), F.lower(t))
 
 
-def split_lines(c) -> Column:
-    """Python ``str.splitlines()``: split on line boundaries, drop one trailing empty item."""
-    parts = F.split(_c(c), PY_LINE_RX, -1)
+def split_line_parts(c) -> Column:
+    """The raw line split (Python's boundaries); ``drop_trailing_empty`` completes ``splitlines``."""
+    c = _c(c)
+    # Texts with only '\n' breaks take the single-character split (no regex engine).
+    return F.when(c.rlike(RARE_BREAK_RX), F.split(c, PY_LINE_RX, -1)).otherwise(F.split(c, "\n", -1))
+
+
+def drop_trailing_empty(parts) -> Column:
+    parts = _c(parts)
     n = F.size(parts)
-    return F.when((n > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, n - 1)) \
-        .otherwise(parts)
+    return F.when((n > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, n - 1)).otherwise(parts)
+
+
+def split_lines(c) -> Column:
+    """Python ``str.splitlines()``: split on line boundaries, drop one trailing empty item.
+
+    (In a hot path, project ``split_line_parts`` first and apply ``drop_trailing_empty``
+    on top, so the split is computed once per row.)
+    """
+    return drop_trailing_empty(split_line_parts(c))
 
 
 def split_keywords(c) -> Column:

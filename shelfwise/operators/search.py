@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from shelfwise.functions.text import contains_ci, highlight, split_keywords, split_lines
+from shelfwise.functions.text import (contains_ci, drop_trailing_empty, highlight, split_keywords,
+                                      split_line_parts)
 from shelfwise.operators.joins import bounded_broadcast, row_count_at_most
 
 RESULT_CODE = "source code"
@@ -36,8 +37,10 @@ def search_field(f: DataFrame, field: str, term: str) -> DataFrame:
 def search_lines(f: DataFrame, term: str) -> DataFrame:
     """PRJ-02: one row per code line containing ``term`` (case-sensitive), for code
     rows that contain it case-insensitively.  ``line_no`` is 1-based."""
-    hits = f.filter(contains_ci("code", term)).select(
-        "function_id", "name", F.posexplode(split_lines(F.col("code"))).alias("pos", "line"))
+    parts = f.filter(contains_ci("code", term)).select(
+        "function_id", "name", split_line_parts(F.col("code")).alias("_parts"))
+    hits = parts.select("function_id", "name",
+                        F.posexplode(drop_trailing_empty("_parts")).alias("pos", "line"))
     return hits.filter(F.contains(F.col("line"), F.lit(term))).select(
         F.lit(RESULT_CODE).alias("result_type"), "function_id",
         F.col("name").alias("function_name"), F.col("line").alias("context"),
