@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from shelfwise.functions.pyhelpers import decode_escapes_udf, function_gate_udf, unittest_gate_udf
 from shelfwise.functions.text import py_strip
@@ -104,12 +103,14 @@ def build_messages(c, task: str) -> Column:
 def conversation_messages(conv: DataFrame) -> DataFrame:
     """TXT-05: messages of each conversation in turn order, with 1-based ``pos``.
 
-    A row-number window, not a collected list: a very long conversation is
-    sorted (and spilled if needed) rather than held as one array.
+    Positions come from range-partitioned numbering, not a window per
+    conversation, so one very long conversation is spread over many tasks.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return conv.select("conv_id", F.row_number().over(w).cast("bigint").alias("pos"), "role",
-                       F.col("text").alias("content"))
+    from shelfwise.sources.writers import sequential_ids
+
+    msgs = conv.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return sequential_ids(msgs, ["turn"], "pos", start=1, group=["conv_id"]) \
+        .select("conv_id", F.col("pos").cast("bigint").alias("pos"), "role", "content")
 
 
 def code_gate(df: DataFrame, col: str) -> DataFrame:

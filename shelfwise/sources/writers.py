@@ -21,19 +21,27 @@ from shelfwise.session import ensure_checkpoint_dir
 
 
 def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int = 1,
-                   partitions: int | None = None) -> DataFrame:
-    """Add ``id_col`` = start, start + 1, ... in ``order`` (which must be unique)."""
+                   partitions: int | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """Add ``id_col`` = start, start + 1, ... in ``order`` (unique within a group).
+
+    With ``group`` the numbering restarts in every group.  A group may span
+    several range partitions (a hot group is spread over many tasks); its
+    offset in each partition is the count of its rows in earlier partitions.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    group = list(group)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_rp").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per range partition: tiny and bounded by n, so a global window is fine here.
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0))).drop("_n")
-    w = Window.partitionBy("_rp").orderBy(*order)
-    return ranged.join(F.broadcast(offsets), "_rp") \
+    ranged = df.repartitionByRange(n, *group, *order).withColumn("_rp", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_rp", *group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = before.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per (range, group): at most `n` rows per group.
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if not group:
+        offsets = F.broadcast(offsets)   # exactly one row per range partition
+    w = Window.partitionBy("_rp", *group).orderBy(*order)
+    return ranged.join(offsets, ["_rp", *group]) \
         .withColumn(id_col, F.lit(start) + F.col("_off") + F.row_number().over(w) - 1) \
         .drop("_rp", "_off")
 

@@ -169,3 +169,15 @@ def test_marker_range(spark):
 def test_pandas_helpers_are_plain_functions():
     s = pd.Series(["a\\nb", None])
     assert s.map(PH.decode_escapes, na_action="ignore").tolist()[0] == "a\nb"
+
+
+def test_grouped_sequential_ids_split_hot_group(spark):
+    rows = [(1, t) for t in range(3000)] + [(g, t) for g in range(2, 40) for t in range(5)]
+    df = spark.createDataFrame(rows, "g bigint, t bigint")
+    out = W.sequential_ids(df, ["t"], "pos", start=1, partitions=8, group=["g"]).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.g, []).append((r.t, r.pos))
+    for g, pairs in by.items():
+        pairs.sort()
+        assert [p for _, p in pairs] == list(range(1, len(pairs) + 1)), g
