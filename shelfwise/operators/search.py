@@ -20,7 +20,7 @@ from pyspark.sql import Window
 
 from shelfwise.functions.text import (contains_ci, drop_trailing_empty, highlight, split_keywords,
                                       split_line_parts)
-from shelfwise.operators.joins import bounded_broadcast, row_count_at_most
+from shelfwise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 
 RESULT_CODE = "source code"
 FIELDS = ("keywords", "usecase", "code")
@@ -86,13 +86,18 @@ def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def _ngrams(s: Column, n: int) -> Column:
-    """Distinct character n-grams of ``s`` (empty when shorter than n)."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, n))
-    return F.when(F.length(s) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of ``s`` (empty when shorter than n).
+
+    One linear regex pass with an overlapping lookahead; a ``substring`` per
+    position would rescan the UTF-8 string from its start each time (quadratic
+    on long documents).
+    """
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
-                nested_loop_max: int = NESTED_LOOP_MAX_TERMS) -> DataFrame:
+                nested_loop_max: int = NESTED_LOOP_MAX_TERMS,
+                broadcast_max: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """PRJ-03: every (term, function, field) where the field contains the term
     (case-insensitive literal).  ``terms`` has a ``term`` column."""
     t = terms.select("term").where(F.col("term").isNotNull()).distinct() \
@@ -107,28 +112,43 @@ def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
     if not row_count_at_most(t.where(F.length("lt") == 0), 0):
         parts.append(docs.select(F.lit("").alias("term"), "function_id", "result_type"))
     keys = docs.select("function_id", "result_type", "ltext")
+    # One row per term in every per-term table below: one bound on the terms covers them.
+    small = row_count_at_most(t, broadcast_max)
     for n, cond in ((1, F.length("lt") == 1), (2, F.length("lt") == 2), (3, F.length("lt") >= 3)):
         tn = t.where(cond)
         if row_count_at_most(tn, 0):
             continue
-        parts.append(_ngram_join(keys, tn, n))
+        parts.append(_ngram_join(keys, tn, n, small))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _ngram_join(docs: DataFrame, t: DataFrame, n: int) -> DataFrame:
-    """Join terms to rows through each term's rarest n-gram, then verify."""
+def _ngram_join(docs: DataFrame, t: DataFrame, n: int, small_terms: bool) -> DataFrame:
+    """Join terms to rows through each term's rarest n-gram, then verify.
+
+    ``small_terms``: the term table was measured within the broadcast bound, so
+    the per-term tables are broadcast and each row's candidate list (bounded by
+    the term count) is verified in one pass over the row's text.  Otherwise the
+    joins shuffle and every candidate pair is verified on its own.
+    """
+    bc = F.broadcast if small_terms else (lambda x: x)
     dg = docs.select("function_id", "result_type", F.explode(_ngrams(F.col("ltext"), n)).alias("g"))
     tg = t.select("term", "lt", F.explode(_ngrams(F.col("lt"), n)).alias("g"))
-    wanted = bounded_broadcast(tg.select("g").distinct())
-    freq = dg.join(wanted, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    freq = dg.join(bc(tg.select("g").distinct()), "g", "left_semi") \
+        .groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("term").orderBy(F.asc("df"), F.asc("g"))
     choice = tg.join(freq, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))) \
         .withColumn("_r", F.row_number().over(w)).where("_r = 1").select("term", "lt", "g")
-    cand = dg.join(bounded_broadcast(choice), "g", "inner") \
-        .select("function_id", "result_type", "term", "lt")
-    verified = cand.join(docs, ["function_id", "result_type"], "inner") \
-        .where(F.contains(F.col("ltext"), F.col("lt")))
-    return verified.select("term", "function_id", "result_type")
+    cand = dg.join(bc(choice), "g", "inner").select("function_id", "result_type", "term", "lt")
+    if not small_terms:
+        return cand.join(docs, ["function_id", "result_type"], "inner") \
+            .where(F.contains(F.col("ltext"), F.col("lt"))).select("term", "function_id", "result_type")
+    # The text moves once per row, not once per candidate.
+    per_row = cand.groupBy("function_id", "result_type") \
+        .agg(F.collect_list(F.struct("term", "lt")).alias("_cands"))
+    verified = per_row.join(docs, ["function_id", "result_type"], "inner").select(
+        "function_id", "result_type",
+        F.explode(F.filter("_cands", lambda x: F.contains(F.col("ltext"), x["lt"]))).alias("_m"))
+    return verified.select(F.col("_m.term").alias("term"), "function_id", "result_type")

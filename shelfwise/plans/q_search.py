@@ -101,6 +101,15 @@ def prj03_search_many_short(spark, d):
     return S.search_many(view(spark, d, "functions"), terms)
 
 
+@register("prj03_search_many_words", with_views(
+    "WITH terms AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS term FROM benchmark)" + _MANY_SQL,
+    "functions"))
+def prj03_search_many_words(spark, d):
+    # Terms: every word of the benchmark passages (thousands of terms): the n-gram equi-join path.
+    terms = load(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
+    return S.search_many(view(spark, d, "functions"), terms)
+
+
 @register("prj14_normalise_keywords", with_views("""
 SELECT function_id,
        array_to_string(list_sort(list_distinct(list_transform(string_split(keywords, ','), lambda x: trim(x)))), ', ')

@@ -119,7 +119,8 @@ def test_search_many_paths_agree(spark):
                                   "term string")
     a = sorted(S.search_many(f, terms).collect())
     b = sorted(S.search_many(f, terms, nested_loop_max=0).collect())
-    assert a == b and len(a) > 0
+    c = sorted(S.search_many(f, terms, nested_loop_max=0, broadcast_max=0).collect())
+    assert a == b == c and len(a) > 0
 
 
 def test_parse_keywords_strictness(spark):
