@@ -21,6 +21,7 @@ from pyspark.sql import Window
 from shelfwise.functions.text import (contains_ci, drop_trailing_empty, highlight, split_keywords,
                                       split_line_parts)
 from shelfwise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
+from shelfwise.sources.writers import sequential_ids
 
 RESULT_CODE = "source code"
 FIELDS = ("keywords", "usecase", "code")
@@ -77,12 +78,15 @@ def library_keywords(f: DataFrame) -> DataFrame:
 
 # Up to this many terms are broadcast and tested against every row.
 NESTED_LOOP_MAX_TERMS = 64
+# How many of a term's rarest n-grams a row must hold to be verified.
+PREFILTER_NGRAMS = 2
 
 
 def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(function_id, result_type, text) with one row per (function, field)."""
+    """(function_id, fidx, result_type, text) with one row per (function, field)."""
     return f.select("function_id", F.inline(F.array(*[
-        F.struct(F.lit(fld).alias("result_type"), F.col(fld).alias("text")) for fld in fields])))
+        F.struct(F.lit(i).alias("fidx"), F.lit(fld).alias("result_type"), F.col(fld).alias("text"))
+        for i, fld in enumerate(fields)])))
 
 
 def _ngrams(s: Column, n: int) -> Column:
@@ -104,6 +108,7 @@ def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
         .withColumn("lt", F.lower("term"))
     docs = _long_form(f, fields).where(F.col("text").isNotNull()) \
         .withColumn("ltext", F.lower("text"))
+    names = F.array(*[F.lit(fld) for fld in fields])
     if row_count_at_most(t, nested_loop_max):
         j = docs.join(F.broadcast(t), F.contains(F.col("ltext"), F.col("lt")), "inner")
         return j.select("term", "function_id", "result_type")
@@ -111,14 +116,22 @@ def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
     # The empty term (at most one distinct row) matches every non-null field.
     if not row_count_at_most(t.where(F.length("lt") == 0), 0):
         parts.append(docs.select(F.lit("").alias("term"), "function_id", "result_type"))
-    keys = docs.select("function_id", "result_type", "ltext")
+    keys = docs.select("function_id", "fidx", "ltext")
     # One row per term in every per-term table below: one bound on the terms covers them.
     small = row_count_at_most(t, broadcast_max)
+    # Integer term ids keep the candidate joins and counts on fixed-width keys.  The
+    # numbering is deterministic and exact: a rank over the measured (bounded) term
+    # table, or range-partitioned numbering for a large one.
+    if small:
+        t = t.withColumn("tid", F.dense_rank().over(Window.orderBy("term")))
+    else:
+        t = sequential_ids(t, ["term"], "tid")
     for n, cond in ((1, F.length("lt") == 1), (2, F.length("lt") == 2), (3, F.length("lt") >= 3)):
         tn = t.where(cond)
         if row_count_at_most(tn, 0):
             continue
-        parts.append(_ngram_join(keys, tn, n, small))
+        parts.append(_ngram_join(keys, tn, n, small)
+                     .select("term", "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -126,29 +139,28 @@ def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
 
 
 def _ngram_join(docs: DataFrame, t: DataFrame, n: int, small_terms: bool) -> DataFrame:
-    """Join terms to rows through each term's rarest n-gram, then verify.
+    """Join terms to rows through their rarest n-grams, then verify.
 
-    ``small_terms``: the term table was measured within the broadcast bound, so
-    the per-term tables are broadcast and each row's candidate list (bounded by
-    the term count) is verified in one pass over the row's text.  Otherwise the
-    joins shuffle and every candidate pair is verified on its own.
+    ``docs``: (function_id, fidx, ltext); ``t``: (term, lt, tid).  A row is a
+    candidate for a term only if it holds all of the term's (up to
+    PREFILTER_NGRAMS) rarest n-grams.  ``small_terms``: the term table was
+    measured within the broadcast bound, so per-term tables are broadcast;
+    otherwise those joins shuffle too.  Returns (term, function_id, fidx).
     """
     bc = F.broadcast if small_terms else (lambda x: x)
-    dg = docs.select("function_id", "result_type", F.explode(_ngrams(F.col("ltext"), n)).alias("g"))
-    tg = t.select("term", "lt", F.explode(_ngrams(F.col("lt"), n)).alias("g"))
+    dg = docs.select("function_id", "fidx", F.explode(_ngrams(F.col("ltext"), n)).alias("g"))
+    tg = t.select("tid", F.explode(_ngrams(F.col("lt"), n)).alias("g"))
     freq = dg.join(bc(tg.select("g").distinct()), "g", "left_semi") \
         .groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("term").orderBy(F.asc("df"), F.asc("g"))
+    w = Window.partitionBy("tid").orderBy(F.asc("df"), F.asc("g"))
     choice = tg.join(freq, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))) \
-        .withColumn("_r", F.row_number().over(w)).where("_r = 1").select("term", "lt", "g")
-    cand = dg.join(bc(choice), "g", "inner").select("function_id", "result_type", "term", "lt")
-    if not small_terms:
-        return cand.join(docs, ["function_id", "result_type"], "inner") \
-            .where(F.contains(F.col("ltext"), F.col("lt"))).select("term", "function_id", "result_type")
-    # The text moves once per row, not once per candidate.
-    per_row = cand.groupBy("function_id", "result_type") \
-        .agg(F.collect_list(F.struct("term", "lt")).alias("_cands"))
-    verified = per_row.join(docs, ["function_id", "result_type"], "inner").select(
-        "function_id", "result_type",
-        F.explode(F.filter("_cands", lambda x: F.contains(F.col("ltext"), x["lt"]))).alias("_m"))
-    return verified.select(F.col("_m.term").alias("term"), "function_id", "result_type")
+        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= PREFILTER_NGRAMS) \
+        .withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("tid"))).select("tid", "g", "_k")
+    cand = dg.join(bc(choice), "g", "inner") \
+        .groupBy("function_id", "fidx", "tid", "_k").agg(F.count(F.lit(1)).alias("_hits")) \
+        .where(F.col("_hits") == F.col("_k")).select("function_id", "fidx", "tid") \
+        .join(bc(t.select("tid", "term", "lt")), "tid", "inner")
+    # Verify each candidate pair: a sort-merge (or broadcast) join streams the text past
+    # its candidates; nothing is collected per row.
+    return cand.join(docs, ["function_id", "fidx"], "inner") \
+        .where(F.contains(F.col("ltext"), F.col("lt"))).select("term", "function_id", "fidx")
