@@ -142,14 +142,26 @@ def permissions(pairs: DataFrame, f: DataFrame, u: DataFrame) -> DataFrame:
 
 def function_view(pairs: DataFrame, f: DataFrame, u: DataFrame, r: DataFrame) -> DataFrame:
     """AGG-07: the function page record for (function_id, user_id=viewer) pairs:
-    details, keyword list, average (0 digits, unrated 0), own rating, permissions."""
-    perm = permissions(pairs, f, u)
-    det = function_details(f.select("function_id", "user_id", "name", "usecase", "keywords"), u) \
-        .select("function_id", "name", "usecase", "username",
-                split_keywords(F.col("keywords")).alias("keyword_list"))
-    ids = pairs.select("function_id").distinct()
-    avg = avg_rating_or_zero(ids, r).select("function_id", "average")
-    own = own_rating(pairs.select("function_id", "user_id").distinct(), r)
-    return (perm.join(det, "function_id", "inner")
-            .join(avg, "function_id", "left")
-            .join(own, ["function_id", "user_id"], "left"))
+    details, keyword list, average (0 digits, unrated 0), own rating, permissions.
+
+    One detail join (function + author name) and one per-(function, user) rating
+    aggregate feed everything; the average is re-aggregated from that aggregate.
+    """
+    fd = f.select("function_id", F.col("user_id").alias("author_id"), "name", "usecase",
+                  split_keywords(F.col("keywords")).alias("keyword_list")) \
+        .join(u.select(F.col("user_id").alias("author_id"), "username"), "author_id", "inner")
+    per_pair = r.groupBy("function_id", "user_id").agg(F.sum("value").alias("_own"),
+                                                     F.count("value").alias("_n"))
+    avg = per_pair.groupBy("function_id").agg(F.sum("_n").alias("_cnt"), F.sum("_own").alias("_tot")) \
+        .select("function_id", round_half_up(exact_mean(F.col("_tot"), F.col("_cnt")), 0).alias("average"))
+    viewers = u.select("user_id", F.col("admin").alias("_viewer_admin"))
+    j = (pairs.join(fd, "function_id", "inner")
+         .join(viewers, "user_id", "left")
+         .join(avg, "function_id", "left")
+         .join(per_pair.select("function_id", "user_id", "_own"), ["function_id", "user_id"], "left"))
+    owner = F.col("author_id") == F.col("user_id")
+    return j.select(*pairs.columns, "author_id",
+                    (owner | F.coalesce(F.col("_viewer_admin"), F.lit(False))).alias("may_delete"),
+                    (~owner).alias("may_rate"), "name", "usecase", "username", "keyword_list",
+                    F.coalesce(F.col("average"), F.lit(0.0)).alias("average"),
+                    F.coalesce(F.col("_own"), F.lit(0)).cast("bigint").alias("own_rating"))
