@@ -40,6 +40,15 @@ def role(admin="admin") -> Column:
     return F.when(a, F.lit("admin")).otherwise(F.lit("user"))
 
 
+def user_view(u: DataFrame, as_of, ttl: int = LOCKOUT_DURATION) -> DataFrame:
+    """PRJ-06/07/09/11 together: a user as the application sees it at ``as_of``."""
+    from shelfwise.functions.timecols import fmt_epoch
+
+    return u.select("user_id", "username", role("admin").alias("role"),
+                    status_col(F.col("disabled"), F.col("locked"), F.col("verified"), as_of, ttl).alias("status"),
+                    lock_active("locked", as_of, ttl).alias("locked"), fmt_epoch("created").alias("created"))
+
+
 def status_col(disabled: Column, locked: Column, verified: Column, as_of,
                ttl: int = LOCKOUT_DURATION) -> Column:
     """PRJ-07 as an expression: disabled or lock active -> rejected; not verified -> unverified; else ok."""

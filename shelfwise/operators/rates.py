@@ -51,6 +51,11 @@ def recent_creates_by_ip(ev: DataFrame, as_of: int, span: int = DAY) -> DataFram
         .groupBy("remote_ip").agg(F.count(F.lit(1)).alias("creates"))
 
 
+def recent_creates(ev: DataFrame, as_of: int, span: int = DAY) -> tuple[DataFrame, DataFrame]:
+    """AGG-06: (total, per address) creations after ``as_of - span``."""
+    return recent_creates_total(ev, as_of, span), recent_creates_by_ip(ev, as_of, span)
+
+
 def trailing_counts(ev: DataFrame, keys: Sequence[str], t: str, span: int = DAY) -> DataFrame:
     """For every distinct (keys, t) of ``ev``: the number of rows of the same keys with
     time in ``(t - span, t]``.  Returns (keys..., t, trailing)."""

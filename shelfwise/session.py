@@ -124,10 +124,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/shelfwise/{name}-{uuid.uuid4().hex}"
 
 
-def local_dir_of(path: str) -> str:
-    """Strip a ``file:`` scheme (for local-only bookkeeping in tests)."""
-    return path[5:] if path.startswith("file:") else path
-
-
 __all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "ship_package",
-           "BASE_CONF", "local_dir_of"]
+           "BASE_CONF"]

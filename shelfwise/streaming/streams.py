@@ -94,6 +94,11 @@ def create_rate_daily(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFr
                     (F.col("creates") >= TOTAL_LIMIT).alias("at_limit"))
 
 
+def create_rate(events: DataFrame, delay: str = WATERMARK_DELAY) -> tuple[DataFrame, DataFrame]:
+    """STR-02: (per-address sliding-window creates, daily total creates)."""
+    return create_rate_by_ip(events, delay), create_rate_daily(events, delay)
+
+
 # ---------------------------------------------------------------- STR-03
 
 def activity_sessions(events: DataFrame, gap_seconds: int = SESSION_TTL,
