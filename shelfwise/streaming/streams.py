@@ -127,21 +127,25 @@ class LiveRatingProcessor(StatefulProcessor):
         self.agg = handle.getValueState("agg", "n bigint, total bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        # Within a batch, only each user's latest submission matters.
-        pdf = pdf.sort_values(["user_id", "seq", "value"]).drop_duplicates("user_id", keep="last")
+        # The upsert compares (seq, value), so Arrow chunks are applied one at a time
+        # (memory bounded by the chunk, even for a function with a third of all rows).
         fresh = not self.agg.exists()          # a function seen for the first time has no users yet
         n, total = (0, 0) if fresh else self.agg.get()
-        for uid, seq, value in zip(pdf["user_id"], pdf["seq"], pdf["value"]):
-            uid, seq, value = int(uid), int(seq), int(value)
-            prev = None if fresh else self.by_user.getValue((uid,))
-            if prev is None:
-                n, total = n + 1, total + value
-            elif (seq, value) > (prev[0], prev[1]):
-                total += value - prev[1]
-            else:
-                continue
-            self.by_user.updateValue((uid,), (seq, value))
+        seen: set[int] = set()                 # users already written in this call
+        for chunk in rows:
+            # Within a chunk, only each user's latest submission matters.
+            pdf = chunk.sort_values(["user_id", "seq", "value"]).drop_duplicates("user_id", keep="last")
+            for uid, seq, value in zip(pdf["user_id"], pdf["seq"], pdf["value"]):
+                uid, seq, value = int(uid), int(seq), int(value)
+                prev = None if fresh and uid not in seen else self.by_user.getValue((uid,))
+                if prev is None:
+                    n, total = n + 1, total + value
+                elif (seq, value) > (prev[0], prev[1]):
+                    total += value - prev[1]
+                else:
+                    continue
+                self.by_user.updateValue((uid,), (seq, value))
+                seen.add(uid)
         self.agg.update((n, total))
         yield pd.DataFrame({"function_id": [int(key[0])], "n": [n], "total": [total]})
 
@@ -220,6 +224,8 @@ class ExpiryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         uid = int(key[0])
+        # Lock semantics need time order, so one key's rows of this micro-batch are sorted
+        # together (three narrow columns; bounded by the micro-batch size).
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
         out = []
         pending = self.lock.get() if self.lock.exists() else None
@@ -302,6 +308,8 @@ class AdmissionProcessor(StatefulProcessor):
         self.admitted = handle.getListState("admitted", "t bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # Admission is order-dependent: one address's rows of this micro-batch are sorted
+        # together (three narrow columns; bounded by the micro-batch size).
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
         times = [int(r[0]) for r in self.admitted.get()] if self.admitted.exists() else []
         flags = admit_rows(pdf, times, self.limit, self.span)
