@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shelfwise.functions.timecols import cutoff
+from shelfwise.session import checkpoint_table
 
 DAY = 86400
 # The reference's creation limits (checked in this order).
@@ -69,7 +70,8 @@ def trailing_counts(ev: DataFrame, keys: Sequence[str], t: str, span: int = DAY)
     # Bounded by distinct (keys, second) pairs; pinned once so that the window,
     # the bucket totals and the probe self-join below do not rescan the input.
     pts = both.groupBy(*keys, t).agg(F.sum("c").alias("c"), F.max("_real").alias("_real")) \
-        .withColumn("_b", F.floor(F.col(t) / F.lit(span))).checkpoint()
+        .withColumn("_b", F.floor(F.col(t) / F.lit(span)))
+    pts = checkpoint_table(pts)
     # Running sum inside (keys, bucket): at most `span` rows per partition.
     w_in = Window.partitionBy(*keys, "_b").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
     run = pts.withColumn("_run", F.sum("c").over(w_in))

@@ -118,11 +118,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def checkpoint_table(df):
+    """Cut lineage with a reliable checkpoint (in the shared checkpoint folder).
+
+    The plan is cached for the duration of the write, so it is computed once,
+    not once for the job and again for the checkpoint files; the cache is
+    released as soon as the files are written.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/shelfwise/{name}-{uuid.uuid4().hex}"
 
 
-__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "ship_package",
+__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "ship_package", "checkpoint_table",
            "BASE_CONF"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from shelfwise.session import ensure_checkpoint_dir
+from shelfwise.session import checkpoint_table, ensure_checkpoint_dir
 
 
 def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int = 1,
@@ -32,7 +32,7 @@ def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int
     ensure_checkpoint_dir(spark)
     group = list(group)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("_rp", F.spark_partition_id()).checkpoint()
+    ranged = checkpoint_table(df.repartitionByRange(n, *group, *order).withColumn("_rp", F.spark_partition_id()))
     counts = ranged.groupBy("_rp", *group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = before.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
