@@ -19,6 +19,7 @@ NO_FUNCTION = "No function found"
 TOO_MANY_FUNCTIONS = "Found too many functions"
 NO_UNITTEST = "unittest not imported"
 ONE_TEST_CLASS = 'Exactly one class named "Test" should be present'
+# Our labels: a passing source, and a source the parser rejects.
 GATE_OK = "ok"
 SYNTAX_ERROR = "invalid syntax"
 

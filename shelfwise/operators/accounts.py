@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions.text import py_strip
 from shelfwise.functions.timecols import lit_or_col, lock_active
 
-# Status, outcome and decision labels.
+# The reference's account status and login outcome strings
+# (ok, unverified, rejected, invalid credentials) and its log text for unknown
+# users.  The access decision labels are our names for the reference's branches.
 STATUS_OK, STATUS_UNVERIFIED, STATUS_REJECTED = "ok", "unverified", "rejected"
 LOGIN_INVALID = "invalid credentials"
 LOG_UNKNOWN_USER = "Used does not exist"  # the reference's log text, spelled as it is there

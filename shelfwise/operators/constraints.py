@@ -100,7 +100,7 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None)
     return child.filter(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 
-# The reference's rating verdict texts, in check order.
+# Verdict labels (our wording), listed in the reference's check order.
 VERDICT_BAD_VALUE = "bad value"
 VERDICT_UNKNOWN_FUNCTION = "unknown function"
 VERDICT_OWN_FUNCTION = "own function"
