@@ -6,8 +6,8 @@ then splits the matching code into lines and keeps lines that contain the term
 case-sensitively, one output row per line.  PRJ-03 searches many terms at
 once: a handful of terms are broadcast (size-checked) and tested against every
 row; beyond that, each term is joined to the rows through its rarest character
-n-gram (an equi-join, so no pair of row x term is evaluated unless they share
-that n-gram), then verified with ``contains``.
+n-grams (an equi-join, so no pair of row x term is evaluated unless the row
+holds them), then verified with ``contains``.
 """
 
 from __future__ import annotations
@@ -80,6 +80,8 @@ def library_keywords(f: DataFrame) -> DataFrame:
 NESTED_LOOP_MAX_TERMS = 64
 # How many of a term's rarest n-grams a row must hold to be verified.
 PREFILTER_NGRAMS = 2
+# Longest n-gram used for the prefilter (longer terms use n-grams of this length).
+NGRAM_MAX = 4
 
 
 def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -126,7 +128,9 @@ def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
         t = t.withColumn("tid", F.dense_rank().over(Window.orderBy("term")))
     else:
         t = sequential_ids(t, ["term"], "tid")
-    for n, cond in ((1, F.length("lt") == 1), (2, F.length("lt") == 2), (3, F.length("lt") >= 3)):
+    # A term is matched through n-grams of length min(len(term), NGRAM_MAX).
+    for n in range(1, NGRAM_MAX + 1):
+        cond = F.length("lt") == n if n < NGRAM_MAX else F.length("lt") >= n
         tn = t.where(cond)
         if row_count_at_most(tn, 0):
             continue
