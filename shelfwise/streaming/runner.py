@@ -4,7 +4,9 @@ Sinks and checkpoints live below the shared ``spark.checkpoint.dir`` (a new
 folder per run), so a restarted driver or a lost executor resumes from the
 checkpoint.  Append-mode results are the sink files.  Update-mode results are
 written by ``foreachBatch`` with the batch id; the table's current contents
-are, per key, the row of the latest batch that touched the key.
+are, per key, the row of the latest batch that touched the key.  Each batch
+overwrites its own ``batch_id=<n>`` folder, so a batch re-executed after a
+failure replaces its earlier output instead of adding to it.
 """
 
 from __future__ import annotations
@@ -32,16 +34,16 @@ def run_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
-    schema = T.StructType(list(stream.schema.fields) + [T.StructField("_batch", T.LongType())])
-    rows = spark.read.schema(schema).parquet(sink) if _exists(spark, sink) else \
+    schema = T.StructType(list(stream.schema.fields) + [T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(schema).option("basePath", sink).parquet(sink) if _exists(spark, sink) else \
         spark.createDataFrame([], schema)
     rest = [c for c in stream.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("_l"))
+    latest = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *rest)).alias("_l"))
     return latest.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest]).select(*stream.columns)
 
 
