@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import quality, url_filter
+from shelfwise.llm import mixing, quality, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -26,3 +26,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and weakly supervised verdict of every document."""
     return quality.assess(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a row per copy, at no more than two epochs a source."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
