@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import mixing, quality, url_filter
+from shelfwise.llm import mixing, pii, quality, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those that the method adds."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest rule and verdict of every page."""
