@@ -64,8 +64,8 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice: byte starts and ends, and ``first[d]:first[d + 1]`` as the words of row d."""
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
-        raw, self.offs = buffers(arr)
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, lower: bool = False):
+        self.offs = offs
         if lower:
             raw = raw + (((raw >= 65) & (raw <= 90)) << 5).astype(np.uint8)
         self.raw = raw
@@ -81,6 +81,10 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after[1:]) + 1
         self.first = np.searchsorted(self.starts, self.offs)
 
+    @classmethod
+    def of(cls, arr: pa.Array, lower: bool = False) -> Words:
+        return cls(*buffers(arr), lower=lower)
+
     def __len__(self) -> int:
         return len(self.starts)
 

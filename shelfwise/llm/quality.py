@@ -49,7 +49,7 @@ _IS_POINT = 1 - _table(range(0x80, 0xC0))     # bytes that begin a code point
 
 
 def _stop_hashes() -> np.ndarray:
-    return np.unique(Words(pa.array([" ".join(STOP_WORDS)])).hashes())
+    return np.unique(Words.of(pa.array([" ".join(STOP_WORDS)])).hashes())
 
 
 def _lines(text: str) -> tuple[int, int]:
@@ -60,7 +60,7 @@ def _lines(text: str) -> tuple[int, int]:
 
 def text_features(arr: pa.Array, stop: np.ndarray) -> dict[str, np.ndarray]:
     """The statistics of every text of a slice, over its whole text."""
-    w = Words(arr)
+    w = Words.of(arr)
     rows = len(w.offs) - 1
     hashes = w.hashes()
     solid = 1 - _IS_SPACE[w.raw]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import mixing, pii, quality, url_filter
+from shelfwise.llm import mixing, pii, quality, substring_dedup, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without those that repeat 50-word passages of earlier ones."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest rule and verdict of every page."""
