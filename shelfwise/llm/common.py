@@ -38,14 +38,14 @@ def text_or_empty(col: str) -> F.Column:
 
 
 def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds about ``limit`` bytes of ``col`` (one row at least)."""
+    """Cut a batch so that a slice holds about ``limit`` bytes of ``col`` (one row at least, 2 ** 16 at most)."""
     if not batch.num_rows:
         return
     _, offs = buffers(batch.column(batch.schema.get_field_index(col)))
     cut = 0
     while cut < batch.num_rows:
         end = int(np.searchsorted(offs, offs[cut] + limit, side="right")) - 1
-        end = min(max(end, cut + 1), batch.num_rows)
+        end = min(max(end, cut + 1), cut + (1 << 16), batch.num_rows)
         yield batch.slice(cut, end - cut)
         cut = end
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import mixing, pii, quality, substring_dedup, url_filter
+from shelfwise.llm import jaccard_join, mixing, pii, quality, substring_dedup, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under 5-word shingles at Jaccard 0.75."""
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and those that the method adds."""
