@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, mixing, pii, quality, substring_dedup, url_filter
+from shelfwise.llm import jaccard_join, mixing, piece_sampling, pii, quality, substring_dedup, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores."""
+    return piece_sampling.encode_samples(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix, a row per copy, at no more than two epochs a source."""
