@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, mixing, piece_sampling, pii, quality, substring_dedup, url_filter
+from shelfwise.llm import jaccard_join, mixing, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,9 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix, a row per copy, at no more than two epochs a source."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits, counted on its segment tree."""
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
