@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, mixing, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
+from shelfwise.llm import jaccard_join, mixing, permutation_index, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, with inclusion scores."""
