@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, mixing, permutation_index, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
+from shelfwise.llm import html_text, jaccard_join, mixing, permutation_index, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,12 @@ def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, with inclusion scores."""
