@@ -40,6 +40,7 @@ SHARPNESS = 1.0            # exponent of the pieces' weights
 SLICE = 1 << 20
 BLANK = "▁"
 UNIT_RX = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+FIXED = float(1 << 40)     # log-probabilities are added as integers: exact, whatever shares a slice
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 
@@ -139,7 +140,7 @@ class Lattice:
             total = weight[at, :reach] + np.where(ahead == (at + d + 1)[:, None], 0.0, beta[np.minimum(ahead, n)])
             top = total.max(axis=1)
             mass = np.exp(total - top[:, None])
-            whole = mass.sum(axis=1)
+            whole = np.cumsum(mass, axis=1)[:, -1]     # in order: the same whatever the slice's width
             beta[at] = top + np.log(whole)
             weight[at, :reach] = mass / whole[:, None]
             weight[at, reach:] = 0.0
@@ -180,7 +181,7 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
     keep = np.zeros(rows, np.int64)
     barred = np.zeros((rows, lattice.width), bool)
     live = np.ones(rows, bool)
-    store = {k: np.zeros(0, t) for k, t in (("unit", np.int64), ("pos", np.int64), ("size", np.int64), ("logp", np.float64))}
+    store = {k: np.zeros(0, np.int64) for k in ("unit", "pos", "size", "logp")}
     path_first: list[np.ndarray] = []
     pool: list[tuple] = []
     out = []
@@ -225,14 +226,14 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
                 bad = np.flatnonzero(p <= 0)
                 size[bad] = lattice.width - 1 - (lattice.chance[at[bad]][:, ::-1] > 0).argmax(axis=1)
                 p = lattice.chance[at, size]
-            steps.append((which, at, size + 1, np.log(p)))
+            steps.append((which, at, size + 1, np.rint(np.log(p) * FIXED).astype(np.int64)))
             count[which] += 1
             pos[which] = at + size + 1
             which = which[pos[which] < end[act[which]]]
             step += 1
         slot = np.cumsum(count) - count
         total = int(count.sum())
-        new = {"unit": np.repeat(act, count), "pos": np.zeros(total, np.int64), "size": np.zeros(total, np.int64), "logp": np.zeros(total)}
+        new = {"unit": np.repeat(act, count), "pos": np.zeros(total, np.int64), "size": np.zeros(total, np.int64), "logp": np.zeros(total, np.int64)}
         for k, (which, at, size, logp) in enumerate(steps):
             new["pos"][slot[which] + k], new["size"][slot[which] + k], new["logp"][slot[which] + k] = at, size, logp
         fresh = np.zeros(rows, np.int64)
@@ -253,8 +254,8 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
         if r < samples - 1:
             store = {k: np.concatenate([store[k], path[k]]) for k in store} if r else new
         path_first.append(path_from + shift)
-        sums = np.concatenate([[0.0], np.cumsum(path["logp"])])
-        log_prob = sums[path_from + length] - sums[path_from]
+        sums = np.concatenate([[0], np.cumsum(path["logp"])])
+        log_prob = (sums[path_from + length] - sums[path_from]) / FIXED
         # Prefixes that leave this path: their clocks start when it fires.
         row = np.repeat(np.arange(rows), length)
         place = np.arange(len(row)) - np.repeat(path_from, length)
@@ -269,7 +270,7 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
         if r:
             options[turn] -= barred[busy].sum(axis=1)
         with np.errstate(divide="ignore"):
-            mass = np.where(open_ & (options > 0), np.log(np.maximum(away, 1e-300)), -np.inf) + sums[:-1] - np.repeat(sums[path_from], length)
+            mass = np.where(open_ & (options > 0), np.log(np.maximum(away, 1e-300)), -np.inf) + (sums[:-1] - np.repeat(sums[path_from], length)) / FIXED
         wait = np.log(-np.log(_draw(keys[row], path["unit"] - first[row], path["pos"] - base[path["unit"]], 4096 + r)))
         clock = np.logaddexp(np.repeat(log_tau, length), wait - mass)
         for _ in range(samples - r):       # the earliest of each row, as many as may still be taken
