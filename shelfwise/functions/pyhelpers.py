@@ -1,98 +1,37 @@
-"""Small executor-side Python helpers, applied as Arrow-batched pandas UDFs.
-
-Only what Spark's built-in functions cannot express lives here: decoding
-Python backslash escapes, and checking the top-level statements of Python
-source with the ``ast`` module.  Each helper is a per-row function of a few
-lines; Spark partitions the rows and ships them to the Python workers in
-Arrow batches.
-"""
+"""Executor-side Python helper, applied as an Arrow-batched pandas UDF: decoding Python backslash
+escapes, which Spark's built-in functions cannot express."""
 
 from __future__ import annotations
 
-import ast
+import codecs
+import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-# The reference's gate messages.
-NO_FUNCTION = "No function found"
-TOO_MANY_FUNCTIONS = "Found too many functions"
-NO_UNITTEST = "unittest not imported"
-ONE_TEST_CLASS = 'Exactly one class named "Test" should be present'
-# Our labels: a passing source, and a source the parser rejects.
-GATE_OK = "ok"
-SYNTAX_ERROR = "invalid syntax"
+# A recognised escape, and one that is cut short.
+ESCAPE_RX = re.compile(r"\\(?:[abfnrtv\\'\"\n]|[0-7]{1,3}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|N\{[^}]+\})|\\(?=[xuUN]|\Z)")
 
 
 def decode_escapes(s: str | None) -> str | None:
-    """Decode Python backslash escapes; other characters are kept as they are.
-
-    Returns None when the escapes are malformed (e.g. a trailing backslash).
-    """
+    """Decode Python backslash escapes; every other character, a backslash before anything else
+    included, stays as it is.  None when an escape is cut short or names no character."""
     if s is None or "\\" not in s:
         return s
     try:
-        return s.encode("latin-1", "backslashreplace").decode("unicode_escape")
+        return ESCAPE_RX.sub(_decoded, s)
     except UnicodeDecodeError:
         return None
 
 
-def function_gate(src: str | None) -> str | None:
-    """Exactly one top-level ``def``; besides it only classes and imports."""
-    if src is None:
-        return None
-    try:
-        body = ast.parse(src).body
-    except (SyntaxError, ValueError):
-        return SYNTAX_ERROR
-    n = sum(isinstance(x, ast.FunctionDef) for x in body)
-    if n < 1:
-        return NO_FUNCTION
-    if n > 1:
-        return TOO_MANY_FUNCTIONS
-    for x in body:
-        if not isinstance(x, (ast.FunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom)):
-            return f"Unexpected statement {type(x).__name__}"
-    return GATE_OK
-
-
-def unittest_gate(src: str | None) -> str | None:
-    """Imports ``unittest``; exactly one class, named ``Test``; only classes and imports."""
-    if src is None:
-        return None
-    try:
-        body = ast.parse(src).body
-    except (SyntaxError, ValueError):
-        return SYNTAX_ERROR
-    imports = set()
-    for x in body:
-        if isinstance(x, ast.Import):
-            imports.update(a.name for a in x.names)
-        elif isinstance(x, ast.ImportFrom):
-            imports.add(x.module)
-    if "unittest" not in imports:
-        return NO_UNITTEST
-    classes = [x.name for x in body if isinstance(x, ast.ClassDef)]
-    if "Test" not in classes or len(classes) != 1:
-        return ONE_TEST_CLASS
-    for x in body:
-        if not isinstance(x, (ast.ClassDef, ast.Import, ast.ImportFrom)):
-            return f"Unexpected statement {type(x).__name__} at line {x.lineno}"
-    return GATE_OK
-
-
-def _series_udf(fn):
-    """Wrap a per-value helper as a string -> string pandas UDF (built on first use,
-    so that importing this module on a Python worker needs no session)."""
-    def udf(col):
-        @pandas_udf("string")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(fn, na_action="ignore")
-        return run(col)
-    udf.__name__ = fn.__name__ + "_udf"
-    return udf
+def _decoded(m: re.Match) -> str:
+    return codecs.decode(m[0], "unicode_escape")
 
 
-decode_escapes_udf = _series_udf(decode_escapes)
-function_gate_udf = _series_udf(function_gate)
-unittest_gate_udf = _series_udf(unittest_gate)
+def decode_escapes_udf(col: Column) -> Column:
+    # Built on first use, so that importing this module on a Python worker needs no session.
+    @pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(decode_escapes, na_action="ignore")
+    return run(col)

@@ -42,15 +42,6 @@ def role(admin="admin") -> Column:
     return F.when(a, F.lit("admin")).otherwise(F.lit("user"))
 
 
-def user_view(u: DataFrame, as_of, ttl: int = LOCKOUT_DURATION) -> DataFrame:
-    """PRJ-06/07/09/11 together: a user as the application sees it at ``as_of``."""
-    from shelfwise.functions.timecols import fmt_epoch
-
-    return u.select("user_id", "username", role("admin").alias("role"),
-                    status_col(F.col("disabled"), F.col("locked"), F.col("verified"), as_of, ttl).alias("status"),
-                    lock_active("locked", as_of, ttl).alias("locked"), fmt_epoch("created").alias("created"))
-
-
 def status_col(disabled: Column, locked: Column, verified: Column, as_of,
                ttl: int = LOCKOUT_DURATION) -> Column:
     """PRJ-07 as an expression: disabled or lock active -> rejected; not verified -> unverified; else ok."""
@@ -126,13 +117,14 @@ EMAIL_SHAPE_RX = r"^[^@\s]+@[^@\s]+\.[^@\s.]+$"
 def email_domain_ok(df: DataFrame, col: str, domains: Sequence[str]) -> DataFrame:
     """PRJ-15: (email_valid, domain, domain_ok, email_reason) for an address column.
 
-    The domain is compared in lower case.  Full RFC address validation is not
-    reproduced; only the shape above is checked.
+    The normalised (lower-case) domain is compared with the allow-list as it stands, so an entry
+    with capitals allows nothing.  Full RFC address validation is not reproduced; only the shape
+    above is checked.
     """
     c = F.col(col)
     shape = F.coalesce(c.rlike(EMAIL_SHAPE_RX), F.lit(False))
     domain = F.when(shape, F.lower(F.substring_index(c, "@", -1)))
-    ok = shape & F.coalesce(domain.isin(*[d.lower() for d in domains]), F.lit(False))
+    ok = shape & F.coalesce(domain.isin(*domains), F.lit(False))
     reason = (F.when(~shape, F.lit("invalid address"))
               .when(~ok, F.lit("domain not allowed")).otherwise(F.lit("")))
     return df.select("*", shape.alias("email_valid"), domain.alias("domain"),
@@ -149,12 +141,20 @@ def fmt_code(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 3), F.lit(" - "), F.substring(c, 4, 3))
 
 
+# First digits of the decimal digit ranges of Unicode's basic plane besides ASCII; each range holds ten
+# (fixed values of the character database).
+DIGIT_STARTS = (0x660, 0x6F0, 0x7C0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xDE6, 0xE50, 0xED0, 0xF20,
+                0x1040, 0x1090, 0x17E0, 0x1810, 0x1946, 0x19D0, 0x1A80, 0x1A90, 0x1B50, 0x1BB0, 0x1C40, 0x1C50, 0xA620, 0xA8D0,
+                0xA900, 0xA9D0, 0xA9F0, 0xAA50, 0xABF0, 0xFF10)
+
+
 def parse_rating(c: Column) -> Column:
     """PRJ-18: a submitted rating text -> INT 1..5, else NULL (rejected).
 
-    Accepts optional white space and sign around ASCII digits (as ``int()``
-    does); underscores between digits, which ``int()`` also accepts, are rejected.
+    Accepts what ``int()`` does: white space and a sign around digits of any script, with single
+    underscores between digits.
     """
-    s = py_strip(c)
-    v = F.when(s.rlike(r"^[+-]?[0-9]+$"), F.regexp_replace(s, r"^\+", "").try_cast("int"))
-    return F.when(v.between(1, 5), v)
+    other = "".join(chr(a + k) for a in DIGIT_STARTS for k in range(10))
+    s = F.translate(py_strip(c), other, "0123456789" * len(DIGIT_STARTS))
+    v = F.when(s.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*$"), F.regexp_replace(s, r"^\+|_", "").try_cast("decimal(38,0)"))
+    return F.when(v.between(1, 5), v.cast("int"))

@@ -118,14 +118,22 @@ def top_rated(catalog: DataFrame, k: int) -> DataFrame:
     return catalog.orderBy(F.desc_nulls_last("average"), F.asc("function_id")).limit(k)
 
 
-def page(df: DataFrame, sort: str, id_col: str, size: int, after=None) -> DataFrame:
-    """SRT-02: keyset pagination on (sort, id) ascending; ``after`` = (sort, id) of the
-    previous page's last row, or None for the first page.  ``sort`` must be non-null."""
+def page(df: DataFrame, sort: str, id_col: str, size: int, after=None, descending: bool = False) -> DataFrame:
+    """SRT-02: keyset pagination on (sort, id); ``after`` = (sort, id) of the previous page's last
+    row, or None for the first page.
+
+    Rows without a sort value come last in either direction, so a value is followed by them and
+    a missing value only by greater ids among them.  Ids ascend within equal values.
+    """
+    c, i = F.col(sort), F.col(id_col)
     if after is not None:
-        sv, iv = after
-        df = df.filter((F.col(sort) > F.lit(sv)) |
-                       ((F.col(sort) == F.lit(sv)) & (F.col(id_col) > F.lit(iv))))
-    return df.orderBy(F.asc(sort), F.asc(id_col)).limit(size)
+        value, last = after
+        if value is None:
+            df = df.filter(c.isNull() & (i > F.lit(last)))
+        else:
+            beyond = c < F.lit(value) if descending else c > F.lit(value)
+            df = df.filter(beyond | ((c == F.lit(value)) & (i > F.lit(last))) | c.isNull())
+    return df.orderBy(F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort), F.asc(id_col)).limit(size)
 
 
 def permissions(pairs: DataFrame, f: DataFrame, u: DataFrame) -> DataFrame:

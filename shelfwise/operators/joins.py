@@ -1,16 +1,12 @@
 """Join helpers with an explicit size check.
 
-``broadcast()`` is only placed on a side whose row count has been measured
-below a bound (one ``limit(n + 1).count()`` job, which stops reading as soon
-as the bound is exceeded).  Above the bound the plain DataFrame is returned
-and Spark plans a shuffle join; with AQE on, a side that turns out small at
-runtime is still converted to a broadcast join by the runtime statistics.
+A row count is measured against a bound with one ``limit(n + 1).count()`` job, which stops reading as
+soon as the bound is exceeded.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Rows we are willing to ship to every executor for small key/term tables.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
@@ -20,7 +16,3 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its measured size is within ``max_rows``, else ``df``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

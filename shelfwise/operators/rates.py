@@ -21,7 +21,7 @@ difference of prefix sums ``C(t) - C(t - span)``:
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,11 +52,6 @@ def recent_creates_by_ip(ev: DataFrame, as_of: int, span: int = DAY) -> DataFram
         .groupBy("remote_ip").agg(F.count(F.lit(1)).alias("creates"))
 
 
-def recent_creates(ev: DataFrame, as_of: int, span: int = DAY) -> tuple[DataFrame, DataFrame]:
-    """AGG-06: (total, per address) creations after ``as_of - span``."""
-    return recent_creates_total(ev, as_of, span), recent_creates_by_ip(ev, as_of, span)
-
-
 def trailing_counts(ev: DataFrame, keys: Sequence[str], t: str, span: int = DAY) -> DataFrame:
     """For every distinct (keys, t) of ``ev``: the number of rows of the same keys with
     time in ``(t - span, t]``.  Returns (keys..., t, trailing)."""
@@ -71,7 +66,7 @@ def trailing_counts(ev: DataFrame, keys: Sequence[str], t: str, span: int = DAY)
     # the bucket totals and the probe self-join below do not rescan the input.
     pts = both.groupBy(*keys, t).agg(F.sum("c").alias("c"), F.max("_real").alias("_real")) \
         .withColumn("_b", F.floor(F.col(t) / F.lit(span)))
-    pts = checkpoint_table(pts)
+    pts = checkpoint_table(pts, "seconds")
     # Running sum inside (keys, bucket): at most `span` rows per partition.
     w_in = Window.partitionBy(*keys, "_b").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
     run = pts.withColumn("_run", F.sum("c").over(w_in))
@@ -105,31 +100,31 @@ def rate_limit_audit(ev: DataFrame, span: int = DAY, total_limit: int = TOTAL_LI
 ADMIT_SCHEMA = "event_id bigint, remote_ip string, event_time bigint, admitted boolean"
 
 
-def admit_rows(pdf: pd.DataFrame, admitted: list[int], limit: int, span: int) -> list[bool]:
-    """Admit rows (sorted by time) while fewer than ``limit`` were admitted in the
-    trailing ``span`` seconds; refused attempts do not count.  Mutates ``admitted``
-    (never longer than ``limit``)."""
-    flags = []
-    for t in pdf["event_time"]:
-        t = int(t)
+def admitted_ids(events: Iterable[tuple[int, int]], admitted: list[int], limit: int, span: int) -> list[int]:
+    """Ids of the admitted among (time, id) events in order: admit while fewer than ``limit`` were
+    admitted in the trailing ``span`` seconds; refused attempts do not count.  ``admitted`` holds the
+    times so far and is kept up to date (never longer than ``limit``)."""
+    out = []
+    for t, i in events:
         admitted[:] = [a for a in admitted if a > t - span]
-        ok = len(admitted) < limit
-        if ok:
+        if len(admitted) < limit:
             admitted.append(t)
-        flags.append(ok)
-    return flags
+            out.append(i)
+    return out
 
 
 def admit_batch(ev: DataFrame, limit: int = ADDRESS_LIMIT, span: int = DAY) -> DataFrame:
     """STR-06 batch twin: admission per address over a whole table.
 
-    Admission is sequential within an address, so each address's rows are
-    hash-partitioned together and sorted by time; ``mapInPandas`` then walks the
-    sorted partition keeping only the last ``limit`` admitted times of the
-    current address: memory stays O(limit) however many rows one address has.
+    Of one address and second only the first ``limit`` events by id can be admitted, so the others are
+    left out before the shuffle (a limited ranking).  What remains is sequential within an address:
+    sorted by time, ``mapInPandas`` walks it keeping the last ``limit`` admitted times of the current
+    address.  A join gives the flag back to all events.
     """
     cr = ev.filter(F.col("event_type") == "create").select("event_id", "remote_ip", "event_time")
-    part = cr.repartition("remote_ip").sortWithinPartitions("remote_ip", "event_time", "event_id")
+    rank = F.row_number().over(Window.partitionBy("remote_ip", "event_time").orderBy("event_id"))
+    few = cr.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
+    part = few.repartition("remote_ip").sortWithinPartitions("remote_ip", "event_time", "event_id")
 
     def run(batches):
         cur, admitted = None, []
@@ -142,6 +137,8 @@ def admit_batch(ev: DataFrame, limit: int = ADDRESS_LIMIT, span: int = DAY) -> D
                 ip = g["remote_ip"].iat[0]
                 if ip != cur:
                     cur, admitted = ip, []
-                yield g.assign(admitted=admit_rows(g, admitted, limit, span))
+                events = zip(g["event_time"].tolist(), g["event_id"].tolist())
+                yield pd.DataFrame({"event_id": pd.array(admitted_ids(events, admitted, limit, span), dtype="int64")})
 
-    return part.mapInPandas(run, ADMIT_SCHEMA)
+    yes = part.mapInPandas(run, "event_id bigint").withColumn("admitted", F.lit(True))
+    return cr.join(yes, "event_id", "left").select("event_id", "remote_ip", "event_time", F.coalesce("admitted", F.lit(False)).alias("admitted"))

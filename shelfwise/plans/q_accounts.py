@@ -126,18 +126,23 @@ def prj13_client_ip(spark, d):
     return ev.select("event_id", A.client_ip(headers, peer).alias("client_ip"))
 
 
-@register("prj15_email_domain", with_views(r"""
-SELECT user_id, username, regexp_matches(username, '^[^@\s]+@[^@\s]+\.[^@\s.]+$') AS email_valid,
-       CASE WHEN regexp_matches(username, '^[^@\s]+@[^@\s]+\.[^@\s.]+$') THEN lower(split_part(username, '@', -1)) END AS domain,
-       coalesce(regexp_matches(username, '^[^@\s]+@[^@\s]+\.[^@\s.]+$')
-                AND lower(split_part(username, '@', -1)) IN ('automobile.example', 'building.example'), false) AS domain_ok,
-       CASE WHEN NOT regexp_matches(username, '^[^@\s]+@[^@\s]+\.[^@\s.]+$') THEN 'invalid address'
-            WHEN lower(split_part(username, '@', -1)) IN ('automobile.example', 'building.example') THEN ''
-            ELSE 'domain not allowed' END AS email_reason
-FROM users""", "users"))
+_EMAIL = "CASE WHEN user_id % 5 = 4 THEN replace(username, '@', ' at ') WHEN user_id % 5 = 3 THEN upper(username) ELSE username END"
+
+
+@register("prj15_email_domain", with_views(rf"""
+WITH e AS (SELECT user_id, {_EMAIL} AS email FROM users),
+v AS (SELECT *, regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s.]+$') AS email_valid FROM e),
+n AS (SELECT *, CASE WHEN email_valid THEN lower(split_part(email, '@', -1)) END AS domain FROM v),
+o AS (SELECT *, coalesce(domain IN ('automobile.example', 'machinery.example'), false) AS domain_ok FROM n)
+SELECT user_id, email, email_valid, domain, domain_ok,
+       CASE WHEN NOT email_valid THEN 'invalid address' WHEN NOT domain_ok THEN 'domain not allowed' ELSE '' END AS email_reason
+FROM o""", "users"))
 def prj15_email_domain(spark, d):
-    u = view(spark, d, "users").select("user_id", "username")
-    return A.email_domain_ok(u, "username", ["automobile.example", "BUILDING.example"])
+    # Addresses as typed: some in capitals, some without '@'.  The list's entry in capitals allows nothing.
+    k, name = F.col("user_id") % 5, F.col("username")
+    email = F.when(k == 4, F.replace(name, F.lit("@"), F.lit(" at "))).when(k == 3, F.upper(name)).otherwise(name)
+    u = view(spark, d, "users").select("user_id", email.alias("email"))
+    return A.email_domain_ok(u, "email", ["automobile.example", "machinery.example", "BUILDING.example"])
 
 
 @register("prj16_verification_code", with_views("""
@@ -154,14 +159,15 @@ def prj16_verification_code(spark, d):
 
 
 @register("prj18_parse_rating", """
-SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS rating
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 5
+  WHEN 7 THEN CASE WHEN l_partkey % 10 BETWEEN 1 AND 5 THEN CAST(l_partkey % 10 AS INTEGER) END END AS rating
 FROM lineitem""")
 def prj18_parse_rating(spark, d):
-    # Submitted texts: ' 1 ', '+2', '3', '4.0', '0_5', '6', 'x7' by line number.
+    # Submitted texts by line number: ' 1 ', '+2', an Arabic three, '4.0', '0_5', '6', the part's last digit.
     li = load(spark, d, "lineitem")
     n = F.col("l_linenumber")
-    text = (F.when(n == 1, " 1 ").when(n == 2, "+2").when(n == 3, "3").when(n == 4, "4.0")
-            .when(n == 5, "0_5").when(n == 6, "6").otherwise(F.concat(F.lit("x"), n.cast("string"))))
+    text = (F.when(n == 1, " 1 ").when(n == 2, "+2").when(n == 3, "\u0663").when(n == 4, "4.0")
+            .when(n == 5, "0_5").when(n == 6, "6").otherwise((F.col("l_partkey") % 10).cast("string")))
     return li.select("l_orderkey", "l_linenumber", A.parse_rating(text).alias("rating"))
 
 

@@ -193,6 +193,27 @@ def agg07_function_view(spark, d):
     return out.withColumn("keyword_list", F.array_join("keyword_list", "|"))
 
 
+_RANKED = """
+WITH c AS (SELECT f.function_id, f.name, CAST((sum(r.value) * 20 + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS average
+           FROM functions f LEFT JOIN ratings r ON r.function_id = f.function_id AND f.function_id % 3 <> 0
+           GROUP BY f.function_id, f.name),"""
+
+
+def _rated(spark, d):
+    """Functions with their average; every third one is unrated."""
+    f, r = view(spark, d, "functions"), view(spark, d, "ratings").filter("function_id % 3 <> 0")
+    return f.select("function_id", "name").join(C.avg_rating(r, 1), "function_id", "left").select("function_id", "name", "average")
+
+
+def _walk(df, sort, descending, after):
+    """The 50 rows after a page's last row, with the number of the page."""
+    parts = [C.page(df, sort, "function_id", 50, a, descending).withColumn("page", F.lit(i)) for i, a in enumerate(after)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("srt02_page", with_views("""
 SELECT function_id, name, user_id FROM functions
 WHERE name > 'lavender' OR (name = 'lavender' AND function_id > 0)
@@ -200,3 +221,25 @@ ORDER BY name, function_id LIMIT 50""", "functions"))
 def srt02_page(spark, d):
     f = view(spark, d, "functions").select("function_id", "name", "user_id")
     return C.page(f, "name", "function_id", 50, after=("lavender", 0))
+
+
+def _page_sql(order: str, wheres: list[str]) -> str:
+    parts = [f"p{i} AS (SELECT *, {i} AS page FROM c WHERE {w} ORDER BY {order}, function_id LIMIT 50)" for i, w in enumerate(wheres)]
+    return with_views(_RANKED + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(wheres))),
+                      "functions", "ratings")
+
+
+@register("srt02_page_average", _page_sql("average NULLS LAST", [
+    "true", "average > 3.0 OR (average = 3.0 AND function_id > 20) OR average IS NULL",
+    "average > 4.9 OR (average = 4.9 AND function_id > 0) OR average IS NULL", "average IS NULL AND function_id > 30"]))
+def srt02_page_average(spark, d):
+    # Pages by average, upwards: the first, one inside, one that runs into the unrated, one among them.
+    return _walk(_rated(spark, d), "average", False, [None, (3.0, 20), (4.9, 0), (None, 30)])
+
+
+@register("srt02_page_average_desc", _page_sql("average DESC NULLS LAST", [
+    "true", "average < 3.0 OR (average = 3.0 AND function_id > 20) OR average IS NULL",
+    "average < 1.1 OR (average = 1.1 AND function_id > 0) OR average IS NULL", "average IS NULL AND function_id > 30"]))
+def srt02_page_average_desc(spark, d):
+    # The same, downwards.
+    return _walk(_rated(spark, d), "average", True, [None, (3.0, 20), (1.1, 0), (None, 30)])

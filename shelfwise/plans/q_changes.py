@@ -15,6 +15,7 @@ from shelfwise.sources.tables import load, view
 
 # ---------------------------------------------------------------- VAL / JON-06
 
+# The lengths and ranges that the schema's rules state.
 _FN_RULES = [
     V.Rule("functions.name not null", "not_null", "name"),
     V.Rule("functions.name length 3..50", "length", "name", 3, 50),
@@ -30,10 +31,6 @@ _USER_RULES = [
 _RATING_RULES = [V.Rule("ratings.value between 1..5", "between", "value", 1, 5)]
 
 
-def _len_sql(rule: V.Rule, key: str) -> str:
-    return f"coalesce(NOT (length({rule.column}) BETWEEN {rule.lo} AND {rule.hi}), false)"
-
-
 def _rule_pred(rule: V.Rule) -> str:
     if rule.kind == "not_null":
         return f"{rule.column} IS NULL"
@@ -313,8 +310,8 @@ def src03_append_events(spark, d):
     # Append both logs (reason defaulted) to one type-partitioned table, then read it back.
     path = scratch_path(spark, "events-append")
     for name in ("auth_events", "account_events"):
-        W.append_events(W.with_event_reason(view(spark, d, name)), path)
+        W.append_events(W.with_event_reason(view(spark, d, name)), path, name)
     back = spark.read.schema(
         "event_id bigint, user_id bigint, event_time bigint, success boolean, remote_ip string, "
-        "reason string, event_type string").parquet(path)
+        "reason string, event_type string, batch string").parquet(path)
     return back.select("event_id", "user_id", "event_time", "event_type", "success", "remote_ip", "reason")

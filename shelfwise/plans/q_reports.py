@@ -28,15 +28,22 @@ def _q(text: str) -> str:
 # ---------------------------------------------------------------- replies
 
 @register("txt01_extract_code", """
-SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE text END AS code,
-       CASE WHEN turn % 3 = 2 THEN 'no code' ELSE 'ok' END AS status FROM conversations""")
+SELECT conv_id, turn,
+       CASE (conv_id + turn) % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 3 THEN concat('a', chr(9), 'bA', chr(380), 'A ', text)
+                                 WHEN 4 THEN concat('q', chr(92), chr(380), 'b', chr(92), 'q ', text) END AS code,
+       CASE (conv_id + turn) % 6 WHEN 2 THEN 'no code' WHEN 5 THEN 'bad escape' ELSE 'ok' END AS status FROM conversations""")
 def txt01_extract_code(spark, d):
-    # Replies: a fenced 'python' block; a bare fence with escaped newlines; no fence.
+    # Replies: a fenced 'python' block; a bare fence with escaped newlines; no fence; escapes of several
+    # kinds; a backslash before other characters; an escape that is cut short.
     c = load(spark, d, "conversations")
-    k = F.col("turn") % 3
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    fence = lambda *parts: F.concat(F.lit("```"), *parts, F.lit("```"))
     reply = (F.when(k == 0, F.concat(F.lit("Sure.\n```python\n"), F.col("text"), F.lit("\n```\nDone.")))
-             .when(k == 1, F.concat(F.lit("```"), F.replace(F.col("text"), F.lit("\n"), F.lit("\\n")), F.lit("```")))
-             .otherwise(F.col("text")))
+             .when(k == 1, fence(F.replace(F.col("text"), F.lit("\n"), F.lit("\\n"))))
+             .when(k == 2, F.col("text"))
+             .when(k == 3, fence(F.lit("a\\tb\\x41\\u017c\\101 "), F.col("text")))
+             .when(k == 4, fence(F.lit("q\\\u017cb\\q "), F.col("text")))
+             .otherwise(fence(F.col("text"), F.lit(" \\x1"))))
     return RP.extract_code(c.select("conv_id", "turn", reply.alias("reply")), "reply") \
         .select("conv_id", "turn", "code", "status")
 
@@ -60,44 +67,54 @@ def txt03_is_rejected(spark, d):
     return c.select("conv_id", "turn", RP.is_rejected(reply).alias("rejected"))
 
 
-_W = "split_part(replace(text, chr(10), ' '), ' ', {k})"
+_WORDS = "string_split(replace(text, chr(10), ' '), ' ')"
 
 
 @register("txt04_parse_keywords", f"""
-SELECT conv_id, turn, turn % 6 IN (0, 4) AS valid,
-       CASE turn % 6 WHEN 0 THEN array_to_string(list_sort(list_distinct([{_W.format(k=1)}, {_W.format(k=2)}])), ', ')
-                     WHEN 4 THEN '' END AS keywords
+SELECT conv_id, turn, (conv_id + turn) % 9 IN (0, 4) AS valid,
+       CASE (conv_id + turn) % 9 WHEN 0 THEN array_to_string(list_sort(list_distinct({_WORDS})), ', ') WHEN 4 THEN '' END AS keywords
 FROM conversations""")
 def txt04_parse_keywords(spark, d):
-    # Replies: a JSON list with a repeat, single quotes, numbers, an object, [], a null member.
+    # Replies built from all words of the text: a JSON list, single quotes, numbers, an object, [], a
+    # null member, text after the list, an index after it, a second list.
     c = load(spark, d, "conversations")
-    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    w1, w2 = F.split_part(flat, F.lit(" "), F.lit(1)), F.split_part(flat, F.lit(" "), F.lit(2))
-    k = F.col("turn") % 6
-    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
-    reply = (F.when(k == 0, F.concat(F.lit("["), q(w1), F.lit(", "), q(w2), F.lit(", "), q(w1), F.lit("]")))
-             .when(k == 1, F.concat(F.lit("['"), w1, F.lit("', '"), w2, F.lit("']")))
-             .when(k == 2, F.lit("[1, 2]"))
-             .when(k == 3, F.concat(F.lit('{"k": '), q(w1), F.lit("}")))
+    words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
+    listed = F.to_json(words)
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    reply = (F.when(k == 0, listed)
+             .when(k == 1, F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("']")))
+             .when(k == 2, F.to_json(F.transform(words, F.length)))
+             .when(k == 3, F.to_json(F.struct(words.alias("k"))))
              .when(k == 4, F.lit("[]"))
-             .otherwise(F.concat(F.lit("["), q(w1), F.lit(", null]"))))
-    valid, words = RP.parse_keywords(reply)
-    return c.select("conv_id", "turn", valid.alias("valid"), F.array_join(words, ", ").alias("keywords"))
-
-
-def _messages_sql() -> str:
-    rows = [(1, "system", _q(RP.PROMPT_SYSTEM)), (2, "user", "concat('```', code, '```')"),
-            (3, "assistant", _q(RP.PROMPT_ACK)), (4, "system", _q(RP.PROMPT_GUARD)),
-            (5, "user", _q(RP.PROMPT_TASKS["doc"]))]
-    parts = [f"SELECT function_id, {p} AS pos, '{r}' AS role, {c} AS content FROM functions" for p, r, c in rows]
-    return with_views("\nUNION ALL\n".join(parts), "functions")
-
-
-@register("txt05_build_messages", _messages_sql())
+             .when(k == 5, F.concat(F.lit("[null, "), F.substring(listed, 2, 1 << 30)))
+             .when(k == 6, F.concat(listed, F.lit(" xyz")))
+             .when(k == 7, F.concat(listed, F.lit("[0]")))
+             .otherwise(F.concat(listed, F.lit(", "), listed)))
+    valid, found = RP.parse_keywords(reply)
+    return c.select("conv_id", "turn", valid.alias("valid"), F.array_join(found, ", ").alias("keywords"))
+
+
+# Stand-in texts; what matters is which messages a task has, in which order.
+_TASKS = ("doc", "test", "classify", "check")
+_PROMPTS = [row for t in _TASKS for row in
+            [(t, 1, "system", "rules for writing" if t in ("doc", "test") else "rules for judging"), (t, 2, "user", None),
+             (t, 3, "assistant", "received"), (t, 4, "system", "guard"), (t, 5, "user", f"please {t}")]
+            if row[1] != 4 or t in ("doc", "test")]
+
+
+@register("txt05_build_messages", with_views("""
+WITH t(task, kind) AS (VALUES ('doc', 'writing'), ('test', 'writing'), ('classify', 'judging'), ('check', 'judging')),
+m AS (SELECT function_id, task, 1 AS pos, 'system' AS role, concat('rules for ', kind) AS content FROM functions, t
+      UNION ALL SELECT function_id, task, 2, 'user', concat('```', code, '```') FROM functions, t
+      UNION ALL SELECT function_id, task, 3, 'assistant', 'received' FROM functions, t
+      UNION ALL SELECT function_id, task, 4, 'system', 'guard' FROM functions, t WHERE kind = 'writing'
+      UNION ALL SELECT function_id, task, CASE kind WHEN 'writing' THEN 5 ELSE 4 END, 'user', concat('please ', task) FROM functions, t)
+SELECT * FROM m""", "functions"))
 def txt05_build_messages(spark, d):
     f = view(spark, d, "functions")
-    m = f.select("function_id", F.posexplode(RP.build_messages("code", "doc")).alias("pos", "m"))
-    return m.select("function_id", (F.col("pos") + 1).alias("pos"), "m.role", "m.content")
+    lists = F.inline(F.array(*[F.struct(F.lit(t).alias("task"), RP.build_messages("code", _PROMPTS, t).alias("messages")) for t in _TASKS]))
+    m = f.select("function_id", lists).select("function_id", "task", F.posexplode("messages").alias("pos", "m"))
+    return m.select("function_id", "task", (F.col("pos") + 1).alias("pos"), "m.role", "m.content")
 
 
 @register("txt05_conversation_messages", """
@@ -107,68 +124,6 @@ def txt05_conversation_messages(spark, d):
     return RP.conversation_messages(load(spark, d, "conversations"))
 
 
-# ---------------------------------------------------------------- code gates
-
-def _function_sources(f: DataFrame) -> DataFrame:
-    n = F.col("name")
-    k = F.col("function_id") % 8
-    src = (F.when(k == 0, F.concat(F.lit("def "), n, F.lit("(x):\n    return x\n")))
-           .when(k == 1, F.concat(F.lit("import math\n\ndef "), n, F.lit("(x):\n    return math.sqrt(x)\n")))
-           .when(k == 2, F.concat(F.lit("def "), n, F.lit("(x):\n    return x\n\ndef helper(y):\n    return y\n")))
-           .when(k == 3, F.lit("import os\n"))
-           .when(k == 4, F.concat(F.lit("x = 1\ndef "), n, F.lit("():\n    return x\n")))
-           .when(k == 5, F.concat(F.lit("async def "), n, F.lit("():\n    return 1\n")))
-           .when(k == 6, F.concat(F.lit('"""Module doc."""\ndef '), n, F.lit("():\n    return 1\n")))
-           .otherwise(F.concat(F.lit("def "), n, F.lit("(:\n"))))
-    return f.select("function_id", "user_id", src.alias("source"))
-
-
-_FUNCTION_GATE_SQL = """CASE function_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'Found too many functions'
-  WHEN 3 THEN 'No function found' WHEN 4 THEN 'Unexpected statement Assign' WHEN 5 THEN 'No function found'
-  WHEN 6 THEN 'Unexpected statement Expr' ELSE 'invalid syntax' END"""
-
-
-@register("txt06_code_gate", with_views(f"SELECT function_id, user_id, {_FUNCTION_GATE_SQL} AS verdict FROM functions",
-                                        "functions"))
-def txt06_code_gate(spark, d):
-    return RP.code_gate(_function_sources(view(spark, d, "functions")), "source").drop("source")
-
-
-@register("txt06_code_gate_report", with_views(
-    f"SELECT user_id, {_FUNCTION_GATE_SQL} AS verdict, count(*) AS n FROM functions GROUP BY ALL", "functions"))
-def txt06_code_gate_report(spark, d):
-    return RP.gate_report(txt06_code_gate(spark, d))
-
-
-_TEST_SOURCES = [
-    "import unittest\n\nclass Test(unittest.TestCase):\n    def test_a(self):\n        self.assertTrue(True)\n",
-    "from unittest import TestCase\n\nclass Test(TestCase):\n    pass\n",
-    "import pytest\n\nclass Test:\n    pass\n",
-    "import unittest\n\nclass Test(unittest.TestCase):\n    pass\n\nclass Other:\n    pass\n",
-    "import unittest\n\nclass Tests(unittest.TestCase):\n    pass\n",
-    "import unittest\n\nclass Test(unittest.TestCase):\n    pass\n\nunittest.main()\n",
-    "import unittest.mock\n\nclass Test:\n    pass\n",
-    "import unittest\n\nclass Test(unittest.TestCase:\n    pass\n",
-]
-
-
-@register("txt07_test_gate", with_views("""
-SELECT function_id, CASE function_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'unittest not imported'
-  WHEN 3 THEN 'Exactly one class named "Test" should be present'
-  WHEN 4 THEN 'Exactly one class named "Test" should be present'
-  WHEN 5 THEN 'Unexpected statement Expr at line 7' WHEN 6 THEN 'unittest not imported'
-  ELSE 'invalid syntax' END AS verdict FROM functions""", "functions"))
-def txt07_test_gate(spark, d):
-    f = view(spark, d, "functions")
-    k = F.col("function_id") % 8
-    expr = None
-    for i, src in enumerate(_TEST_SOURCES):
-        expr = F.when(k == i, F.lit(src)) if expr is None else expr.when(k == i, F.lit(src))
-    # Each test file also names the function it tests, in a comment.
-    tests = F.concat(F.lit("# tests for "), F.col("name"), F.lit("\n"), expr)
-    return RP.test_gate(f.select("function_id", tests.alias("tests")), "tests").drop("tests")
-
-
 # ---------------------------------------------------------------- tool reports
 
 _LINT_TYPES = ["convention", "refactor", "warning", "error", "fatal", "information"]
@@ -186,8 +141,18 @@ def _items(n: Column, make) -> Column:
     return F.when(n > 0, F.to_json(F.transform(F.sequence(F.lit(0), n - 1), make))).otherwise(F.lit("[]"))
 
 
+def _files(spark, d) -> DataFrame:
+    """Documents as checked files, with their words."""
+    words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
+    return load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), words.alias("words"))
+
+
+def _word(i: Column) -> Column:
+    return F.coalesce(F.get("words", i.cast("int")), F.lit(""))
+
+
 def lint_reports(spark, d) -> DataFrame:
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    docs = _files(spark, d)
     fid = F.col("file_id")
     make = lambda i: F.struct(
         _pick(_LINT_TYPES, fid + i).alias("type"), F.lit("mod").alias("module"), F.lit("").alias("obj"),
@@ -195,18 +160,18 @@ def lint_reports(spark, d) -> DataFrame:
         F.when(i % 2 == 0, i + 2).cast("long").alias("endLine"),
         F.when(i % 2 == 0, fid % 5 + 3).alias("endColumn"), F.lit("file.py").alias("path"),
         F.concat(F.lit("rule-"), _s((fid + i) % 7)).alias("symbol"),
-        F.concat(F.lit("finding "), _s(fid), F.lit("."), _s(i)).alias("message"),
+        F.concat(F.lit("finding "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("message"),
         F.concat(F.lit("X"), F.lpad(_s((fid + i) % 100), 4, "0")).alias("message-id"))
     return docs.select("file_id", _items(fid % 4, make).alias("report"))
 
 
 def security_reports(spark, d) -> DataFrame:
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    docs = _files(spark, d)
     fid = F.col("file_id")
     make = lambda i: F.struct(
-        F.concat(F.lit("issue "), _s(fid), F.lit("."), _s(i)).alias("description"),
+        F.concat(F.lit("issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("description"),
         F.lit("check").alias("test"), F.concat(F.lit("B"), _s(100 + (fid + i) % 20)).alias("test_id"),
-        ((fid + i) % 50 + 1).alias("cwe_id"), _pick(_SEC_SEV, fid + i).alias("severity"),
+        ((fid + i) % 50).alias("cwe_id"), _pick(_SEC_SEV, fid + i).alias("severity"),
         _pick(_SEC_CONF, fid * (i + 1)).alias("confidence"), F.lit("o").alias("object"),
         F.array((i + 3).cast("long"), (i + 1).cast("long"), (i + 2).cast("long")).alias("line_range"),
         i.cast("long").alias("col"), (i + 4).cast("long").alias("col_end"))
@@ -214,12 +179,12 @@ def security_reports(spark, d) -> DataFrame:
 
 
 def type_reports(spark, d) -> DataFrame:
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    docs = _files(spark, d)
     fid = F.col("file_id")
     pos = lambda ln, ch: F.struct(ln.cast("long").alias("line"), ch.cast("long").alias("character"))
     make = lambda i: F.struct(
         _pick(_TYPE_SEV, fid + i).alias("severity"),
-        F.concat(F.lit("type issue "), _s(fid), F.lit("."), _s(i)).alias("message"),
+        F.concat(F.lit("type issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("message"),
         F.struct(pos(i * 2, i).alias("start"), pos(i * 2 + 1, i + 5).alias("end")).alias("range"))
     diags = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), fid % 3), make).alias("generalDiagnostics")))
     return docs.select("file_id", F.when(fid % 5 == 0, 0).otherwise(1).alias("exit_status"), diags.alias("report"))
@@ -229,22 +194,23 @@ def _arr(values: list[str]) -> str:
     return "[" + ", ".join(_q(v) for v in values) + "]"
 
 
+_WORD_SQL = "' ', coalesce(string_split(replace(text, chr(10), ' '), ' ')[i + 1], '')"
 _LINT_ROWS = f"""lint AS (SELECT doc_id AS file_id, i AS idx, {_arr(_LINT_TYPES)}[(doc_id + i) % 6 + 1] AS type,
        concat('rule-', cast((doc_id + i) % 7 AS varchar)) AS symbol,
-       concat('finding ', cast(doc_id AS varchar), '.', cast(i AS varchar)) AS message,
+       concat('finding ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS message,
        concat('X', lpad(cast((doc_id + i) % 100 AS varchar), 4, '0')) AS message_id, '' AS obj,
        i + 1 AS line, doc_id % 5 AS "column",
        CASE WHEN i % 2 = 0 THEN i + 2 END AS endLine, CASE WHEN i % 2 = 0 THEN doc_id % 5 + 3 END AS endColumn
-FROM (SELECT doc_id, unnest(range(doc_id % 4)) AS i FROM documents))"""
-_SEC_ROWS = f"""sec AS (SELECT doc_id AS file_id, i AS idx, concat('issue ', cast(doc_id AS varchar), '.', cast(i AS varchar)) AS description,
-       'check' AS test, concat('B', cast(100 + (doc_id + i) % 20 AS varchar)) AS test_id, (doc_id + i) % 50 + 1 AS cwe_id,
+FROM (SELECT doc_id, text, unnest(range(doc_id % 4)) AS i FROM documents))"""
+_SEC_ROWS = f"""sec AS (SELECT doc_id AS file_id, i AS idx, concat('issue ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS description,
+       'check' AS test, concat('B', cast(100 + (doc_id + i) % 20 AS varchar)) AS test_id, (doc_id + i) % 50 AS cwe_id,
        {_arr(_SEC_SEV)}[(doc_id + i) % 4 + 1] AS severity, {_arr(_SEC_CONF)}[(doc_id * (i + 1)) % 3 + 1] AS confidence,
        'o' AS object, i + 1 AS line, i + 3 AS line_end, i AS col, i + 4 AS col_end
-FROM (SELECT doc_id, unnest(range(doc_id % 3)) AS i FROM documents))"""
+FROM (SELECT doc_id, text, unnest(range(doc_id % 3)) AS i FROM documents))"""
 _TYPE_ROWS = f"""typ AS (SELECT doc_id AS file_id, i AS idx, {_arr(_TYPE_SEV)}[(doc_id + i) % 3 + 1] AS severity,
-       concat('type issue ', cast(doc_id AS varchar), '.', cast(i AS varchar)) AS message,
+       concat('type issue ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS message,
        i * 2 + 1 AS line, i * 2 + 2 AS endLine, i AS col, i + 5 AS endCol
-FROM (SELECT doc_id, unnest(range(doc_id % 3 + 1)) AS i FROM documents WHERE doc_id % 5 <> 0))"""
+FROM (SELECT doc_id, text, unnest(range(doc_id % 3 + 1)) AS i FROM documents WHERE doc_id % 5 <> 0))"""
 
 
 @register("txt08_lint_findings", f"""WITH {_LINT_ROWS}
@@ -253,9 +219,14 @@ def txt08_lint_findings(spark, d):
     return RP.lint_findings(lint_reports(spark, d))
 
 
-@register("txt09_security_findings", f"WITH {_SEC_ROWS} SELECT * FROM sec")
+_TEST_BASE, _CWE_BASE = "https://tests.example/", "https://weaknesses.example/"
+
+
+@register("txt09_security_findings", f"""WITH {_SEC_ROWS}
+SELECT *, concat('{_TEST_BASE}', lower(test_id), '.html') AS test_link,
+       CASE WHEN cwe_id = 0 THEN '' ELSE concat('{_CWE_BASE}', cast(cwe_id AS varchar), '.html') END AS cwe_link FROM sec""")
 def txt09_security_findings(spark, d):
-    return RP.security_findings(security_reports(spark, d))
+    return RP.security_findings(security_reports(spark, d), _TEST_BASE, _CWE_BASE)
 
 
 @register("txt10_type_findings", f"WITH {_TYPE_ROWS} SELECT * FROM typ")
@@ -276,7 +247,7 @@ allf AS (SELECT 'lint' AS tool, file_id, idx, type AS severity, line, message AS
 
 def _all_findings(spark, d):
     lint = RP.lint_findings(lint_reports(spark, d))
-    sec = RP.security_findings(security_reports(spark, d))
+    sec = RP.security_findings(security_reports(spark, d), _TEST_BASE, _CWE_BASE)
     typ = RP.type_findings(type_reports(spark, d))
     return lint, sec, typ
 
@@ -322,47 +293,62 @@ def txt13_finding_counts(spark, d):
 
 
 def test_reports(spark, d) -> DataFrame:
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    """Reports of nine kinds by file: three results, a result without two of its lists, and five
+    forms of a failed call (no payload, typed, timed out, without a value, untyped)."""
+    docs = _files(spark, d)
     fid = F.col("file_id")
-    k = fid % 6
-    total = _s(fid % 7 + 3)
-    rep = (F.when(k == 0, F.concat(F.lit('{"total": '), total,
-                                   F.lit(', "failures": [], "errors": [], "skipped": [], "successful": true}')))
-           .when(k == 1, F.concat(F.lit('{"total": '), total, F.lit(', "failures": ["f '), _s(fid),
-                                  F.lit('"], "errors": ["e '), _s(fid),
-                                  F.lit('"], "skipped": ["s"], "successful": false}')))
-           .when(k == 2, F.concat(F.lit('{"total": '), total,
-                                  F.lit(', "failures": [], "errors": [], "skipped": [], "successful": false}')))
-           .when(k == 3, F.lit('{"error": "Unhandled"}'))
-           .when(k == 4, F.lit('{"error": "Unhandled", "payload": {"errorType": "MemoryError", '
-                               '"errorMessage": "out of memory"}}'))
-           .otherwise(F.lit('{"error": "Unhandled", "errorMessage": "Task timed out after 3.00 seconds", '
-                            '"payload": {"errorMessage": "Task timed out after 3.00 seconds"}}')))
+    total = fid % 7 + 3
+    none = F.array().cast("array<string>")
+    said = lambda kind: F.array(F.concat(F.lit(f"{kind} "), _s(fid), F.lit(" "), _word(F.lit(0))))
+    call = lambda error, **more: F.to_json(F.struct(F.lit(error).alias("error"), *[v.alias(k) for k, v in more.items()]))
+    late = F.lit("Task timed out after 3.00 seconds")
+
+    def result(failures, errors, skipped, successful):
+        return F.to_json(F.struct(total.alias("total"), failures.alias("failures"), errors.alias("errors"), skipped.alias("skipped"),
+                                  F.lit(successful).alias("successful")))
+
+    k = fid % 9
+    rep = (F.when(k == 0, result(none, none, none, True)).when(k == 1, result(said("f"), said("e"), F.array(F.lit("s")), False))
+           .when(k == 2, result(none, none, none, False))
+           .when(k == 3, call("Unhandled", payload=F.struct(F.lit(None).cast("string").alias("x"))))
+           .when(k == 4, call("Unhandled", payload=F.struct(F.lit("MemoryError").alias("errorType"), _word(F.lit(1)).alias("errorMessage"))))
+           .when(k == 5, call("Unhandled", errorMessage=late, payload=F.struct(late.alias("errorMessage"))))
+           .when(k == 6, F.concat(F.lit('{"error": null, "payload": '), F.to_json(F.struct(_word(F.lit(1)).alias("errorMessage"))), F.lit("}")))
+           .when(k == 7, call("Unhandled", payload=F.struct(_word(F.lit(1)).alias("errorMessage"))))
+           .otherwise(F.to_json(F.struct(total.alias("total"), said("f").alias("failures"), F.lit(False).alias("successful")))))
     return docs.select("file_id", rep.alias("report"))
 
 
-@register("txt14_test_results_page", """
-SELECT doc_id AS file_id, doc_id % 6 = 0 AS success,
-       CASE doc_id % 6 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 4 WHEN 2 THEN doc_id % 7 + 3 - 1
+_FIRST = "coalesce(string_split(replace(text, chr(10), ' '), ' ')[{n}], '')"
+_SAID = "concat('{kind} ', cast(doc_id AS varchar), ' ', " + _FIRST.format(n=1) + ")"
+
+
+@register("txt14_test_results_page", f"""
+SELECT doc_id AS file_id, doc_id % 9 = 0 AS success,
+       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 4 WHEN 2 THEN doc_id % 7 + 3 - 1
                        ELSE 0 END AS ok,
-       CAST(CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS BIGINT) AS fail,
-       CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('f ', cast(doc_id AS varchar), chr(10), 'e ', cast(doc_id AS varchar))
+       CAST(CASE doc_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS BIGINT) AS fail,
+       CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN concat({_SAID.format(kind='f')}, chr(10), {_SAID.format(kind='e')})
                        ELSE 'Failed to run unit tests' END AS messages
 FROM documents""")
 def txt14_test_results_page(spark, d):
     return RP.test_results(test_reports(spark, d), "page")
 
 
-@register("txt14_test_results_handle", """
-SELECT doc_id AS file_id, doc_id % 6 = 0 AS success,
-       CASE WHEN doc_id % 6 < 3 THEN doc_id % 7 + 3 ELSE 0 END AS executed,
-       CASE doc_id % 6 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 3 WHEN 2 THEN doc_id % 7 + 3 END AS ok,
-       CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('e ', cast(doc_id AS varchar), chr(10), 'f ', cast(doc_id AS varchar))
-                       WHEN 2 THEN '' WHEN 4 THEN 'Unhandled: MemoryError: out of memory'
-                       WHEN 5 THEN 'Unhandled: Execution took too long, task timed out.' END AS messages
+@register("txt14_test_results_handle", f"""
+SELECT doc_id AS file_id, doc_id % 9 = 0 AS success,
+       CASE WHEN doc_id % 9 IN (0, 1, 2, 8) THEN doc_id % 7 + 3 ELSE 0 END AS executed,
+       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 3 WHEN 2 THEN doc_id % 7 + 3 WHEN 8 THEN doc_id % 7 + 2 END AS ok,
+       CASE doc_id % 9 WHEN 1 THEN {_SAID.format(kind='e')} WHEN 3 THEN 'Unhandled'
+                       WHEN 4 THEN concat('Unhandled: MemoryError: ', {_FIRST.format(n=2)})
+                       WHEN 5 THEN 'Unhandled: Execution took too long, task timed out.' WHEN 6 THEN concat('None: ', {_FIRST.format(n=2)})
+                       WHEN 7 THEN concat('Unhandled: ', {_FIRST.format(n=2)}) ELSE '' END AS errors,
+       CASE WHEN doc_id % 9 IN (1, 8) THEN {_SAID.format(kind='f')} WHEN doc_id % 9 IN (0, 2) THEN '' END AS failures,
+       CASE WHEN doc_id % 9 = 1 THEN 's' WHEN doc_id % 9 IN (0, 2, 8) THEN '' END AS skipped
 FROM documents""")
 def txt14_test_results_handle(spark, d):
-    return RP.test_results(test_reports(spark, d), "handle")
+    out = RP.test_results(test_reports(spark, d), "handle")
+    return out.withColumns({c: F.array_join(c, "\n") for c in ("errors", "failures", "skipped")})
 
 
 @register("txt15_nl_to_br", "SELECT conv_id, turn, replace(text, chr(10), '<br>') AS html FROM conversations")

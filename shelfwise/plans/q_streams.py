@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 from shelfwise.operators import rates as R
 from shelfwise.plans.oracle_views import EPOCH, with_views
 from shelfwise.plans.registry import register
-from shelfwise.sources.tables import load, view
+from shelfwise.sources.tables import kv_changes, load, view
 from shelfwise.streaming import runner
 from shelfwise.streaming import streams as ST
 
-_DELAY_MS = 2 * 3600 * 1000
-_WM_MS = f"(SELECT (max(epoch_us(ts)) // 1000) - {_DELAY_MS} FROM events)"
-# STR-05's watermark follows its own input: lock (error), unlock (view) and session (click) events.
-_WM_MS_EXPIRY = (f"(SELECT (max(epoch_us(ts)) // 1000) - {_DELAY_MS} FROM events "
-                 f"WHERE event_type IN ('error', 'view', 'click'))")
+DELAY = "2 hours"
+_DELAY = 2 * 3600
+_WM_MS = f"(SELECT (max(epoch_us(ts)) // 1000) - {_DELAY * 1000} FROM events)"
+
+
+def _watermark(types: str) -> str:
+    """Seconds: the greatest event time of these types, less the delay."""
+    return f"(SELECT max(epoch_us(ts) // 1000000) - {_DELAY} FROM events WHERE event_type IN ({types}))"
+
+
+# STR-05's watermark is the lesser of its two inputs'.
+_WM_EXPIRY = f"least({_watermark(repr('click'))}, {_watermark(repr('error') + ', ' + repr('view'))})"
 _IP = "concat('10.0.0.', cast(user_id % 50 AS varchar))"
 
 _INGEST_SQL = f"""SELECT event_id, user_id, event_type, value, {EPOCH} AS event_time FROM events
@@ -25,16 +32,21 @@ WHERE event_id IS NOT NULL AND user_id IS NOT NULL
   AND event_type IN ('signup', 'purchase', 'error', 'view', 'click')"""
 
 
+def _with_repeats(ev):
+    """Every seventh event comes twice, as a log that is sent again would bring it."""
+    return ev.withColumn("_copy", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
+
+
 @register("str01_ingest_events", _INGEST_SQL)
 def str01_ingest_events(spark, d):
-    return runner.run_append(ST.ingest_events(ST.event_stream(spark, d)), "str01")
+    return runner.run_append(ST.ingest_events(_with_repeats(ST.event_stream(spark, d)), DELAY), "str01")
 
 
 @register("str01_ingest_events_batch", _INGEST_SQL)
 def str01_ingest_events_batch(spark, d):
     ev = load(spark, d, "events").withColumn("event_time", F.timestamp_diff(
         "SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts")))
-    return ST.ingest_events_batch(ev)
+    return ST.ingest_events_batch(_with_repeats(ev))
 
 
 @register("str02_create_rate_by_ip", f"""
@@ -43,7 +55,7 @@ w AS (SELECT remote_ip, (us // 3600000000 - k) * 3600 AS window_start FROM c, ra
 SELECT window_start, window_start + 86400 AS window_end, remote_ip, count(*) AS creates, count(*) >= 2 AS at_limit
 FROM w GROUP BY ALL""")
 def str02_create_rate_by_ip(spark, d):
-    s = ST.create_rate_by_ip(ST.event_stream(spark, d))
+    s = ST.create_rate_by_ip(ST.event_stream(spark, d), DELAY)
     return runner.run_update(s, "str02ip", ["window_start", "remote_ip"])
 
 
@@ -52,7 +64,7 @@ WITH c AS (SELECT (epoch_us(ts) // 86400000000) * 86400 AS window_start FROM eve
 SELECT window_start, window_start + 86400 AS window_end, count(*) AS creates, count(*) >= 5 AS at_limit
 FROM c GROUP BY ALL""")
 def str02_create_rate_daily(spark, d):
-    s = ST.create_rate_daily(ST.event_stream(spark, d))
+    s = ST.create_rate_daily(ST.event_stream(spark, d), DELAY)
     return runner.run_update(s, "str02day", ["window_start"])
 
 
@@ -65,7 +77,7 @@ s AS (SELECT user_id, min(us) AS session_start_us, max(us) + 3600000000 AS sessi
       FROM g GROUP BY user_id, sid)
 SELECT * FROM s WHERE session_end_us <= {_WM_MS} * 1000""")
 def str03_activity_sessions(spark, d):
-    return runner.run_append(ST.activity_sessions(ST.event_stream(spark, d)), "str03")
+    return runner.run_append(ST.activity_sessions(ST.event_stream(spark, d), DELAY), "str03")
 
 
 @register("str04_live_ratings", with_views("""
@@ -74,7 +86,7 @@ SELECT function_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS total,
 FROM ratings GROUP BY function_id""", "ratings"))
 def str04_live_ratings(spark, d):
     live = ST.live_ratings(ST.rating_submissions(spark, d))
-    return ST.with_average(runner.run_update(live, "str04", ["function_id"]))
+    return ST.live_averages(runner.run_update(live, "str04", ["function_id", "user_id"]))
 
 
 @register("str05_expiry_events", f"""
@@ -82,11 +94,11 @@ WITH a AS (SELECT event_id, user_id, {EPOCH} AS t, event_type FROM events WHERE
 lk AS (SELECT event_id, user_id, t, event_type, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next_t
        FROM a WHERE event_type IN ('error', 'view'))
 SELECT user_id, 'unlocked' AS kind, event_id AS ref_id, t + 300 AS due FROM lk
-WHERE event_type = 'error' AND ((next_t IS NOT NULL AND t + 300 <= next_t) OR (next_t IS NULL AND (t + 300) * 1000 <= {_WM_MS_EXPIRY}))
+WHERE event_type = 'error' AND (t + 300 <= next_t OR next_t IS NULL) AND t + 300 <= {_WM_EXPIRY}
 UNION ALL
-SELECT user_id, 'expired', event_id, t + 3600 FROM a WHERE event_type = 'click' AND (t + 3600) * 1000 <= {_WM_MS_EXPIRY}""")
+SELECT user_id, 'expired', event_id, t + 3600 FROM a WHERE event_type = 'click' AND t + 3600 <= {_WM_EXPIRY}""")
 def str05_expiry_events(spark, d):
-    return runner.run_append(ST.expiry_events(ST.event_stream(spark, d)), "str05")
+    return runner.run_append(ST.expiry_events(ST.event_stream(spark, d), DELAY), "str05")
 
 
 _ADMIT_SQL = f"""
@@ -107,9 +119,10 @@ r AS (
 SELECT event_id, remote_ip, event_time, admitted FROM r"""
 
 
-@register("str06_admit", _ADMIT_SQL)
+@register("str06_admit", _ADMIT_SQL + f" WHERE event_time + 1 <= {_watermark(repr('signup'))}")
 def str06_admit(spark, d):
-    return runner.run_append(ST.admit(ST.event_stream(spark, d)), "str06")
+    # Decided as far as the watermark has come.
+    return runner.run_append(ST.admit(ST.event_stream(spark, d), DELAY), "str06")
 
 
 @register("str06_admit_batch", _ADMIT_SQL)
@@ -122,6 +135,6 @@ SELECT session_id, key, val FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id, key ORDER BY seq DESC) AS rn FROM kv_log)
 WHERE rn = 1 AND val IS NOT NULL""", "kv_log"))
 def str07_live_state(spark, d):
-    live = runner.run_update(ST.live_state(ST.kv_changes(ST.event_stream(spark, d))), "str07",
+    live = runner.run_update(ST.live_state(kv_changes(ST.event_stream(spark, d))), "str07",
                              ["session_id", "key"])
     return live.filter(F.col("val").isNotNull()).select("session_id", "key", "val")

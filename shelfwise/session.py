@@ -2,18 +2,20 @@
 
 On a cluster the session comes configured: ``spark.checkpoint.dir`` names a
 folder every executor can reach.  Operators that write intermediate tables
-(checkpoints, streaming sinks, stream checkpoints) put them below that folder;
-only when it is unset (local tests) do we choose one ourselves.
+(written tables, streaming sinks, stream checkpoints) put them below that folder;
+only with a local master and no such setting do we choose one ourselves.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings every job in this package relies on.
 #  - UTC so that epoch <-> text formatting is the same on every host.
@@ -92,7 +94,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="shelfwise-pyfiles-"), "shelfwise.zip")
+    folder = tempfile.mkdtemp(prefix="shelfwise-pyfiles-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = os.path.join(folder, "shelfwise.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
@@ -104,7 +108,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing one only if none is set."""
+    """Return the shared checkpoint folder.
+
+    On a cluster the session must name one (``spark.checkpoint.dir``): a folder of one machine would
+    lose rows without a word, so there is none to fall back on.  A local master gets a temporary
+    folder, which goes with the session.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -112,33 +121,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Local runs only: the cluster always names a shared folder.
-        configured = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
+        configured = _local_folder(sc.master)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
-def checkpoint_table(df):
-    """Cut lineage with a reliable checkpoint (in the shared checkpoint folder).
+def _local_folder(master: str) -> str:
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master!r} it has to name a folder that "
+                           "the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
-    The plan is cached for the duration of the write, so it is computed once,
-    not once for the job and again for the checkpoint files; the cache is
-    released as soon as the files are written.
-    """
-    from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+def checkpoint_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` below the shared checkpoint folder and read it back.
+
+    The plan runs once, nothing is cached on an executor's own disk, and a lost executor costs
+    only a read of the written files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/shelfwise/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path below this application's folder in the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfwise/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder.  DataFrames that still read it
+    (results of operators that cut lineage, stream sinks) are not usable afterwards."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "ship_package", "checkpoint_table",
-           "BASE_CONF"]
+__all__ = ["get_session", "apply_conf", "ensure_checkpoint_dir", "scratch_path", "clear_scratch", "ship_package",
+           "checkpoint_table", "BASE_CONF"]

@@ -135,8 +135,9 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("session_id"), "user_id", epoch_seconds("ts").alias("created"))
 
 
-def _ip(user_id: Column) -> Column:
-    return F.concat(F.lit("10.0.0."), _str(user_id % 50))
+def ip_of(user_id: str) -> Column:
+    """The stand-in address of a user."""
+    return F.concat(F.lit("10.0.0."), _str(F.col(user_id) % 50))
 
 
 def account_events(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ def account_events(spark: SparkSession, d: str) -> DataFrame:
         "event_id", "user_id", epoch_seconds("ts").alias("event_time"),
         F.when(F.col("event_type") == "signup", "create").otherwise("other").alias("event_type"),
         (F.col("value") >= 20).alias("success"),
-        _ip(F.col("user_id")).alias("remote_ip"))
+        ip_of("user_id").alias("remote_ip"))
 
 
 def auth_events(spark: SparkSession, d: str) -> DataFrame:
@@ -154,12 +155,15 @@ def auth_events(spark: SparkSession, d: str) -> DataFrame:
         "event_id", "user_id", epoch_seconds("ts").alias("event_time"),
         F.when(F.col("event_type") == "click", "login").otherwise("verification").alias("event_type"),
         (F.col("value") >= 20).alias("success"),
-        _ip(F.col("user_id")).alias("remote_ip"))
+        ip_of("user_id").alias("remote_ip"))
 
 
 def kv_log(spark: SparkSession, d: str) -> DataFrame:
-    """Session-state changes: (seq, session_id, key, val); NULL val = delete."""
-    ev = load(spark, d, "events")
+    return kv_changes(load(spark, d, "events"))
+
+
+def kv_changes(ev: DataFrame) -> DataFrame:
+    """Session-state changes of events (a table or a stream): (seq, session_id, key, val); NULL val = delete."""
     return ev.select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"),
         F.concat(F.lit("k"), _str(F.col("event_id") % 5)).alias("key"),

@@ -3,7 +3,7 @@
 New ids are dense and follow the order of a unique key, as a SERIAL column
 would after a sorted insert.  A global ``row_number()`` would move every row
 into one task, so instead the rows are range-partitioned by the key, the
-partition assignment is pinned with a reliable ``checkpoint()`` (in the shared
+range of every row is pinned by writing it with the row (below the shared
 ``spark.checkpoint.dir``, so a lost executor cannot re-sample the ranges
 differently), each range is numbered locally, and the ranges are offset by the
 counts of the ranges before them (one small row per range).
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from shelfwise.session import checkpoint_table, ensure_checkpoint_dir
+from shelfwise.session import checkpoint_table
 
 
 def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int = 1,
@@ -29,7 +29,6 @@ def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int
     offset in each partition is the count of its rows in earlier partitions.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     group = list(group)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = checkpoint_table(df.repartitionByRange(n, *group, *order).withColumn("_rp", F.spark_partition_id()))
@@ -63,9 +62,14 @@ def insert_with_defaults(existing: DataFrame, new_rows: DataFrame, id_col: str,
     return sequential_ids(rows, order, id_col, start)
 
 
-def append_events(df: DataFrame, path: str, partition_by: str = "event_type") -> None:
-    """SRC-03: append event rows, partitioned by type (one folder per type)."""
-    df.write.mode("append").partitionBy(partition_by).parquet(path)
+def append_events(df: DataFrame, path: str, batch: str, partition_by: str = "event_type") -> None:
+    """SRC-03: append event rows, partitioned by batch and type.
+
+    A batch that is written again replaces its own rows instead of adding to them.  The rows are
+    rebalanced by type first, so a type gets files of the advisory size, not one per task.
+    """
+    df.hint("rebalance", F.col(partition_by)).write.mode("overwrite").partitionBy(partition_by) \
+        .parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def with_event_reason(df: DataFrame) -> DataFrame:

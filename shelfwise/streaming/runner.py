@@ -7,30 +7,57 @@ written by ``foreachBatch`` with the batch id; the table's current contents
 are, per key, the row of the latest batch that touched the key.  Each batch
 overwrites its own ``batch_id=<n>`` folder, so a batch re-executed after a
 failure replaces its earlier output instead of adding to it.
+
+Rows that come later than a watermark allows are dropped by Spark; the runner reads their number from
+the query's progress and fails if there are any, so that no result is short without a word.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.session import scratch_path
 
 
+class LateRows(RuntimeError):
+    """Rows were later than the operator's delay allows; ``n`` of them (as the operators count)."""
+
+    def __init__(self, name: str, n: int):
+        super().__init__(f"{name}: {n} rows came later than the watermark's delay; ask for a longer delay")
+        self.n = n
+
+
+def _finish(query, name: str) -> None:
+    query.awaitTermination()
+    late = sum(op.get("numRowsDroppedByWatermark") or 0 for p in query.recentProgress
+               for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p)).get("stateOperators", []))
+    if late:
+        raise LateRows(name, late)
+
+
+def _keep_progress(spark: SparkSession) -> None:
+    """All batches of a run stay in the query's progress, not only the last hundred."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
+    _keep_progress(spark)
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q, name)
     return spark.read.schema(stream.schema).parquet(sink)
 
 
 def run_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     spark = stream.sparkSession
+    _keep_progress(spark)
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -38,7 +65,7 @@ def run_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
          .outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q, name)
     schema = T.StructType(list(stream.schema.fields) + [T.StructField("batch_id", T.LongType())])
     rows = spark.read.schema(schema).option("basePath", sink).parquet(sink) if _exists(spark, sink) else \
         spark.createDataFrame([], schema)

@@ -1,9 +1,10 @@
 """Stream jobs over the event and rating logs (STR-01..07).
 
-Sources are parquet file streams with fixed schemas; ``ts`` is zone-less, so
-it is cast to a timestamp (UTC session) before ``withWatermark``.  Late rows
-within the watermark delay are kept; later ones are dropped.  Keyed state is
-always keyed by high-cardinality keys (user, function, address, session).
+Sources are parquet file streams with fixed schemas; ``ts`` is zone-less, so it is cast to a
+timestamp (UTC session).  How many files a micro-batch reads, and in which order they come, changes
+no result: rows may be late by ``delay``, which every operator that has a watermark asks for, and the
+runner fails when rows came later than that.  Answers that depend on order (locks, admission) follow
+event time and are given once the watermark has passed.
 """
 
 from __future__ import annotations
@@ -17,34 +18,31 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from shelfwise.functions.numeric import exact_mean, round_half_up
 from shelfwise.functions.timecols import epoch_seconds
-from shelfwise.operators.rates import ADDRESS_LIMIT, ADMIT_SCHEMA, DAY, TOTAL_LIMIT, admit_rows
-from shelfwise.sources.tables import SCHEMAS, load
+from shelfwise.operators.rates import ADDRESS_LIMIT, ADMIT_SCHEMA, DAY, TOTAL_LIMIT, admitted_ids
+from shelfwise.sources.tables import SCHEMAS, ip_of, load
+from shelfwise.sources.tables import functions as functions_view
 
-WATERMARK_DELAY = "2 hours"
-# Bounds the size of one micro-batch when a large backlog of files is waiting.
-MAX_FILES_PER_TRIGGER = 1000
+# The event types, and the seconds after which a lock and a session end.
 EVENT_TYPES = ("signup", "purchase", "error", "view", "click")
 LOCK_TTL = 300
 SESSION_TTL = 3600
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str,
-                max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """A parquet file stream over ``<dir>/<name>*.parquet`` with the table's fixed schema."""
-    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", max_files) \
-        .parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet")
+def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A parquet file stream over ``<dir>/<name>*.parquet`` with the table's fixed schema.
+    ``max_files`` bounds a micro-batch; without it a backlog is one batch."""
+    r = spark.readStream.schema(SCHEMAS[name])
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     s = file_stream(spark, sf_dir, "events", max_files)
     return s.withColumn("event_ts", F.col("ts").cast("timestamp")) \
         .withColumn("event_time", epoch_seconds("ts"))
 
 
-def _ip(c):
-    return F.concat(F.lit("10.0.0."), (c % 50).cast("string"))
-
-
 # ---------------------------------------------------------------- STR-01
 
 def validate_events(df: DataFrame) -> DataFrame:
@@ -52,7 +50,7 @@ def validate_events(df: DataFrame) -> DataFrame:
                      & F.col("event_type").isin(*EVENT_TYPES))
 
 
-def ingest_events(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
+def ingest_events(events: DataFrame, delay: str) -> DataFrame:
     """STR-01: validate, stamp (epoch seconds), drop duplicate event ids within the watermark."""
     v = validate_events(events).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return v.select("event_id", "user_id", "event_type", "value", "event_time")
@@ -68,10 +66,10 @@ def ingest_events_batch(events: DataFrame) -> DataFrame:
 
 def creates(events: DataFrame) -> DataFrame:
     return events.filter(F.col("event_type") == "signup") \
-        .select("event_id", "event_ts", "event_time", _ip(F.col("user_id")).alias("remote_ip"))
+        .select("event_id", "event_ts", "event_time", ip_of("user_id").alias("remote_ip"))
 
 
-def create_rate_by_ip(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
+def create_rate_by_ip(events: DataFrame, delay: str) -> DataFrame:
     """STR-02: creates per address in 24 h windows sliding by 1 h, with the at-limit flag.
 
     The window grid is aligned to the hour; it approximates the exact trailing
@@ -85,7 +83,7 @@ def create_rate_by_ip(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFr
                     (F.col("creates") >= ADDRESS_LIMIT).alias("at_limit"))
 
 
-def create_rate_daily(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
+def create_rate_daily(events: DataFrame, delay: str) -> DataFrame:
     """STR-02: total creates per (tumbling) day, with the at-limit flag."""
     c = creates(events).withWatermark("event_ts", delay)
     g = c.groupBy(F.window("event_ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("creates"))
@@ -94,15 +92,9 @@ def create_rate_daily(events: DataFrame, delay: str = WATERMARK_DELAY) -> DataFr
                     (F.col("creates") >= TOTAL_LIMIT).alias("at_limit"))
 
 
-def create_rate(events: DataFrame, delay: str = WATERMARK_DELAY) -> tuple[DataFrame, DataFrame]:
-    """STR-02: (per-address sliding-window creates, daily total creates)."""
-    return create_rate_by_ip(events, delay), create_rate_daily(events, delay)
-
-
 # ---------------------------------------------------------------- STR-03
 
-def activity_sessions(events: DataFrame, gap_seconds: int = SESSION_TTL,
-                      delay: str = WATERMARK_DELAY) -> DataFrame:
+def activity_sessions(events: DataFrame, delay: str, gap_seconds: int = SESSION_TTL) -> DataFrame:
     """STR-03: activity sessions per user, closed after ``gap_seconds`` without events.
 
     Session windows only support append mode: a session is emitted once the
@@ -118,42 +110,7 @@ def activity_sessions(events: DataFrame, gap_seconds: int = SESSION_TTL,
 
 # ---------------------------------------------------------------- STR-04
 
-class LiveRatingProcessor(StatefulProcessor):
-    """Running (count, total) per function with upsert meaning: a user's newer
-    rating replaces the older one, whose value is subtracted."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.by_user = handle.getMapState("by_user", "user_id bigint", "seq bigint, value bigint")
-        self.agg = handle.getValueState("agg", "n bigint, total bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # The upsert compares (seq, value), so Arrow chunks are applied one at a time
-        # (memory bounded by the chunk, even for a function with a third of all rows).
-        fresh = not self.agg.exists()          # a function seen for the first time has no users yet
-        n, total = (0, 0) if fresh else self.agg.get()
-        seen: set[int] = set()                 # users already written in this call
-        for chunk in rows:
-            # Within a chunk, only each user's latest submission matters.
-            pdf = chunk.sort_values(["user_id", "seq", "value"]).drop_duplicates("user_id", keep="last")
-            for uid, seq, value in zip(pdf["user_id"], pdf["seq"], pdf["value"]):
-                uid, seq, value = int(uid), int(seq), int(value)
-                prev = None if fresh and uid not in seen else self.by_user.getValue((uid,))
-                if prev is None:
-                    n, total = n + 1, total + value
-                elif (seq, value) > (prev[0], prev[1]):
-                    total += value - prev[1]
-                else:
-                    continue
-                self.by_user.updateValue((uid,), (seq, value))
-                seen.add(uid)
-        self.agg.update((n, total))
-        yield pd.DataFrame({"function_id": [int(key[0])], "n": [n], "total": [total]})
-
-    def close(self) -> None:
-        pass
-
-
-def rating_submissions(spark: SparkSession, sf_dir: str, max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+def rating_submissions(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The rating log as a stream: line items (stream) x orders (static), validated
     against the (static) functions table, self-ratings removed."""
     li = file_stream(spark, sf_dir, "lineitem", max_files)
@@ -161,145 +118,75 @@ def rating_submissions(spark: SparkSession, sf_dir: str, max_files: int = MAX_FI
     log = li.join(o, li.l_orderkey == o.o_orderkey, "inner").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("function_id"), F.col("l_linenumber").cast("long").alias("value"))
-    from shelfwise.sources.tables import functions as functions_view
     authors = functions_view(spark, sf_dir).select("function_id", F.col("user_id").alias("_author"))
     return log.filter(F.col("value").between(1, 5)).join(authors, "function_id", "inner") \
         .filter(F.col("user_id") != F.col("_author")).drop("_author")
 
 
 def live_ratings(submissions: DataFrame) -> DataFrame:
-    """STR-04: (function_id, n, total) after each batch, update mode."""
-    return submissions.groupBy("function_id").transformWithStateInPandas(
-        statefulProcessor=LiveRatingProcessor(),
-        outputStructType="function_id bigint, n bigint, total bigint",
-        outputMode="Update", timeMode="None")
+    """STR-04: the rating every user holds on every function, in update mode: the latest submission
+    replaces the one before it.  No key is larger than one user's ratings of one function."""
+    g = submissions.groupBy("function_id", "user_id").agg(F.max(F.struct("seq", "value")).alias("l"))
+    return g.select("function_id", "user_id", F.col("l.value").alias("value"))
 
 
-def with_average(live: DataFrame, digits: int = 1) -> DataFrame:
-    return live.withColumn("average", round_half_up(exact_mean(F.col("total"), F.col("n")), digits))
+def live_averages(ratings: DataFrame, digits: int = 1) -> DataFrame:
+    """(function_id, n, total, average) of the ratings that ``live_ratings`` has written so far."""
+    g = ratings.groupBy("function_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return g.withColumn("average", round_half_up(exact_mean(F.col("total"), F.col("n")), digits))
 
 
 # ---------------------------------------------------------------- STR-05
 
-EXPIRY_SCHEMA = "user_id bigint, kind string, ref_id bigint, due bigint"
+def _seconds(delay: str, more: int = 0) -> str:
+    """An interval text, ``more`` seconds longer."""
+    return f"{delay} {more} seconds" if more else delay
 
 
-class ExpiryProcessor(StatefulProcessor):
-    """Per user: a pending lock expires ``lock_ttl`` s after it was set (unless
-    unlocked or re-locked first); each session expires ``session_ttl`` s after
-    creation.  Emits 'unlocked' / 'expired' rows by event time.
+def expired_sessions(events: DataFrame, delay: str, ttl: int = SESSION_TTL) -> DataFrame:
+    """STR-05, sessions: each session (click event) expires ``ttl`` s after it began.
 
-    One event-time timer per user, at the earliest pending expiry.  When it
-    fires, everything due up to the current watermark is emitted in one sweep
-    and the timer is re-armed at the next pending expiry, so state calls grow
-    with the pending items, not with the events.
+    Needs no history: a session is a key of its own, in the one-second window that ends when it
+    expires, and append mode gives it out when the watermark reaches that end.
     """
+    s = events.filter(F.col("event_type") == "click") \
+        .withColumn("last_ts", F.timestamp_seconds(F.col("event_time") + F.lit(ttl - 1))) \
+        .withWatermark("last_ts", _seconds(delay, ttl - 1))
+    g = s.groupBy(F.window("last_ts", "1 second").alias("w"), "user_id", "event_id").agg(F.count(F.lit(1)).alias("_n"))
+    return g.select("user_id", F.lit("expired").alias("kind"), F.col("event_id").alias("ref_id"),
+                    F.unix_seconds(F.col("w.end")).alias("due"))
 
-    def __init__(self, lock_ttl: int = LOCK_TTL, session_ttl: int = SESSION_TTL):
-        self.lock_ttl, self.session_ttl = lock_ttl, session_ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lock = handle.getValueState("lock", "due bigint, ref bigint")
-        self.sessions = handle.getMapState("sessions_by_due", "due bigint", "ids string")
-        self.timer = handle.getValueState("timer", "at_ms bigint")
-
-    def _out(self, uid, rows) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame({"user_id": pd.array([uid] * len(rows), dtype="int64"),
-                                "kind": [r[0] for r in rows],
-                                "ref_id": pd.array([int(r[1]) for r in rows], dtype="int64"),
-                                "due": pd.array([int(r[2]) for r in rows], dtype="int64")})
-
-    def _arm(self, earliest_due: int | None) -> None:
-        """Make sure a timer is set at ``earliest_due`` (seconds); None clears it."""
-        if earliest_due is None:
-            self.timer.clear()
-            return
-        at = earliest_due * 1000
-        current = self.timer.get()[0] if self.timer.exists() else None
-        if current != at:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        uid = int(key[0])
-        # Lock semantics need time order, so one key's rows of this micro-batch are sorted
-        # together (three narrow columns; bounded by the micro-batch size).
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
-        out = []
-        pending = self.lock.get() if self.lock.exists() else None
-        new_sessions: dict[int, list[int]] = {}
-        for eid, t, kind in zip(pdf["event_id"], pdf["event_time"], pdf["kind"]):
-            eid, t = int(eid), int(t)
-            if kind in ("lock", "unlock") and pending is not None:
-                if pending[0] <= t:          # it ran out before this action
-                    out.append(("unlocked", pending[1], pending[0]))
-                pending = None
-            if kind == "lock":
-                pending = (t + self.lock_ttl, eid)
-            elif kind == "session":
-                new_sessions.setdefault(t + self.session_ttl, []).append(eid)
-        fresh = not self.sessions.exists()
-        for due, ids in new_sessions.items():
-            prev = None if fresh else self.sessions.getValue((due,))
-            joined = ",".join(([prev[0]] if prev else []) + [str(i) for i in ids])
-            self.sessions.updateValue((due,), (joined,))
-        if pending is None:
-            self.lock.clear()
-        else:
-            self.lock.update(pending)
-        candidates = [d for d in (pending[0] if pending else None,
-                                  min(new_sessions) if new_sessions else None,
-                                  self.timer.get()[0] // 1000 if self.timer.exists() else None)
-                      if d is not None]
-        self._arm(min(candidates) if candidates else None)
-        yield from self._out(uid, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        uid = int(key[0])
-        wm = timerValues.getCurrentWatermarkInMs()
-        out, remaining = [], []
-        if self.lock.exists():
-            due, ref = self.lock.get()
-            if due * 1000 <= wm:
-                out.append(("unlocked", ref, due))
-                self.lock.clear()
-            else:
-                remaining.append(due)
-        for (due,), (ids,) in list(self.sessions.iterator()):
-            if due * 1000 <= wm:
-                out.extend(("expired", int(i), due) for i in ids.split(","))
-                self.sessions.removeKey((due,))
-            else:
-                remaining.append(due)
-        self.timer.clear()
-        self._arm(min(remaining) if remaining else None)
-        yield from self._out(uid, out)
+def expired_locks(events: DataFrame, delay: str, ttl: int = LOCK_TTL) -> DataFrame:
+    """STR-05, locks: a lock (error event) runs out ``ttl`` s later unless the user is locked or
+    unlocked (view event) again before.
 
-    def close(self) -> None:
-        pass
+    Actions less than ``ttl`` apart form a session window; every lock in it but its last action was
+    overtaken, and the window ends when the last action's lock runs out.  Windows merge whatever
+    order the rows come in.
+    """
+    s = events.filter(F.col("event_type").isin("error", "view")) \
+        .withColumn("action_ts", F.timestamp_seconds("event_time")).withWatermark("action_ts", delay)
+    last = F.max(F.struct("event_time", "event_id", "event_type")).alias("l")
+    g = s.groupBy(F.session_window("action_ts", f"{ttl} seconds").alias("w"), "user_id").agg(last)
+    return g.filter(F.col("l.event_type") == "error").select(
+        "user_id", F.lit("unlocked").alias("kind"), F.col("l.event_id").alias("ref_id"), F.unix_seconds(F.col("w.end")).alias("due"))
 
 
-def expiry_events(events: DataFrame, delay: str = WATERMARK_DELAY, lock_ttl: int = LOCK_TTL,
-                  session_ttl: int = SESSION_TTL) -> DataFrame:
-    """STR-05: lock actions (error events), unlocks (view events) and sessions
-    (click events) in, 'unlocked' and 'expired' rows out, by event-time timers."""
-    et = F.col("event_type")
-    kind = F.when(et == "error", "lock").when(et == "view", "unlock").when(et == "click", "session")
-    # The watermark follows the operator's own input (lock, unlock and session
-    # events); Catalyst would push the filter below it anyway.
-    acts = events.select("event_id", "user_id", "event_ts", "event_time", kind.alias("kind")) \
-        .filter(F.col("kind").isNotNull()).withWatermark("event_ts", delay)
-    return acts.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=ExpiryProcessor(lock_ttl, session_ttl), outputStructType=EXPIRY_SCHEMA,
-        outputMode="Append", timeMode="EventTime")
+def expiry_events(events: DataFrame, delay: str, lock_ttl: int = LOCK_TTL, session_ttl: int = SESSION_TTL) -> DataFrame:
+    """STR-05: 'unlocked' and 'expired' rows (user_id, kind, ref_id, due), once the watermark, the
+    lesser of both inputs' own, has reached ``due``."""
+    return expired_locks(events, delay, lock_ttl).unionByName(expired_sessions(events, delay, session_ttl))
 
 
 # ---------------------------------------------------------------- STR-06
 
 class AdmissionProcessor(StatefulProcessor):
-    """STR-06: per address, the admitted creation times of the last ``span`` seconds."""
+    """STR-06: per address, the admitted creation times of the last ``span`` seconds.
+
+    Rows are seconds (t, ids in order) that the watermark has passed: a later batch holds only later
+    seconds, so sorting within the batch gives event-time order and the state stays at ``limit`` times.
+    """
 
     def __init__(self, limit: int = ADDRESS_LIMIT, span: int = DAY):
         self.limit, self.span = limit, span
@@ -308,42 +195,34 @@ class AdmissionProcessor(StatefulProcessor):
         self.admitted = handle.getListState("admitted", "t bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Admission is order-dependent: one address's rows of this micro-batch are sorted
-        # together (three narrow columns; bounded by the micro-batch size).
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "event_id"])
+        seconds = sorted((int(t), sorted(map(int, ids))) for chunk in rows for t, ids in zip(chunk["event_time"], chunk["ids"]))
         times = [int(r[0]) for r in self.admitted.get()] if self.admitted.exists() else []
-        flags = admit_rows(pdf, times, self.limit, self.span)
+        events = [(i, t) for t, ids in seconds for i in ids]
+        yes = set(admitted_ids(((t, i) for i, t in events), times, self.limit, self.span))
         self.admitted.put([(t,) for t in times])
-        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64").values, "remote_ip": key[0],
-                            "event_time": pdf["event_time"].astype("int64").values, "admitted": flags})
+        yield pd.DataFrame({"event_id": pd.array([i for i, _ in events], dtype="int64"), "remote_ip": key[0],
+                            "event_time": pd.array([t for _, t in events], dtype="int64"), "admitted": [i in yes for i, _ in events]})
 
     def close(self) -> None:
         pass
 
 
-def admit(events: DataFrame, limit: int = ADDRESS_LIMIT, span: int = DAY) -> DataFrame:
-    """STR-06: admission control per address on the create stream.
+def admit(events: DataFrame, delay: str, limit: int = ADDRESS_LIMIT, span: int = DAY) -> DataFrame:
+    """STR-06: admission control per address on the create stream, in event-time order.
 
-    Decisions follow arrival order (within a micro-batch: event-time order), as
-    the reference decides each request when it arrives; the per-address state
-    is the at most ``limit`` admitted times of the trailing ``span``.
+    First the ids of one address and second are put together (partial aggregation, append mode);
+    what the watermark has passed is walked with the at most ``limit`` admitted times as state.
     """
-    c = creates(events).select("event_id", "remote_ip", "event_time")
-    return c.groupBy("remote_ip").transformWithStateInPandas(
+    c = creates(events).withColumn("second_ts", F.timestamp_seconds("event_time")).withWatermark("second_ts", delay)
+    g = c.groupBy(F.window("second_ts", "1 second").alias("w"), "remote_ip").agg(F.collect_set("event_id").alias("ids"))
+    seconds = g.select("remote_ip", F.unix_seconds(F.col("w.start")).alias("event_time"), "ids")
+    return seconds.groupBy("remote_ip").transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limit, span), outputStructType=ADMIT_SCHEMA,
         outputMode="Append", timeMode="None")
 
 
 # ---------------------------------------------------------------- STR-07
 
-def kv_changes(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"),
-        F.concat(F.lit("k"), (F.col("event_id") % 5).cast("string")).alias("key"),
-        F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
-         .otherwise(F.col("event_id").cast("string")).alias("val"))
-
-
 def live_state(changes: DataFrame) -> DataFrame:
     """STR-07: session contents as keyed state: the latest (seq, val) per (session, key)."""
     g = changes.groupBy("session_id", "key").agg(F.max(F.struct("seq", "val")).alias("l"))

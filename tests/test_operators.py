@@ -126,6 +126,8 @@ def test_search_many_paths_agree(spark):
 def test_parse_keywords_strictness(spark):
     cases = {'["a", "b", "a"]': (True, ["a", "b"]), "[]": (True, []), "[null]": (False, None),
              "['a']": (False, None), '["a", 1]': (False, None), '"a"': (False, None), "not json": (False, None),
+             '["a"] xyz': (False, None), "[]x": (False, None), '["a"]["b"]': (False, None), '["a"], ["b"]': (False, None),
+             '["a"]], [["b"]': (False, None), '["a"], "w": 1': (False, None),
              '{"a": "b"}': (False, None), '["a", null]': (False, None), ' [ "x" ] ': (True, ["x"])}
     df = spark.createDataFrame([(k,) for k in cases], "j string")
     valid, arr = RP.parse_keywords("j")
@@ -141,24 +143,35 @@ def test_extract_code_and_escapes(spark):
     assert PH.decode_escapes("café \\n") == "café \n"
 
 
-def test_gates():
-    assert PH.function_gate("def f():\n    pass\n") == "ok"
-    assert PH.function_gate("class A:\n    pass\n") == PH.NO_FUNCTION
-    assert PH.function_gate("import os\ndef f():\n    pass\nprint(1)\n") == "Unexpected statement Expr"
-    assert PH.function_gate("def f(:") == PH.SYNTAX_ERROR
-    assert PH.unittest_gate("import unittest\nclass Test(unittest.TestCase):\n    pass\n") == "ok"
-    assert PH.unittest_gate("import unittest.mock\nclass Test:\n    pass\n") == PH.NO_UNITTEST
+def test_escapes():
+    cases = {"a\\tb": "a\tb", "\\x41\\u017c\\101\\N{BULLET}": "A\u017cA\u2022", "\\\u017cb": "\\\u017cb", "\\q\u017c": "\\q\u017c",
+             "\\\\n": "\\n", "\\x4": None, "\\u12": None, "tail\\": None, "\\N{no such name}": None, "plain": "plain"}
+    assert {k: PH.decode_escapes(k) for k in cases} == cases
+
+
+def test_paging_reaches_every_row_in_both_directions(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, average double")
+    for down in (False, True):
+        want = sorted(rows, key=lambda r: (r[1] is None, (-r[1] if down else r[1]) if r[1] is not None else 0, r[0]))
+        got, after = [], None
+        while page := [tuple(r) for r in C.page(df, "average", "id", 7, after, down).collect()]:
+            got += page
+            after = (page[-1][1], page[-1][0])
+        assert got == want
 
 
 def test_test_results_variants(spark):
     reps = ['{"total": 4, "failures": ["f"], "errors": ["e"], "skipped": [], "successful": false}',
             '{"total": 2, "failures": [], "errors": [], "skipped": [], "successful": false}',
-            '{"error": "Unhandled"}']
+            '{"error": "Unhandled"}', '{"error": null, "payload": {"errorMessage": "m"}}', '{"total": 3, "failures": [], "successful": true}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(reps)], "file_id bigint, report string")
     page = {x.file_id: (x.ok, x.fail, x.messages) for x in RP.test_results(df, "page").collect()}
-    assert page == {0: (1, 3, "f\ne"), 1: (1, 1, RP.RUN_FAILED), 2: (0, 1, RP.RUN_FAILED)}
-    handle = {x.file_id: (x.executed, x.ok) for x in RP.test_results(df, "handle").collect()}
-    assert handle == {0: (4, 2), 1: (2, 2), 2: (0, None)}
+    assert page == {0: (1, 3, "f\ne"), 1: (1, 1, RP.RUN_FAILED), 2: (0, 1, RP.RUN_FAILED),
+                    3: (0, 1, RP.RUN_FAILED), 4: (0, 1, RP.RUN_FAILED)}
+    handle = {x.file_id: (x.executed, x.ok, x.errors, x.failures, x.skipped) for x in RP.test_results(df, "handle").collect()}
+    assert handle == {0: (4, 2, ["e"], ["f"], []), 1: (2, 2, [], [], []), 2: (0, None, ["Unhandled"], None, None),
+                      3: (0, None, ["None: m"], None, None), 4: (3, 3, [], [], [])}
 
 
 def test_marker_range(spark):

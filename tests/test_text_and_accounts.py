@@ -80,10 +80,10 @@ def test_login_outcomes(spark):
 
 
 def test_parse_rating(spark):
-    texts = [" 3 ", "+2", "-1", "0", "5", "6", "4.0", "1_0", "x", None, "\t1\n"]
+    texts = [" 3 ", "+2", "-1", "0", "5", "6", "4.0", "1_0", "x", None, "\t1\n", "0_5", "0__5", "_5", "\u0663", "\uff14", "9" * 60, "0" * 30 + "4"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(A.parse_rating(F.col("t"))).collect()]
-    assert got == [3, 2, None, None, 5, None, None, None, None, None, 1]
+    assert got == [3, 2, None, None, 5, None, None, None, None, None, 1, 5, None, None, 3, 4, None, 4]
 
 
 def test_client_ip(spark):

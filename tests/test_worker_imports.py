@@ -21,7 +21,7 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 spark.sparkContext.setLogLevel("ERROR")
 import __spark_entry__ as E
 q = E.queries()
-print("RESULT", q["txt06_code_gate"](spark, "/root/testdata/sf0.001").count(),
+print("RESULT", q["txt01_extract_code"](spark, "/root/testdata/sf0.001").count(),
       q["str06_admit"](spark, "/root/testdata/sf0.001").count())
 """
 
