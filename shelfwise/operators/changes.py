@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import checkpoint_table
+
 
 def latest_value(log: DataFrame, keys: Sequence[str], order: str | Sequence[str],
                  values: Sequence[str], unique_order: bool = False) -> DataFrame:
@@ -46,13 +48,17 @@ def latest_per_key(log: DataFrame, keys: Sequence[str], order: str | Sequence[st
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: str,
-           values: Sequence[str]) -> DataFrame:
+           values: Sequence[str], unique_order: bool = False) -> DataFrame:
     """DML-01: insert or replace by key; a change always wins over the current row,
-    and among changes the greatest ``order`` wins (ON CONFLICT DO UPDATE, applied in order)."""
-    cur = current.select(*keys, F.lit(0).alias("_src"), F.lit(None).cast("long").alias(order), *values)
-    chg = changes.select(*keys, F.lit(1).alias("_src"), F.col(order).cast("long").alias(order), *values)
-    out = latest_value(cur.unionByName(chg), keys, ["_src", order], list(values))
-    return out
+    and among changes the greatest ``order`` wins (ON CONFLICT DO UPDATE, applied in order).
+
+    ``order`` is an integer above the least long, which stands for the current row: source and order
+    are one number.  ``unique_order``: no key has two changes of the same order, so fixed-width values
+    run as a hash aggregate; else ties go to the greater values.
+    """
+    cur = current.select(*keys, F.lit(-(1 << 63)).cast("long").alias(order), *values)
+    chg = changes.select(*keys, F.col(order).cast("long").alias(order), *values)
+    return latest_value(cur.unionByName(chg), keys, order, list(values), unique_order)
 
 
 # Admin actions -> (flag, value written).
@@ -111,10 +117,11 @@ def cascade_delete(tables: dict[str, DataFrame], user_ids: DataFrame | None = No
 
     A user takes its functions, sessions, both event logs and ratings, and the
     ratings on its functions; a function takes its ratings.  Log rows with a
-    NULL user stay (anti-join on NULL keys keeps them).
+    NULL user stay (anti-join on NULL keys keeps them).  The deleted keys are
+    derived once, written, and shared by all tables.
     """
     out = dict(tables)
-    uid = user_ids.select("user_id").distinct() if user_ids is not None else None
+    uid = checkpoint_table(user_ids.select("user_id").distinct(), "gone-users") if user_ids is not None else None
     if uid is not None:
         for name in ("users", "sessions", "account_events", "auth_events", "functions", "ratings"):
             if name in out:
@@ -130,10 +137,10 @@ def cascade_delete(tables: dict[str, DataFrame], user_ids: DataFrame | None = No
             gone = parts[0]
             for p in parts[1:]:
                 gone = gone.unionByName(p)
-            gone = gone.distinct()
+            gone = checkpoint_table(gone.distinct(), "gone-functions")
             out["functions"] = out["functions"].join(gone, "function_id", "left_anti")
     elif function_ids is not None:
-        gone = function_ids.select("function_id").distinct()
+        gone = checkpoint_table(function_ids.select("function_id").distinct(), "gone-functions")
     if gone is not None and "ratings" in out:
         out["ratings"] = out["ratings"].join(gone, "function_id", "left_anti")
     return out

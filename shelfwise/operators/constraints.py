@@ -70,16 +70,18 @@ def check_constraints(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def violating_rows(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
-    """VAL-01 second form: (rule, key) of every offending row."""
+    """VAL-01 second form: (rule, key) of every offending row.  All row rules share one scan that reads
+    only their columns; each unique rule takes a pass of its own."""
+    row_rules = [r for r in rules if r.kind != "unique"]
     parts = []
+    if row_rules:
+        broken = F.array_compact(F.array(*[F.when(F.coalesce(_violation(r), F.lit(False)), F.lit(r.name)) for r in row_rules]))
+        parts.append(df.select(F.explode(broken).alias("rule"), F.col(key).alias("key")))
     for r in rules:
         if r.kind == "unique":
             dup = df.filter(F.col(r.column).isNotNull()).groupBy(r.column) \
                 .agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(r.column)
-            hits = df.join(dup, r.column, "left_semi")
-        else:
-            hits = df.filter(F.coalesce(_violation(r), F.lit(False)))
-        parts.append(hits.select(F.lit(r.name).alias("rule"), F.col(key).alias("key")))
+            parts.append(df.join(dup, r.column, "left_semi").select(F.lit(r.name).alias("rule"), F.col(key).alias("key")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -4,10 +4,9 @@ PRJ-01 is a case-insensitive *literal* substring filter (the reference escapes
 ``%`` and ``_``; ``contains(lower, lower)`` has no wildcards at all).  PRJ-02
 then splits the matching code into lines and keeps lines that contain the term
 case-sensitively, one output row per line.  PRJ-03 searches many terms at
-once: a handful of terms are broadcast (size-checked) and tested against every
-row; beyond that, each term is joined to the rows through its rarest character
-n-grams (an equi-join, so no pair of row x term is evaluated unless the row
-holds them), then verified with ``contains``.
+once: each term is joined to the rows through its rarest character n-grams (an
+equi-join, so no pair of row x term is evaluated unless the row holds them),
+then verified with ``contains``.
 """
 
 from __future__ import annotations
@@ -20,8 +19,7 @@ from pyspark.sql import Window
 
 from shelfwise.functions.text import (contains_ci, drop_trailing_empty, highlight, split_keywords,
                                       split_line_parts)
-from shelfwise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
-from shelfwise.sources.writers import sequential_ids
+from shelfwise.session import checkpoint_table
 
 RESULT_CODE = "source code"
 FIELDS = ("keywords", "usecase", "code")
@@ -49,17 +47,27 @@ def search_lines(f: DataFrame, term: str) -> DataFrame:
 
 
 def search_library(f: DataFrame, term: str) -> DataFrame:
-    """SET-01: keywords hits, then usecase hits, then code-line hits (bag union).
+    """SET-01: keywords hits, then usecase hits, then code-line hits (bag union), in one pass over the rows.
 
     ``rank`` (1, 2, 3) and ``line_no`` (NULL for whole fields) keep the
     reference's order available: order by rank, function_id, line_no.
     """
-    kw = search_field(f, "keywords", term).withColumn("rank", F.lit(1)) \
-        .withColumn("line_no", F.lit(None).cast("int"))
-    uc = search_field(f, "usecase", term).withColumn("rank", F.lit(2)) \
-        .withColumn("line_no", F.lit(None).cast("int"))
-    code = search_lines(f, term).withColumn("rank", F.lit(3))
-    return kw.unionByName(uc).unionByName(code)
+    kind = "array<struct<result_type:string,context:string,rank:int,line_no:int>>"
+
+    def hit(result_type: str, context: Column, rank: int, line_no: Column) -> Column:
+        return F.struct(F.lit(result_type).alias("result_type"), context.alias("context"), F.lit(rank).alias("rank"),
+                        line_no.cast("int").alias("line_no"))
+
+    def whole(field: str, rank: int) -> Column:
+        found = F.array(hit(field, F.col(field), rank, F.lit(None)))
+        return F.when(contains_ci(field, term), found.cast(kind)).otherwise(F.array().cast(kind))
+
+    lines = F.transform(drop_trailing_empty("_parts"), lambda line, i: hit(RESULT_CODE, line, 3, i + 1))
+    lines = F.filter(lines, lambda x: F.contains(x["context"], F.lit(term)))
+    hits = f.withColumn("_parts", F.when(contains_ci("code", term), split_line_parts(F.col("code"))))
+    hits = hits.select("function_id", F.col("name").alias("function_name"), F.inline(F.concat(
+        whole("keywords", 1), whole("usecase", 2), F.coalesce(lines.cast(kind), F.array().cast(kind)))))
+    return hits.select("result_type", "function_id", "function_name", "context", F.lit(term).alias("match"), "rank", "line_no")
 
 
 def highlight_results(results: DataFrame, term: str, col: str = "context") -> DataFrame:
@@ -76,8 +84,6 @@ def library_keywords(f: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- PRJ-03
 
-# Up to this many terms are broadcast and tested against every row.
-NESTED_LOOP_MAX_TERMS = 64
 # How many of a term's rarest n-grams a row must hold to be verified.
 PREFILTER_NGRAMS = 2
 # Longest n-gram used for the prefilter (longer terms use n-grams of this length).
@@ -85,10 +91,9 @@ NGRAM_MAX = 4
 
 
 def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(function_id, fidx, result_type, text) with one row per (function, field)."""
+    """(function_id, fidx, ltext) with one row per (function, field) that has a text."""
     return f.select("function_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("fidx"), F.lit(fld).alias("result_type"), F.col(fld).alias("text"))
-        for i, fld in enumerate(fields)])))
+        F.struct(F.lit(i).alias("fidx"), F.lower(fld).alias("ltext")) for i, fld in enumerate(fields)]))).where("ltext is not null")
 
 
 def _ngrams(s: Column, n: int) -> Column:
@@ -101,70 +106,52 @@ def _ngrams(s: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
-def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS,
-                nested_loop_max: int = NESTED_LOOP_MAX_TERMS,
-                broadcast_max: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def _ngram_rows(s: Column, lengths: Sequence[int]) -> Column:
+    """One row (n, g) per distinct n-gram of every length."""
+    def of(n: int) -> Column:
+        return F.transform(_ngrams(s, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    return F.inline(F.concat(*map(of, lengths)))
+
+
+def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """PRJ-03: every (term, function, field) where the field contains the term
-    (case-insensitive literal).  ``terms`` has a ``term`` column."""
-    t = terms.select("term").where(F.col("term").isNotNull()).distinct() \
-        .withColumn("lt", F.lower("term"))
-    docs = _long_form(f, fields).where(F.col("text").isNotNull()) \
-        .withColumn("ltext", F.lower("text"))
+    (case-insensitive literal).  ``terms`` has a ``term`` column.
+
+    A term of length m is matched through n-grams of length min(m, NGRAM_MAX).  The texts are cut
+    into n-grams once; those that occur in a term are written as one narrow table, which gives both
+    their frequency and, through each term's rarest n-grams, the candidates; one join brings the
+    candidates to their texts, where each is verified.  No join is told to broadcast: Spark does so
+    where the written term tables are below its threshold.
+    """
     names = F.array(*[F.lit(fld) for fld in fields])
-    if row_count_at_most(t, nested_loop_max):
-        j = docs.join(F.broadcast(t), F.contains(F.col("ltext"), F.col("lt")), "inner")
-        return j.select("term", "function_id", "result_type")
+    t = checkpoint_table(terms.select("term").where("term is not null").distinct().withColumn("lt", F.lower("term")), "terms")
+    lengths = [r["n"] for r in t.select(F.least(F.length("lt"), F.lit(NGRAM_MAX)).alias("n")).distinct().collect()]   # NGRAM_MAX + 1 at most
+    docs = _long_form(f, fields)
     parts = []
-    # The empty term (at most one distinct row) matches every non-null field.
-    if not row_count_at_most(t.where(F.length("lt") == 0), 0):
-        parts.append(docs.select(F.lit("").alias("term"), "function_id", "result_type"))
-    keys = docs.select("function_id", "fidx", "ltext")
-    # One row per term in every per-term table below: one bound on the terms covers them.
-    small = row_count_at_most(t, broadcast_max)
-    # Integer term ids keep the candidate joins and counts on fixed-width keys.  The
-    # numbering is deterministic and exact: a rank over the measured (bounded) term
-    # table, or range-partitioned numbering for a large one.
-    if small:
-        t = t.withColumn("tid", F.dense_rank().over(Window.orderBy("term")))
-    else:
-        t = sequential_ids(t, ["term"], "tid")
-    # A term is matched through n-grams of length min(len(term), NGRAM_MAX).
-    for n in range(1, NGRAM_MAX + 1):
-        cond = F.length("lt") == n if n < NGRAM_MAX else F.length("lt") >= n
-        tn = t.where(cond)
-        if row_count_at_most(tn, 0):
-            continue
-        parts.append(_ngram_join(keys, tn, n, small)
-                     .select("term", "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _ngram_join(docs: DataFrame, t: DataFrame, n: int, small_terms: bool) -> DataFrame:
-    """Join terms to rows through their rarest n-grams, then verify.
-
-    ``docs``: (function_id, fidx, ltext); ``t``: (term, lt, tid).  A row is a
-    candidate for a term only if it holds all of the term's (up to
-    PREFILTER_NGRAMS) rarest n-grams.  ``small_terms``: the term table was
-    measured within the broadcast bound, so per-term tables are broadcast;
-    otherwise those joins shuffle too.  Returns (term, function_id, fidx).
-    """
-    bc = F.broadcast if small_terms else (lambda x: x)
-    dg = docs.select("function_id", "fidx", F.explode(_ngrams(F.col("ltext"), n)).alias("g"))
-    tg = t.select("tid", F.explode(_ngrams(F.col("lt"), n)).alias("g"))
-    freq = dg.join(bc(tg.select("g").distinct()), "g", "left_semi") \
-        .groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("tid").orderBy(F.asc("df"), F.asc("g"))
-    choice = tg.join(freq, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))) \
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= PREFILTER_NGRAMS) \
-        .withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("tid"))).select("tid", "g", "_k")
-    cand = dg.join(bc(choice), "g", "inner") \
-        .groupBy("function_id", "fidx", "tid", "_k").agg(F.count(F.lit(1)).alias("_hits")) \
-        .where(F.col("_hits") == F.col("_k")).select("function_id", "fidx", "tid") \
-        .join(bc(t.select("tid", "term", "lt")), "tid", "inner")
-    # Verify each candidate pair: a sort-merge (or broadcast) join streams the text past
-    # its candidates; nothing is collected per row.
-    return cand.join(docs, ["function_id", "fidx"], "inner") \
-        .where(F.contains(F.col("ltext"), F.col("lt"))).select("term", "function_id", "fidx")
+    if 0 in lengths:                       # the empty term matches every text
+        parts.append(docs.select(F.lit("").alias("term"), "function_id", "fidx"))
+    lengths = sorted(n for n in lengths if n)
+    if lengths:
+        parts.append(_ngram_join(docs, t.where("lt <> ''"), lengths))
+    if not parts:
+        return docs.limit(0).select(F.lit("").alias("term"), "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("term", "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type"))
+
+
+def _ngram_join(docs: DataFrame, t: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(term, function_id, fidx) of every text that contains a term's lower-case form."""
+    words = t.select("lt").distinct()
+    tg = checkpoint_table(words.select("lt", F.least(F.length("lt"), F.lit(NGRAM_MAX)).alias("m"), _ngram_rows(F.col("lt"), lengths))
+                          .where("n = m").select("lt", "n", "g"), "term-ngrams")
+    grams = checkpoint_table(tg.select("n", "g").distinct(), "ngrams")
+    held = checkpoint_table(docs.select("function_id", "fidx", _ngram_rows(F.col("ltext"), lengths)).join(grams, ["n", "g"], "left_semi"),
+                            "held-ngrams")
+    freq = held.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("lt").orderBy(F.asc("df"), F.asc("g")))
+    rare = tg.join(freq, ["n", "g"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("_r", rank) \
+        .where(F.col("_r") <= PREFILTER_NGRAMS)
+    few = checkpoint_table(rare.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("lt"))).select("lt", "n", "g", "_k"), "rare-ngrams")
+    cand = held.join(few, ["n", "g"]).groupBy("function_id", "fidx", "lt", "_k").agg(F.count(F.lit(1)).alias("_hits")).where("_hits = _k")
+    found = cand.select("function_id", "fidx", "lt").join(docs, ["function_id", "fidx"]).where(F.contains("ltext", "lt"))
+    return found.select("function_id", "fidx", "lt").join(t, "lt").select("term", "function_id", "fidx")

@@ -195,3 +195,16 @@ SELECT event_id, event_time, remote_ip, total_24h, ip_24h,
 FROM w""", "account_events"))
 def win02_rate_limit_audit(spark, d):
     return R.rate_limit_audit(view(spark, d, "account_events"))
+
+
+@register("win02_rate_limit_audit_address", with_views("""
+WITH c AS (SELECT event_id, event_time, remote_ip FROM account_events WHERE event_type = 'create'),
+w AS (SELECT *, count(*) OVER (ORDER BY event_time RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS total_24h,
+             count(*) OVER (PARTITION BY remote_ip ORDER BY event_time RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS ip_24h
+      FROM c)
+SELECT event_id, event_time, remote_ip, total_24h, ip_24h,
+       CASE WHEN total_24h >= 1000000000 THEN 'refused: total' WHEN ip_24h >= 2 THEN 'refused: address' ELSE 'allowed' END AS verdict
+FROM w""", "account_events"))
+def win02_rate_limit_audit_address(spark, d):
+    # A total limit that is out of reach, so that the address limit decides.
+    return R.rate_limit_audit(view(spark, d, "account_events"), total_limit=10 ** 9)

@@ -63,21 +63,43 @@ def _rows_sql(table: str, rules: list[V.Rule], key: str) -> list[str]:
     return out
 
 
-@register("val01_check_constraints", with_views("\nUNION ALL\n".join(
-    _report_sql("functions", _FN_RULES) + _report_sql("users", _USER_RULES)
+# The tables with faults, so that every rule is broken somewhere: the remainder of the key says how.
+_FAULTS_SQL = """bad_functions AS (SELECT function_id,
+       CASE function_id % 40 WHEN 1 THEN NULL WHEN 2 THEN 'ab' WHEN 6 THEN 'taken' ELSE name END AS name,
+       CASE function_id % 40 WHEN 3 THEN 'short' ELSE code END AS code,
+       CASE function_id % 40 WHEN 4 THEN 'tiny' ELSE usecase END AS usecase,
+       CASE function_id % 40 WHEN 5 THEN 'k' ELSE keywords END AS keywords FROM functions),
+bad_users AS (SELECT user_id, CASE user_id % 40 WHEN 1 THEN 'a@b.c' WHEN 2 THEN 'taken@users.example' ELSE username END AS username FROM users)"""
+
+
+def _bad_functions(spark, d):
+    f, k = view(spark, d, "functions"), F.col("function_id") % 40
+    return f.select(
+        "function_id", F.when(k == 1, F.lit(None)).when(k == 2, "ab").when(k == 6, "taken").otherwise(F.col("name")).alias("name"),
+        F.when(k == 3, "short").otherwise(F.col("code")).alias("code"), F.when(k == 4, "tiny").otherwise(F.col("usecase")).alias("usecase"),
+        F.when(k == 5, "k").otherwise(F.col("keywords")).alias("keywords"))
+
+
+def _bad_users(spark, d):
+    u, k = view(spark, d, "users"), F.col("user_id") % 40
+    return u.select("user_id", F.when(k == 1, "a@b.c").when(k == 2, "taken@users.example").otherwise(F.col("username")).alias("username"))
+
+
+@register("val01_check_constraints", with_views(f"WITH {_FAULTS_SQL} " + "\nUNION ALL\n".join(
+    _report_sql("bad_functions", _FN_RULES) + _report_sql("bad_users", _USER_RULES)
     + _report_sql("rating_log", _RATING_RULES)), "functions", "users", "rating_log"))
 def val01_check_constraints(spark, d):
-    return (V.check_constraints(view(spark, d, "functions"), _FN_RULES)
-            .unionByName(V.check_constraints(view(spark, d, "users"), _USER_RULES))
+    return (V.check_constraints(_bad_functions(spark, d), _FN_RULES)
+            .unionByName(V.check_constraints(_bad_users(spark, d), _USER_RULES))
             .unionByName(V.check_constraints(view(spark, d, "rating_log"), _RATING_RULES)))
 
 
-@register("val01_violating_rows", with_views("\nUNION ALL\n".join(
-    _rows_sql("functions", _FN_RULES, "function_id") + _rows_sql("users", _USER_RULES, "user_id")
+@register("val01_violating_rows", with_views(f"WITH {_FAULTS_SQL} " + "\nUNION ALL\n".join(
+    _rows_sql("bad_functions", _FN_RULES, "function_id") + _rows_sql("bad_users", _USER_RULES, "user_id")
     + _rows_sql("rating_log", _RATING_RULES, "seq")), "functions", "users", "rating_log"))
 def val01_violating_rows(spark, d):
-    return (V.violating_rows(view(spark, d, "functions"), _FN_RULES, "function_id")
-            .unionByName(V.violating_rows(view(spark, d, "users"), _USER_RULES, "user_id"))
+    return (V.violating_rows(_bad_functions(spark, d), _FN_RULES, "function_id")
+            .unionByName(V.violating_rows(_bad_users(spark, d), _USER_RULES, "user_id"))
             .unionByName(V.violating_rows(view(spark, d, "rating_log"), _RATING_RULES, "seq")))
 
 
@@ -109,12 +131,13 @@ _FKS = [("ratings.function_id", "rating_log", "function_id", "functions", "funct
 
 @register("jon06_orphans", with_views("\nUNION ALL\n".join(
     f"SELECT '{n}' AS fk, count(*) AS orphans FROM {c} x WHERE x.{fk} IS NOT NULL AND NOT EXISTS "
-    f"(SELECT 1 FROM {p} y WHERE y.{pk} = x.{fk})" for n, c, fk, p, pk in _FKS),
+    f"(SELECT 1 FROM {p} y WHERE y.{pk} = x.{fk} AND y.{pk} % 11 <> 5)" for n, c, fk, p, pk in _FKS),
     "rating_log", "functions", "users", "sessions", "account_events", "auth_events"))
 def jon06_orphans(spark, d):
+    # Parents with gaps, so that every key has orphans.
     out = None
     for n, c, fk, p, pk in _FKS:
-        o = V.orphans(view(spark, d, c), view(spark, d, p), fk, pk) \
+        o = V.orphans(view(spark, d, c), view(spark, d, p).filter(F.col(pk) % 11 != 5), fk, pk) \
             .agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(n).alias("fk"), "orphans")
         out = o if out is None else out.unionByName(o)
     return out
@@ -168,9 +191,9 @@ SELECT user_id, function_id, value FROM (
 def dml01_upsert(spark, d):
     # Current table: ratings from orders before 1996; changes: the submissions after it.
     ok = _validated_dated(spark, d)
-    current = CH.latest_value(ok.filter("early"), ["user_id", "function_id"], "seq", ["value"])
+    current = CH.latest_value(ok.filter("early"), ["user_id", "function_id"], "seq", ["value"], unique_order=True)
     changes = ok.filter(~F.col("early")).select("user_id", "function_id", "seq", "value")
-    return CH.upsert(current, changes, ["user_id", "function_id"], "seq", ["value"])
+    return CH.upsert(current, changes, ["user_id", "function_id"], "seq", ["value"], unique_order=True)
 
 
 @register("dml02_apply_actions", with_views("""

@@ -112,15 +112,15 @@ def test_sequential_ids_follow_key_order(spark):
     assert [n for _, n in got] == sorted(n for (n,) in rows)
 
 
-def test_search_many_paths_agree(spark):
-    f = spark.createDataFrame([(1, "Alpha, beta", "use a%b", "x = 'Gamma'\nbeta"), (2, "z", "q_q", "ALPHABET")],
-                              "function_id bigint, keywords string, usecase string, code string")
-    terms = spark.createDataFrame([(t,) for t in ["alpha", "be", "a", "%b", "q_", "", "gamma", "zz", "bet"]],
-                                  "term string")
-    a = sorted(S.search_many(f, terms).collect())
-    b = sorted(S.search_many(f, terms, nested_loop_max=0).collect())
-    c = sorted(S.search_many(f, terms, nested_loop_max=0, broadcast_max=0).collect())
-    assert a == b == c and len(a) > 0
+def test_search_many_equals_a_test_of_every_pair(spark):
+    rows = [(1, "Alpha, beta", "use a%b", "x = 'Gamma'\nbeta"), (2, "z", "q_q", "ALPHABET"), (3, None, "", "be")]
+    f = spark.createDataFrame(rows, "function_id bigint, keywords string, usecase string, code string")
+    terms = ["alpha", "Alpha", "be", "a", "%b", "q_", "", "gamma", "zz", "bet", None, "be"]
+    got = sorted(tuple(r) for r in S.search_many(f, spark.createDataFrame([(t,) for t in terms], "term string")).collect())
+    want = sorted((t, r[0], n) for t in set(terms) - {None} for r in rows for n, x in zip(S.FIELDS, r[1:])
+                  if x is not None and t.lower() in x.lower())
+    assert got == want
+    assert S.search_many(f, spark.createDataFrame([], "term string")).count() == 0
 
 
 def test_parse_keywords_strictness(spark):

@@ -8,14 +8,9 @@ from shelfwise.plans.registry import QUERIES, load_all
 load_all()
 
 # Single-partition exchanges are expected only for final global aggregates,
-# global limits/top-k, the small bucket-base window of WIN-02 and the numbering
-# of a measured-small term table (PRJ-03).
-SINGLE_PARTITION_OK = {"prj03_search_many_words", "srt01_top_rated", "srt02_page", "srt02_page_average", "srt02_page_average_desc", "agg06_recent_creates_total", "win02_rate_limit_audit",
+# global limits/top-k and the small bucket-base window of WIN-02.
+SINGLE_PARTITION_OK = {"win02_rate_limit_audit_address", "srt01_top_rated", "srt02_page", "srt02_page_average", "srt02_page_average_desc", "agg06_recent_creates_total", "win02_rate_limit_audit",
                        "val01_check_constraints", "jon06_orphans", "dml03_cascade_counts", "src02_insert_users"}
-# PRJ-03 broadcasts a term list only after measuring it below the nested-loop bound.
-NESTED_LOOP_OK = {"prj03_search_many_short", "prj03_search_many"}
-
-
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -24,8 +19,7 @@ def _plan(df) -> str:
 def test_plan_shape(spark, sf_dir, name):
     plan = _plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan
-    if name not in NESTED_LOOP_OK:
-        assert "BroadcastNestedLoopJoin" not in plan, plan
+    assert "BroadcastNestedLoopJoin" not in plan, plan
     if name not in SINGLE_PARTITION_OK:
         assert "SinglePartition" not in plan, plan
 
@@ -42,3 +36,13 @@ def test_cutoff_pushes_into_scan(spark, sf_dir):
 def test_scan_prunes_columns(spark, sf_dir):
     plan = _plan(QUERIES["jon02_list_functions"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_one_scan_for_a_whole_search(spark, sf_dir):
+    for name in ("set01_search_library", "prj04_highlight"):
+        assert _plan(QUERIES[name](spark, sf_dir)).count("FileScan parquet") <= 2, name      # documents and part
+
+
+def test_row_rules_share_a_scan(spark, sf_dir):
+    plan = _plan(QUERIES["val01_violating_rows"](spark, sf_dir))
+    assert plan.count("FileScan parquet") <= 14, plan.count("FileScan parquet")
