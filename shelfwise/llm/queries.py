@@ -17,6 +17,48 @@ def query(fn):
     return fn
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+oracle("op1_jaccard_join", f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER.format(x="coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(reach.b)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""")
+
+oracle("op3_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+low AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT win.doc_id, i FROM win JOIN low USING (k) WHERE low < doc_id), range(50) r(j)),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+_GLOBS_SQL = " OR ".join(f"host || path LIKE '{g.replace('*', '%')}'" for g in url_filter.BLOCK_GLOBS)
+oracle("op4_url_filter", f"""
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS x FROM pages),
+h AS (SELECT page_id, {_LOWER.format(x="regexp_extract(x, '^[^/]*')")} AS host, substr(x, length(regexp_extract(x, '^[^/]*')) + 1) AS path FROM u),
+r(rhost, rpath, v) AS (VALUES {_RULES_SQL}),
+fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(v, length(rhost || rpath)) AS v
+        FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+g AS (SELECT *, {_GLOBS_SQL} AS glob_hit FROM h)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN glob_hit THEN 'block' ELSE 'allow' END) AS verdict, glob_hit
+FROM g LEFT JOIN fit USING (page_id)""")
+
+
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word shingles at Jaccard 0.75."""
