@@ -29,6 +29,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows that go to Python travel in batches of bounded size, however long their texts are.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Commit only the changelog of each batch; snapshots are written in the background.
@@ -64,6 +66,7 @@ def apply_conf(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.coalescePartitions.enabled",
               "spark.sql.adaptive.skewJoin.enabled",
+              "spark.sql.execution.arrow.maxBytesPerBatch",
               "spark.sql.streaming.stateStore.providerClass",
               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
         spark.conf.set(k, BASE_CONF[k])
