@@ -91,8 +91,9 @@ def access_decision(requests: DataFrame, s: DataFrame, u: DataFrame, as_of,
                   F.col("created").alias("_created"))
     us = u.select(F.col("user_id").alias("_uid"), F.col("disabled").alias("_dis"),
                   F.col("locked").alias("_lck"), F.col("verified").alias("_ver"))
-    j = requests.join(ss, requests.session_id == ss._sid, "left") \
-        .join(us, F.col("_suid") == F.col("_uid"), "left")
+    # Sessions find their users first: a request without a session would bring a NULL key to that join.
+    owned = ss.join(us, F.col("_suid") == F.col("_uid"), "left")
+    j = requests.join(owned, requests.session_id == F.col("_sid"), "left")
     clock = lit_or_col(as_of)
     st = status_col(F.col("_dis"), F.col("_lck"), F.col("_ver"), clock, ttl)
     decision = (F.when(F.col("_sid").isNull(), F.lit(ACCESS_INVALID))

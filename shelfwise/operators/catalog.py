@@ -38,8 +38,7 @@ def avg_rating(r: DataFrame, digits: int | Sequence[int] = 1) -> DataFrame:
 
 def avg_rating_or_zero(ids: DataFrame, r: DataFrame, digits: int = 0) -> DataFrame:
     """AGG-02: mean rating (0 digits) for each function id in ``ids``; unrated -> 0."""
-    a = avg_rating(r.join(ids.select("function_id").distinct(), "function_id", "left_semi"), digits)
-    return ids.join(a, "function_id", "left") \
+    return ids.join(avg_rating(r, digits), "function_id", "left") \
         .withColumn("average", F.coalesce(F.col("average"), F.lit(0.0)))
 
 
@@ -68,13 +67,12 @@ def list_functions(f: DataFrame, u: DataFrame, r: DataFrame, digits: int = 1) ->
 def functions_by_user(f: DataFrame, r: DataFrame, user_ids: DataFrame, digits: int = 2) -> DataFrame:
     """JON-03: the functions of the given authors with mean rating rounded to 2.
 
-    Ratings are semi-joined to the selected functions before aggregating, so
-    only the relevant ratings are shuffled.
+    Ratings are summed before the join: a row per function and task is shuffled, and the functions
+    are derived once.
     """
     fs = f.join(user_ids.select("user_id").distinct(), "user_id", "left_semi") \
         .select("function_id", "user_id", "name", "usecase", "keywords")
-    rs = r.join(fs.select("function_id"), "function_id", "left_semi")
-    return fs.join(avg_rating(rs, digits), "function_id", "left")
+    return fs.join(avg_rating(r, digits), "function_id", "left")
 
 
 def author_summary(f: DataFrame, r: DataFrame, digits: int = 2) -> DataFrame:
