@@ -15,7 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.session import scratch_path
+from shelfwise.session import checkpoint_table as written
+
+__all__ = ["Words", "buffers", "byte_hashes", "covered", "drawn", "mix", "per_row", "slices", "table", "text_or_empty", "window_hashes",
+           "window_rows", "written", "WORD_RX"]
 
 WORD_RX = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
@@ -26,17 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` below the shared checkpoint folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str) -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def drawn(rows: DataFrame, draw: F.Column, limit: int) -> list:
+    """The ``limit`` rows with the least draw (a 64-bit hash; ties by the row), to the driver.
+
+    Only rows below a cut that about three times ``limit`` pass take part in the sort, so what tasks
+    send does not grow with their number.
+    """
+    share = min(1.0, 3 * limit / max(rows.count(), 1))
+    cut = int(share * (1 << 64)) - (1 << 63)
+    few = rows.withColumn("_draw", draw)
+    if share < 1.0:
+        few = few.where(F.col("_draw") < F.lit(cut))
+    return few.orderBy("_draw", *[c for c in rows.columns]).limit(limit).collect()
+
+
 def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``limit`` bytes of ``col`` (one row at least, 2 ** 16 at most)."""
     if not batch.num_rows:
@@ -92,22 +102,27 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's bytes, eight bytes a step."""
-        size = (self.ends - self.starts).astype(np.int64)
-        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
-        loads = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))
-        keep = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=_U)
-        out = mix(loads[self.starts] & keep[np.minimum(size, 8)]) ^ mix(size.astype(_U))
-        left = np.flatnonzero(size > 8)
-        step = 8
-        while len(left) and step < 256:
-            part = loads[self.starts[left] + step] & keep[np.minimum(size[left] - step, 8)]
-            out[left] = mix(out[left] * _U(0x9E3779B97F4A7C15) + part)
-            step += 8
-            left = left[size[left] > step]
-        for i in left:                     # very long words: one call each
-            out[i] = xxhash.xxh64_intdigest(self.raw[self.starts[i]:self.ends[i]].tobytes())
-        return out
+        """A 64-bit hash of every word's bytes."""
+        return byte_hashes(self.raw, self.starts, self.ends)
+
+
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every byte range, eight bytes a step."""
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    keep = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=_U)
+    out = mix(loads[starts] & keep[np.minimum(size, 8)]) ^ mix(size.astype(_U))
+    left = np.flatnonzero(size > 8)
+    step = 8
+    while len(left) and step < 256:
+        part = loads[starts[left] + step] & keep[np.minimum(size[left] - step, 8)]
+        out[left] = mix(out[left] * _U(0x9E3779B97F4A7C15) + part)
+        step += 8
+        left = left[size[left] > step]
+    for i in left:                         # very long ranges: one call each
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i]:ends[i]].tobytes())
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

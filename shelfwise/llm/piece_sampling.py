@@ -31,15 +31,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import mix, slices, text_or_empty
+from shelfwise.llm.common import byte_hashes, mix, slices, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 8
 SHARPNESS = 1.0            # exponent of the pieces' weights
-SLICE = 1 << 20
+SLICE = 2 << 20
+SLOPE, LONG = 6.0, 120     # scale of unit sums (nats a character), and how long a unit they serve
 BLANK = "▁"
-UNIT_RX = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 FIXED = float(1 << 40)     # log-probabilities are added as integers: exact, whatever shares a slice
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
@@ -62,6 +62,7 @@ class Pieces:
         self.byte_ids = np.zeros(256, np.int32)
         self.text = [b""] * n
         by_length: dict[int, list[tuple[int, int]]] = {}
+        starts: dict[int, set[int]] = {}
         for i, name in enumerate(names):
             if sp.is_byte(i):
                 self.byte_ids[int(name[3:5], 16)] = i
@@ -71,14 +72,26 @@ class Pieces:
                     raise ValueError(f"piece {i} crosses a unit")
                 self.text[i] = name.replace(BLANK, " ").encode()
                 by_length.setdefault(len(name), []).append((int(_hash_one(name)), i))
+                for k in range(1, len(name)):
+                    starts.setdefault(k, set()).add(int(_hash_one(name[:k])))
+        self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        self.text_size = np.array([len(t) for t in self.text], np.int64)
+        self.text_first = np.cumsum(self.text_size) - self.text_size
         self.longest = max(by_length)
-        self.tables = {}
-        for size, rows in by_length.items():
-            rows.sort()
-            self.tables[size] = (np.array([h for h, _ in rows], _U), np.array([i for _, i in rows], np.int32))
+        self.tables = {}                   # by length: hashes, piece or -1, whether longer pieces begin so
+        for size in range(1, self.longest + 1):
+            own, begun = dict(by_length.get(size, [])), starts.get(size, set())
+            keys = sorted(own.keys() | begun)
+            self.tables[size] = (np.array(keys, _U), np.array([own.get(h, -1) for h in keys], np.int32),
+                                 np.array([h in begun for h in keys], bool))
         self.weight = (-sharpness * np.log(2.0 + np.arange(n))).astype(np.float64)
         self.byte_weight = -sharpness * float(np.log(2.0 + n))
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces after each other, and how many each piece has."""
+        many = self.text_size[ids]
+        return self.text_bytes[spread(self.text_first[ids], many)], many
+
     def decode(self, ids) -> str:
         return b"".join([self.text[i] for i in ids])[1:].decode(errors="replace")
 
@@ -92,16 +105,18 @@ def _hash_one(name: str) -> np.uint64:
 
 
 class Lattice:
-    """Unit lattices side by side.  Position p of the joined characters has, for every piece length,
-    the piece that starts there (-1: none, -2: bytes) and the running sum of the chances to take it."""
+    """Unit lattices side by side.  Position p of the joined characters has edges ``first[p]`` to
+    ``first[p] + count[p]``, the longest piece first: the piece (-2: the bytes of a character that the
+    vocabulary lacks), the chance to take it, and the running sum of the chances."""
 
     def __init__(self, pieces: Pieces, units: list[str]):
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer("".join(u + "\0" for u in units).encode("utf-32-le"), np.uint32)
         size = np.array([len(u) for u in units], np.int64)
-        self.end = np.cumsum(size)
+        self.end = np.cumsum(size + 1) - 1     # a place of its own, with no edges
         self.base = self.end - size
+        self.code = chars
         n = len(chars)
-        left = np.repeat(self.end, size) - np.arange(n)
+        left = np.repeat(self.end, size + 1) - np.arange(n)
         hits = []
         code = chars.astype(_U) + _U(1)
         at, h = np.arange(n), np.zeros(n, _U)
@@ -111,44 +126,116 @@ class Lattice:
             if not len(at):
                 break
             h = h * _MUL + code[at + k - 1]
-            if k in pieces.tables:
-                keys, ids = pieces.tables[k]
-                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                good = np.flatnonzero(keys[place] == h)
-                hits.append((k, at[good], ids[place[good]]))
-        self.width = max([k for k, found, _ in hits if len(found)], default=1)
-        self.piece = np.full((n, self.width), -1, np.int32)
-        weight = np.full((n, self.width), -np.inf)
-        for k, found, ids in hits:
-            if k <= self.width:
-                self.piece[found, k - 1] = ids
-                weight[found, k - 1] = pieces.weight[ids]
-        unknown = np.flatnonzero(self.piece[:, 0] == -1)
-        self.piece[unknown, 0] = -2
-        bytes_of = 1 + (chars[unknown] >= 0x80) + (chars[unknown] >= 0x800) + (chars[unknown] >= 0x10000)
-        weight[unknown, 0] = pieces.byte_weight * bytes_of
-        # Backward sums of weights, by distance to the end of the unit.
-        beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
+            keys, ids, begun = pieces.tables[k]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            seen = np.flatnonzero(keys[place] == h)
+            at, h, place = at[seen], h[seen], place[seen]
+            ids = ids[place]
+            good = np.flatnonzero(ids >= 0)
+            hits.append((k, at[good], ids[good], pieces.weight[ids[good]]))
+            more = np.flatnonzero(begun[place])
+            at, h = at[more], h[more]
+        known = np.zeros(n, bool)
+        for k, found, _, _ in hits:
+            if k == 1:
+                known[found] = True
+        spelled = np.flatnonzero(~known & (left > 0))
+        many = 1 + (chars[spelled] >= 0x80) + (chars[spelled] >= 0x800) + (chars[spelled] >= 0x10000)
+        hits.append((1, spelled, np.full(len(spelled), -2, np.int32), pieces.byte_weight * many))
+
+        self.count = np.zeros(n, np.int64)
+        for _, found, _, _ in hits:
+            self.count[found] += 1
+        self.first = np.cumsum(self.count) - self.count
+        edges = int(self.count.sum())
+        self.piece, self.size = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        weight, filled = np.empty(edges), np.zeros(n, np.int64)
+        for k, found, ids, w in sorted(hits, key=lambda x: -x[0]):
+            slot = self.first[found] + filled[found]
+            filled[found] += 1
+            self.piece[slot], self.size[slot], weight[slot] = ids, k, w
+        self.pos = np.repeat(np.arange(n, dtype=np.int32), self.count)
+        # Backward sums by distance to the end of the unit: scaled by SLOPE a character, which keeps
+        # units up to LONG characters in range; longer ones in logarithms.
+        long = np.repeat(size > LONG, size + 1)
+        ahead = self.pos + self.size
+        scaled = np.exp(weight + SLOPE * self.size)
+        beta = np.where(long, -np.inf, 0.0)
+        beta[self.end] = np.where(size > LONG, 0.0, 1.0)
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
-        at_end = np.zeros(n + 1, bool)
-        at_end[self.end] = True
+        slow_too = bool((size > LONG).any())
         for d in range(len(cuts) - 1):
-            at = order[cuts[d]:cuts[d + 1]]
-            reach = min(d + 1, self.width)
-            ahead = at[:, None] + np.arange(1, reach + 1)
-            total = weight[at, :reach] + np.where(ahead == (at + d + 1)[:, None], 0.0, beta[np.minimum(ahead, n)])
-            top = total.max(axis=1)
-            mass = np.exp(total - top[:, None])
-            whole = np.cumsum(mass, axis=1)[:, -1]     # in order: the same whatever the slice's width
-            beta[at] = top + np.log(whole)
-            weight[at, :reach] = mass / whole[:, None]
-            weight[at, reach:] = 0.0
-        self.chance = weight               # now the chance of every length at every position
-        self.options = (weight > 0).sum(axis=1)
-        self.upto = np.cumsum(weight, axis=1)
-        self.upto[:, -1] = 2.0             # rounding never leaves a draw without a piece
-        self.code = chars
+            here = order[cuts[d]:cuts[d + 1]]
+            rank, at = 0, here[~long[here]] if slow_too else here
+            while len(at):
+                e = self.first[at] + rank
+                beta[at] += scaled[e] * beta[ahead[e]]
+                rank += 1
+                at = at[self.count[at] > rank]
+            rank, at = 0, here[long[here]] if slow_too else here[:0]
+            while len(at):
+                e = self.first[at] + rank
+                beta[at] = np.logaddexp(beta[at], weight[e] + beta[ahead[e]])
+                rank += 1
+                at = at[self.count[at] > rank]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            self.chance = scaled * beta[ahead] / beta[self.pos]
+        if slow_too:
+            slow = np.flatnonzero(long[self.pos])
+            self.chance[slow] = np.exp(weight[slow] + beta[ahead[slow]] - beta[self.pos[slow]])
+        self.upto = self.chance.copy()
+        at, rank = np.flatnonzero(self.count > 1), 1
+        while len(at):
+            e = self.first[at] + rank
+            self.upto[e] += self.upto[e - 1]
+            rank += 1
+            at = at[self.count[at] > rank]
+        some = self.count > 0
+        self.upto[self.first[some] + self.count[some] - 1] = 2.0       # rounding never leaves a draw without an edge
+
+    def take(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge that each draw takes at its position."""
+        e = self.first[at]
+        more = np.flatnonzero(u >= self.upto[e])
+        while len(more):
+            e[more] += 1
+            more = more[u[more] >= self.upto[e[more]]]
+        for k in np.flatnonzero(self.chance[e] <= 0):      # rounding again
+            e[k] = self.first[at[k]] + int(np.argmax(self.chance[self.first[at[k]]:self.first[at[k]] + self.count[at[k]]]))
+        return e
+
+    def take_other(self, at: int, barred: int, u: float) -> int:
+        """The edge that a draw takes among those whose bits are not set in ``barred``."""
+        first = int(self.first[at])
+        free = [k for k in range(int(self.count[at])) if not barred >> k & 1]
+        sums = np.cumsum(self.chance[first + np.array(free)])
+        k = min(int(np.searchsorted(sums, u * sums[-1], side="right")), len(free) - 1)
+        return first + free[k]
+
+    def barred_chance(self, at: int, barred: int) -> float:
+        first = int(self.first[at])
+        return float(sum(self.chance[first + k] for k in range(int(self.count[at])) if barred >> k & 1))
+
+
+def units_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units of the texts, the units of all texts in order (as numbers), and how many each
+    text has.  A unit is a run of blanks and what follows it up to the next blank or line end; line
+    ends stand alone; a text that is not empty begins with a blank."""
+    coded = [(" " + t.replace(BLANK, " ")).encode() if t else b"" for t in texts]
+    raw = np.frombuffer(b"".join(coded), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    line, blank = raw == 10, raw == 32
+    begin = line | blank
+    begin[1:] &= line[1:] | ~blank[:-1]    # only the first blank of a run
+    begin[1:] |= line[:-1]
+    begin[offs[:-1][np.diff(offs) > 0]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(raw))[:len(starts)]
+    _, one, number = np.unique(byte_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    data = raw.tobytes()
+    units = [data[a:b].decode().replace(" ", BLANK) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    return units, number, np.diff(np.searchsorted(starts, offs))
 
 
 def _salt(n: int) -> np.uint64:
@@ -165,23 +252,20 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
     """Per sample rank, per text: (ids, log-probability, perturbed value), or None; and, last, per
     text the best perturbed value that was left out (-inf if there is none)."""
     rows = len(texts)
-    index: dict[str, int] = {}
-    listed = [UNIT_RX.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    unit = np.array([index.setdefault(u, len(index)) for us in listed for u in us], dtype=np.int64)
-    n_units = np.array([len(us) for us in listed], dtype=np.int64)
+    units, unit, n_units = units_of(texts)
     first = np.concatenate([[0], np.cumsum(n_units)])
     row_of = np.repeat(np.arange(rows), n_units)
-    lattice = Lattice(pieces, list(index))
+    lattice = Lattice(pieces, units)
     base, end = lattice.base[unit], lattice.end[unit]
     keys = mix(keys.astype(_U) + _salt(seed))
 
     log_tau = np.log(-np.log(_draw(keys, np.zeros(rows), np.zeros(rows), 1)))
-    # A node: where a path leaves its parent (decision, taken lengths so far), and when it fires.
+    # A node: the path and decision where it leaves its parent, and the edges (bits) taken there so far.
     parent = np.zeros(rows, np.int64)
     keep = np.zeros(rows, np.int64)
-    barred = np.zeros((rows, lattice.width), bool)
+    barred = np.zeros(rows, np.int64)
     live = np.ones(rows, bool)
-    store = {k: np.zeros(0, np.int64) for k in ("unit", "pos", "size", "logp")}
+    store = {k: np.zeros(0, np.int64) for k in ("unit", "edge", "logp")}
     path_first: list[np.ndarray] = []
     pool: list[tuple] = []
     out = []
@@ -190,108 +274,101 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
             out.append(np.where(live, -log_tau, -np.inf))
             break
         # The first decision of each live row, then everything after it, drawn anew.
-        start_unit, start_pos = first[:-1].copy(), np.zeros(rows, np.int64)
+        busy = live & (n_units > 0)
+        turn = np.flatnonzero(busy)
+        start_unit = first[:-1].copy()
         if r:
-            node = np.where(live, path_first[0][0], 0)
+            node = np.zeros(rows, np.int64)
             for p, starts in enumerate(path_first):
-                node = np.where(live & (parent == p), starts + keep, node)
-            start_unit = np.where(live, store["unit"][node] if len(store["unit"]) else 0, start_unit)
-            start_pos = np.where(live, store["pos"][node] if len(store["pos"]) else 0, start_pos)
-        busy = live & (n_units > 0)
+                node = np.where(busy & (parent == p), starts + keep, node)
+            start_unit[turn] = store["unit"][node[turn]]
         rest = np.where(busy, first[1:] - start_unit, 0)
         act = spread(start_unit, rest)
         pos = base[act].copy()
         lead = np.cumsum(rest) - rest      # index in ``act`` of each row's first unit
         if r:
-            pos[lead[busy]] = start_pos[busy]
+            pos[lead[turn]] = lattice.pos[store["edge"][node[turn]]]
         owner = row_of[act]
         which = np.arange(len(act))
         steps: list[tuple] = []
         count = np.zeros(len(act), np.int64)
-        step = 0
         while len(which):
             at = pos[which]
             u = _draw(keys[owner[which]], act[which] - first[owner[which]], at - base[act[which]], 16 + r)
-            size = (u[:, None] >= lattice.upto[at]).sum(axis=1)
-            if step == 0 and r:            # lengths that the parent and its siblings took are barred
-                mine = lead[busy]
-                some = np.where(barred[busy], 0.0, lattice.chance[pos[mine]])
-                table = np.cumsum(some, axis=1)
-                size[mine] = (u[mine][:, None] * table[:, -1:] >= table).sum(axis=1)
-                size = np.minimum(size, lattice.width - 1)
-                bad = np.flatnonzero(some[np.arange(len(mine)), size[mine]] <= 0)   # rounding: the last open length
-                size[mine[bad]] = lattice.width - 1 - (some[bad][:, ::-1] > 0).argmax(axis=1)
-            p = lattice.chance[at, size]
-            if (p <= 0).any():
-                bad = np.flatnonzero(p <= 0)
-                size[bad] = lattice.width - 1 - (lattice.chance[at[bad]][:, ::-1] > 0).argmax(axis=1)
-                p = lattice.chance[at, size]
-            steps.append((which, at, size + 1, np.rint(np.log(p) * FIXED).astype(np.int64)))
+            e = lattice.take(at, u)
+            if not steps and r:            # what the parent and its siblings took is barred
+                for d, k in zip(turn.tolist(), lead[turn].tolist()):
+                    e[k] = lattice.take_other(int(at[k]), int(barred[d]), float(u[k]))
+            steps.append((which, e))
             count[which] += 1
-            pos[which] = at + size + 1
+            pos[which] = at + lattice.size[e]
             which = which[pos[which] < end[act[which]]]
-            step += 1
         slot = np.cumsum(count) - count
-        total = int(count.sum())
-        new = {"unit": np.repeat(act, count), "pos": np.zeros(total, np.int64), "size": np.zeros(total, np.int64), "logp": np.zeros(total, np.int64)}
-        for k, (which, at, size, logp) in enumerate(steps):
-            new["pos"][slot[which] + k], new["size"][slot[which] + k], new["logp"][slot[which] + k] = at, size, logp
+        edge = np.zeros(int(count.sum()), np.int64)
+        for k, (which, e) in enumerate(steps):
+            edge[slot[which] + k] = e
+        new = {"unit": np.repeat(act, count), "edge": edge, "logp": np.rint(np.log(lattice.chance[edge]) * FIXED).astype(np.int64)}
+        sums = np.concatenate([[0], np.cumsum(count)])
         fresh = np.zeros(rows, np.int64)
-        np.add.at(fresh, owner, count)
+        fresh[turn] = sums[lead[turn] + rest[turn]] - sums[lead[turn]]
         # Whole paths: the kept decisions of the parent, then the new ones.
         kept = np.where(busy, keep, 0)
-        kept_from = np.zeros(rows, np.int64)
-        for p, starts in enumerate(path_first):
-            kept_from = np.where(parent == p, starts, kept_from)
         length = kept + fresh
         path_from = np.cumsum(length) - length
-        source = np.empty(int(length.sum()), np.int64)
         shift = len(store["unit"])
-        source[spread(path_from, kept)] = spread(kept_from, kept)
-        new_from = np.cumsum(fresh) - fresh
-        source[spread(path_from + kept, fresh)] = spread(new_from, fresh) + shift
-        path = {k: np.concatenate([store[k], new[k]])[source] for k in store} if r else new
+        if r:
+            kept_from = np.zeros(rows, np.int64)
+            for p, starts in enumerate(path_first):
+                kept_from = np.where(parent == p, starts, kept_from)
+            source = np.empty(int(length.sum()), np.int64)
+            source[spread(path_from, kept)] = spread(kept_from, kept)
+            source[spread(path_from + kept, fresh)] = spread(np.cumsum(fresh) - fresh, fresh) + shift
+            path = {k: np.concatenate([store[k], new[k]])[source] for k in store}
+        else:
+            path = new
         if r < samples - 1:
-            store = {k: np.concatenate([store[k], path[k]]) for k in store} if r else new
+            store = {k: np.concatenate([store[k], path[k]]) for k in store} if r else path
         path_first.append(path_from + shift)
         sums = np.concatenate([[0], np.cumsum(path["logp"])])
         log_prob = (sums[path_from + length] - sums[path_from]) / FIXED
+        out.append((path["edge"], path_from, length, log_prob, np.where(live, -log_tau, -np.inf), live.copy()))
+
         # Prefixes that leave this path: their clocks start when it fires.
-        row = np.repeat(np.arange(rows), length)
-        place = np.arange(len(row)) - np.repeat(path_from, length)
-        open_ = place >= np.repeat(kept, length)
-        taken = lattice.chance[path["pos"], path["size"] - 1]
-        away = 1.0 - taken
-        turn = (path_from + kept)[busy]
+        opened = spread(path_from + kept, fresh)
+        row = np.repeat(np.arange(rows), fresh)
+        e = path["edge"][opened]
+        at = lattice.pos[e]
+        away = 1.0 - lattice.chance[e]
+        options = lattice.count[at] - 1
+        begin = np.cumsum(fresh) - fresh
         if r:
-            away[turn] -= np.where(barred[busy], lattice.chance[path["pos"][turn]], 0.0).sum(axis=1)
-        # What is left of a position is exactly nothing when one length takes it all.
-        options = lattice.options[path["pos"]] - 1
-        if r:
-            options[turn] -= barred[busy].sum(axis=1)
-        with np.errstate(divide="ignore"):
-            mass = np.where(open_ & (options > 0), np.log(np.maximum(away, 1e-300)), -np.inf) + (sums[:-1] - np.repeat(sums[path_from], length)) / FIXED
-        wait = np.log(-np.log(_draw(keys[row], path["unit"] - first[row], path["pos"] - base[path["unit"]], 4096 + r)))
-        clock = np.logaddexp(np.repeat(log_tau, length), wait - mass)
+            for d in turn.tolist():
+                k = begin[d]
+                away[k] -= lattice.barred_chance(int(at[k]), int(barred[d]))
+                options[k] -= int(barred[d]).bit_count()
+        some = np.flatnonzero(options > 0)     # where one edge is left, nothing leaves the path
+        opened, row, e, at = opened[some], row[some], e[some], at[some]
+        mass = np.log(np.maximum(away[some], 1e-300)) + (sums[opened] - sums[path_from[row]]) / FIXED
+        unit_at = path["unit"][opened]
+        wait = np.log(-np.log(_draw(keys[row], unit_at - first[row], at - base[unit_at], 4096 + r)))
+        clock = np.logaddexp(log_tau[row], wait - mass)
+        groups = np.searchsorted(row, np.arange(rows + 1))
+        full = np.flatnonzero(np.diff(groups))
         for _ in range(samples - r):       # the earliest of each row, as many as may still be taken
-            some = np.flatnonzero(length > 0)
-            if not len(some):
+            if not len(full):
                 break
             low = np.full(rows, np.inf)
-            low[some] = np.minimum.reduceat(clock, path_from[some])
-            hit = np.flatnonzero((clock == np.repeat(low, length)) & np.isfinite(clock))
+            low[full] = np.minimum.reduceat(clock, groups[full])
+            hit = np.flatnonzero((clock == low[row]) & np.isfinite(clock))
             rows_hit, one = np.unique(row[hit], return_index=True)
             hit = hit[one]
             if not len(hit):
                 break
-            taken_now = np.zeros((len(hit), lattice.width), bool)
-            taken_now[np.arange(len(hit)), path["size"][hit] - 1] = True
-            if r:
-                same = place[hit] == kept[rows_hit]
-                taken_now[same] |= barred[rows_hit[same]]
-            pool.append((rows_hit, clock[hit], np.full(len(hit), r), place[hit], taken_now))
+            place = opened[hit] - path_from[rows_hit]
+            bits = np.int64(1) << (e[hit] - lattice.first[at[hit]])
+            bits = np.where(place == kept[rows_hit], bits | barred[rows_hit], bits)
+            pool.append((rows_hit, clock[hit], np.full(len(hit), r), place, bits))
             clock[hit] = np.inf
-        out.append((path, path_from, length, log_prob, np.where(live, -log_tau, -np.inf), live.copy()))
         # The earliest open prefix of every row is searched next.
         live = np.zeros(rows, bool)
         if pool:
@@ -302,9 +379,8 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
             best = order[head]
             live[who[best]] = True
             log_tau = log_tau.copy()
-            log_tau[who[best]], parent[who[best]], keep[who[best]] = when[best], whose[best], where[best]
-            barred = np.zeros((rows, lattice.width), bool)
-            barred[who[best]] = masks[best]
+            barred = np.zeros(rows, np.int64)
+            log_tau[who[best]], parent[who[best]], keep[who[best]], barred[who[best]] = when[best], whose[best], where[best], masks[best]
             stay = np.ones(len(who), bool)
             stay[best] = False
             pool = [(who[stay], when[stay], whose[stay], where[stay], masks[stay])]
@@ -313,11 +389,11 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
 
 def _results(pieces: Pieces, lattice: Lattice, out: list) -> list:
     ranked = []
-    for path, path_from, length, log_prob, value, live in out[:-1]:
-        ids = lattice.piece[path["pos"], path["size"] - 1] if len(path["pos"]) else np.zeros(0, np.int32)
+    for edge, path_from, length, log_prob, value, live in out[:-1]:
+        ids = lattice.piece[edge]
         as_bytes = np.flatnonzero(ids == -2)
         if len(as_bytes):                  # characters outside the vocabulary become their bytes
-            spelled = [pieces.byte_ids[list(chr(c).encode())] for c in lattice.code[path["pos"][as_bytes]].tolist()]
+            spelled = [pieces.byte_ids[list(chr(c).encode())] for c in lattice.code[lattice.pos[edge[as_bytes]]].tolist()]
             many = np.ones(len(ids), np.int64)
             many[as_bytes] = [len(s) for s in spelled]
             place = np.cumsum(many) - many
@@ -329,6 +405,20 @@ def _results(pieces: Pieces, lattice: Lattice, out: list) -> list:
     return [*ranked, out[-1]]
 
 
+def _spells(pieces: Pieces, ids: np.ndarray, offs: np.ndarray, plain: list[bytes]) -> np.ndarray:
+    """Whether each row's pieces decode to its text."""
+    data, many = pieces.spell(ids)
+    sums = np.concatenate([[0], np.cumsum(many)])
+    start, stop = sums[offs[:-1]], sums[offs[1:]]
+    size = np.array([len(p) for p in plain], np.int64)
+    ok = stop - start == size
+    want = np.frombuffer(b"".join(p for p, k in zip(plain, ok) if k), np.uint8)
+    wrong = np.concatenate([[0], np.cumsum(data[spread(start[ok], size[ok])] != want)])
+    ends = np.cumsum(size[ok])
+    ok[np.flatnonzero(ok)[wrong[ends] != wrong[ends - size[ok]]]] = False
+    return ok
+
+
 def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
                    samples: int = SAMPLES, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
     """id, rank, ids, n_pieces, log_prob, perturbed, inclusion, decodes for every sample of every row."""
@@ -342,13 +432,12 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
                 *ranked, best_left = sample(pieces, texts, part.column("key").to_numpy(zero_copy_only=False), samples, seed)
-                plain = [t.replace(BLANK, " ").encode() for t in texts]
+                plain = [(" " + t.replace(BLANK, " ")).encode() if t else b"" for t in texts]
                 for rank, (ids, start, length, log_prob, value, live) in enumerate(ranked):
                     rows = np.flatnonzero(live)
                     offs = np.concatenate([[0], np.cumsum(length[rows])]).astype(np.int32)
                     flat = ids[spread(start[rows], length[rows])]
-                    said = flat.tolist()
-                    ok = [b"".join([pieces.text[i] for i in said[a:b]])[1:] == plain[d] for d, a, b in zip(rows, offs[:-1], offs[1:])]
+                    ok = _spells(pieces, flat, offs, [plain[d] for d in rows.tolist()])
                     with np.errstate(over="ignore"):
                         chance = -np.expm1(-np.exp(np.minimum(log_prob[rows] - best_left[rows], 700.0)))
                     yield pa.RecordBatch.from_arrays([

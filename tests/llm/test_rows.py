@@ -173,12 +173,10 @@ def lattice_paths(pieces, unit):
         return [((), 0.0)]
     out = []
     for k in range(1, min(len(unit), pieces.longest) + 1):
-        if k in pieces.tables:
-            keys, ids = pieces.tables[k]
-            h = piece_sampling._hash_one(unit[:k])
-            j = int(np.searchsorted(keys, h))
-            if j < len(keys) and keys[j] == h:
-                out += [((int(ids[j]), *s), w + pieces.weight[ids[j]]) for s, w in lattice_paths(pieces, unit[k:])]
+        keys, ids, _ = pieces.tables[k]
+        j = int(np.searchsorted(keys, piece_sampling._hash_one(unit[:k])))
+        if j < len(keys) and keys[j] == piece_sampling._hash_one(unit[:k]) and ids[j] >= 0:
+            out += [((int(ids[j]), *s), w + pieces.weight[ids[j]]) for s, w in lattice_paths(pieces, unit[k:])]
     return out
 
 
