@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.boosting import BoostedTrees
-from shelfwise.llm.common import slices, text_or_empty
+from shelfwise.llm.common import drawn, slices, text_or_empty
 
 SAMPLE_PAGES = 200
 SAMPLE_BYTES = 60_000
@@ -363,9 +363,9 @@ def fit(pages: list[str], seed: int = SEED) -> BoostedTrees | None:
 
 def sample_pages(pages: DataFrame, id_col: str, html_col: str, limit: int = SAMPLE_PAGES, most: int = SAMPLE_BYTES, seed: int = SEED) -> list[str]:
     """At most ``limit`` pages of at most ``most`` bytes, drawn by hash of id and html."""
-    some = pages.where(F.octet_length(html_col).between(1, most)).select(
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(html_col)).alias("h"), F.col(html_col).cast("string").alias("html"))
-    return [r["html"] for r in some.orderBy("h", "html").limit(limit).collect()]
+    fit_for = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
+    fit_for = fit_for.where(F.octet_length("html").between(1, most))
+    return [r["html"] for r in drawn(fit_for, F.xxhash64(F.lit(seed), F.col("id"), F.col("html")), limit)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seed: int = SEED) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import drawn, written
 
 PIVOTS = 256
 PIVOT_SAMPLE = 4
@@ -54,8 +54,7 @@ def vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = SEED) -> np.ndarray:
     """At most ``pivots`` different vectors: of ``PIVOT_SAMPLE`` times as many drawn by hash, the first is
     taken and then always the one farthest from those taken, so that a crowd of near copies gets few."""
-    draw = F.xxhash64(F.lit(seed), "v")
-    some = rows.select("v", draw.alias("h")).distinct().orderBy("h", "v").limit(pivots * PIVOT_SAMPLE).collect()
+    some = drawn(rows.select("v").distinct(), F.xxhash64(F.lit(seed), F.col("v")), pivots * PIVOT_SAMPLE)
     x = np.array([r["v"] for r in some], dtype=np.float64)
     taken: list[int] = [0] if len(x) else []
     gap = np.full(len(x), np.inf)
@@ -116,7 +115,7 @@ def _search(block: pa.Table, queries: pa.Table, pivots: int, length: int, k: int
 def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY,
             pivots: int = PIVOTS, length: int = LENGTH, share: float = RERANK_SHARE, least: int = LEAST_RERANK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every query."""
-    all_rows = vectors(table, id_col, vector_col)
+    all_rows = written(vectors(table, id_col, vector_col), "vectors")
     centres = choose_pivots(all_rows, pivots, seed)
     length = min(length, len(centres))
     copies = Window.partitionBy("v").orderBy("id")

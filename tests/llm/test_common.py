@@ -51,3 +51,15 @@ def test_slices_cover_the_batch_in_order():
     parts = list(slices(batch, "t", 10))
     assert [v for p in parts for v in p.column("t").to_pylist()] == batch.column("t").to_pylist()
     assert len(parts) > 1 and all(p.num_rows for p in parts)
+
+
+def test_drawn_rows_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.llm.common import drawn
+    df = spark.range(5000)
+    draw = F.xxhash64(F.lit(1), F.col("id"))
+    want = [r["id"] for r in df.withColumn("h", draw).orderBy("h").limit(40).collect()]
+    for parts in (1, 9):
+        assert [r["id"] for r in drawn(df.repartition(parts), draw, 40)] == want
+    assert len(drawn(df.limit(7), draw, 40)) == 7 and drawn(df.limit(0), draw, 40) == []
