@@ -218,6 +218,39 @@ def test_substring_dedup_in_small_buckets(spark, monkeypatch):
         assert r["n_removed"] == len(gone)
 
 
+def test_substring_dedup_deals_a_common_passage(spark, monkeypatch):
+    """One passage in all documents, between their own words: no bucket gathers the runs that straddle
+    its start, and the result is that of brute force."""
+    import random
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for d in range(600):
+        own = [f"u{d}_{i}" for i in range(rng.randint(50, 80))]
+        cut = rng.randint(0, len(own))
+        rows.append((d if d % 50 else None, " ".join(own[:cut] + passage + own[cut:])))
+    rows += rows[:20] + [(7, rows[9][1]), (3, " ".join(passage[:50] * 3)), (1000, "w " * 300), (1001, "w " * 200)]
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size = {r[0]: r[1] for r in substring_dedup.packed_windows(df).selectExpr("bucket", "length(blob) AS n").groupBy("bucket").sum("n").collect()}
+    assert len(size) == 16 and max(size.values()) < 1.5 * sum(size.values()) / 16
+    top, low = 1 << 63, {}
+    for i, t in rows:
+        w, i = words(t), top if i is None else i
+        for j in range(len(w) - 49):
+            key = tuple(w[j:j + 50])
+            low[key] = min(low.get(key, i), i)
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = set()
+        for j in range(len(w) - 49):
+            if low[tuple(w[j:j + 50])] < (top if i is None else i):
+                gone |= set(range(j, j + 50))
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in substring_dedup.dedup(df).collect())
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert substring_dedup.dedup(no_docs).count() == 0
 
