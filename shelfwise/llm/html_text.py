@@ -11,8 +11,10 @@ The trees are fitted on a bounded sample of pages (``SAMPLE_PAGES``, drawn by ha
 same main text: other tags, other class names, sidebars, notices, forms, comments.
 
 Null and empty pages have empty text.  Character references are decoded, white space inside a block
-becomes one space, blocks are trimmed and joined by one space; scripts, styles, form controls and
-comments of the markup never are text.  Repeated rows are treated alike; an empty table gives an
+becomes one space, blocks are trimmed and joined by one space; scripts, styles, form controls, drawings
+(svg) and comments of the markup never are text, formulas (math) are.  Only raw text elements are skipped
+to their end tag; a drawing or formula honours ``/>`` and ends with its parent or before an element that
+cannot be in one, and so does a head whose end tag is left out.  Repeated rows are treated alike; an empty table gives an
 empty result.  Where no page of the sample marks an article, the rewritten templates are fitted on the
 sample's own longest blocks.  Only id, url and html are read.
 """
@@ -37,14 +39,24 @@ SAMPLE_BYTES = 60_000
 SEED = 7
 
 TAG_RX = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+NOSCRIPT_END = re.compile(r"</noscript\b", re.I)
 ATTR_RX = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noframes")}
+RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noframes", "noembed")}
 NEVER = frozenset("head script style noscript template button select option textarea object embed canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
                      "main menu nav ol p pre section table ul".split())
+#: What may be in a head; what ends a drawing or formula; where markup inside of one is html again; what is hidden there.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title script style noscript noframes template".split())
+BREAKS = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li listing meta nobr ruby s small span strike strong sub sup "
+                              "tbody td tfoot th thead tr tt u var".split())
+FOREIGN = frozenset(("svg", "math"))
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+UNSEEN = NEVER | frozenset(("svg", "annotation", "annotation-xml"))
+#: A last slash that belongs to an unquoted value closes nothing.
+VALUE_SLASH_RX = re.compile(r"=\s*[^\s\"']*/\Z")
 #: Tag groups, one feature each.
 GROUPS = {t: g for g, ts in enumerate(("p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol li dl dt dd menu", "table thead tbody tr td th", "div section",
                                        "article main", "nav", "header", "footer", "aside", "form fieldset label input", "figure figcaption",
@@ -86,10 +98,11 @@ class Page:
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]       # open elements; inline ones share their block's node
+        #: Open elements: name, node (inline ones share their block's), inline, hidden, link, drawing or formula.
+        stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
         run: list[str] = []
         link_chars = 0
-        links = hidden = 0
+        links = hidden = foreign = 0
 
         def flush() -> None:
             nonlocal link_chars
@@ -105,23 +118,26 @@ class Page:
             link_chars = 0
 
         def close(name: str) -> None:
-            nonlocal links, hidden
+            nonlocal links, hidden, foreign
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     break
             else:
                 return
-            if any(t not in INLINE for t, _ in stack[k:]):
+            if not all(e[2] for e in stack[k:]):
                 flush()
-            for t, _ in stack[k:]:
-                links -= t == "a"
-                hidden -= t in NEVER
+            for e in stack[k:]:
+                hidden -= e[3]
+                links -= e[4]
+                foreign -= e[5]
             del stack[k:]
 
         at = 0
         while True:
             m = TAG_RX.search(source, at)
             piece = source[at:m.start()] if m else source[at:]
+            if hidden and stack[-1][0] == "head" and piece.strip(" \t\n\r\f"):
+                close("head")
             if piece and not hidden:
                 plain = html.unescape(piece)
                 run.append(plain)
@@ -137,18 +153,37 @@ class Page:
                 close(name)
                 continue
             attrs = m[3] if m[2] else m[6]
+            if hidden and name not in IN_HEAD:
+                above = next((t for t, *_ in reversed(stack) if t in ("head", "template", "noscript")), "")
+                if above == "head" or (above == "noscript" and not NOSCRIPT_END.search(source, at)):
+                    close("head")          # that was left open
+            inner = ""
+            while foreign:                 # the innermost drawing or formula, or the html inside of it
+                inner = next(e[0] for e in reversed(stack) if e[5] or e[0] in POINTS)
+                if inner not in FOREIGN or name not in BREAKS:
+                    break
+                close(inner)
+                inner = ""
+            if name in FOREIGN or inner in FOREIGN:
+                if name == "svg":
+                    run.append(" ")
+                if not attrs.rstrip().endswith("/") or VALUE_SLASH_RX.search(attrs):
+                    stack.append((name, stack[-1][1], True, name in UNSEEN, False, name in FOREIGN))
+                    hidden += name in UNSEEN
+                    foreign += name in FOREIGN
+                continue
             if name in RAW:                # its content is no markup
                 end = RAW[name].search(source, at)
                 at = end.end() if end else len(source)
                 if name not in ("title",):
                     flush()
                 continue
-            if name in CLOSES_P and any(t == "p" for t, _ in stack):
+            if name in CLOSES_P and not foreign and any(e[0] == "p" for e in stack):
                 close("p")
             elif name in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 same = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
                 edge = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(name, ("table",))
-                for t, _ in reversed(stack):
+                for t, *_ in reversed(stack):
                     if t in edge:
                         break
                     if t in same:
@@ -170,7 +205,7 @@ class Page:
                 node = self._node(node, GROUPS.get(name, 4), sum(t in AGAINST for t in tokens), sum(t in FOR for t in tokens))
                 self.tags[node] = 1
             if not attrs.endswith("/") or name in INLINE:
-                stack.append((name, node))
+                stack.append((name, node, name in INLINE, name in NEVER, name == "a", False))
                 links += name == "a"
                 hidden += name in NEVER
         flush()

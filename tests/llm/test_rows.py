@@ -118,6 +118,29 @@ def test_page_parsing():
         page.features()
 
 
+def test_no_text_is_lost_after_valid_markup():
+    def texts(source):
+        return [t for t in html_text.Page(source).text if t]
+
+    body = "<article><h1>Title</h1><p>one</p><p>two</p></article>"
+    want = ["Title", "one", "two"]
+    for odd in ("<svg class='a'/>", "<svg viewBox='0 0 1 1' />", "<svg/><svg><title>icon</title><path d='M0'/></svg>", "<math/>", "<svg><title/><style/><path/></svg>",
+                "<div><svg><path></div>", "<svg><path d='M0'>", "<div><template><b>x</b></div>", "<div><noscript>x</div>", "<svg><script>x</script><text>label</text></svg>",
+                "<svg><foreignObject><div>label</div></foreignObject></svg>", "<noscript><p>x</p></noscript>", "<template><p>x</p></template>"):
+        assert texts(odd + body) == want, odd
+        assert texts(f"<html><head><title>t</title></head><body>{odd}{body}</body></html>") == want, odd
+        assert texts(odd + body + "<svg><path/></svg>" + "<p>end</p>") == want + ["end"], odd
+    for head in ("<html><head><title>t</title>", "<head><meta charset=utf-8><link rel=x><style>p{}</style><script>1</script>", "<head><noscript><link></noscript>",
+                 "<head><noscript><p>x</p></noscript>", "<head><noscript><link>", "<!doctype html><html><head>\n<title>t</title>\n<!-- c -->\n"):
+        assert texts(head + body) == want, head
+    assert texts("<head><title>t</title>plain <b>text</b>") == ["plain text"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds") == ["so x=2 holds"]
+    assert texts("<p>a <math><mi>x</math> b<p>c<math><mi>y<p>d") == ["a x b", "cy", "d"]
+    assert texts("<p>go<svg><path/></svg>on <a href=/>there</a>") == ["go on there"]
+    page = html_text.Page("<p>go <a href=x><svg width=5/></svg>there</a> now")
+    assert [t for t in page.text if t] == ["go there now"] and sum(page.linked) == 5
+
+
 def test_decoding_keeps_no_block_under_a_dropped_node():
     page = html_text.Page("<div><p>one</p><p>two</p></div><p>three</p>")
     odds = np.array([1.0, -5.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])[:len(page.parent)]
