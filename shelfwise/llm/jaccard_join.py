@@ -16,8 +16,9 @@ empty result.
    a trie over their whole sets finds links.  Paths that sets share are counted once; a subtree is
    left when the elements that remain cannot reach the threshold, or when all of it is already in
    the probe's component.  The links are contracted to components.
-4. The rest, exactly: postings that still join different components give pairs, filtered by length
-   and position, and each pair is checked on the whole sets.
+4. The rest, exactly: postings that still join different components are dealt by token and band of
+   set size, so that pairs which length or position exclude do not meet; pairs that pass both bounds
+   are checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import Words, buffers, mix, slices, text_or_empty, window_hashes, window_rows, written
@@ -347,14 +348,38 @@ def _round(posts: DataFrame, classes: DataFrame, labels: DataFrame, seed: int) -
     return groups.groupBy("token", "part").applyInArrow(_join_group, "a long, b long")
 
 
+def size_band(n: Column) -> Column:
+    """Monotone: exact to 15, then four steps for each doubling."""
+    return F.when(n < 16, n).otherwise(16 + F.floor(4 * F.log2(n / 16))).cast("long")
+
+
+def _dealt(posts: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Postings as the larger and as the smaller set of a pair, by token and band of the smaller's size.
+    The larger one looks in the bands of the sizes that its own bounds allow; a set whose position rules
+    out sets as large as itself is no smaller one."""
+    most = F.expr(f"{100 + PERCENT} * (1 + rest) div {PERCENT}") - F.col("n")       # largest partner by position
+    low, high = F.expr(f"({PERCENT} * n + 99) div 100"), F.least("n", most)
+    cols = ["token", "cid", "n", "rest", *more]
+    side = lambda rows, p: rows.select("band", *[F.col(c).alias(p + c) for c in cols])
+    a = side(posts.where(high >= low).withColumn("band", F.explode(F.sequence(size_band(low), size_band(high)))), "a_")
+    b = side(posts.where(most >= F.col("n")).withColumn("band", size_band(F.col("n"))), "b_")
+    return a, b
+
+
+def _meeting(posts: DataFrame, *more: str) -> DataFrame:
+    """Pairs of postings of one token that length and position allow; columns of the larger set (then
+    class id) have prefix ``a_``, of the smaller ``b_``."""
+    a, b = _dealt(posts, *more)
+    least = F.ceil(F.expr(f"{PERCENT} * (a_n + b_n) / {100 + PERCENT}"))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_cid") > F.col("b_cid")))
+    return a.join(b, (F.col("a_token") == F.col("b_token")) & (a["band"] == b["band"]) & larger & (1 + F.least("a_rest", "b_rest") >= least)).drop("band")
+
+
 def _checked_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between components among all pairs that share a posting and pass length and position."""
     now = _labelled(posts, labels)
-    a, b = now.alias("a"), now.alias("b")
-    least = F.ceil(F.expr(f"{PERCENT} * (a.n + b.n) / {100 + PERCENT}"))
-    fits = (F.col("a.label") < F.col("b.label")) & (1 + F.least("a.rest", "b.rest") >= least)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(
-        F.col("a.cid").alias("x"), F.col("b.cid").alias("y"), F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct()
+    pairs = _meeting(now, "label").where("a_label != b_label").select(
+        F.col("a_cid").alias("x"), F.col("b_cid").alias("y"), F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
     side = [classes.select(F.col("cid").alias(c), F.col("n").alias("n" + c), F.col("tokens").alias("t" + c)) for c in "xy"]
     both = pairs.join(side[0], "x").join(side[1], "y").select("a", "b", "nx", "ny", "tx", "ty")
 

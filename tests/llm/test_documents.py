@@ -94,6 +94,22 @@ def test_trie_finds_links_between_all_components():
         assert parts(links) == parts(every)
 
 
+def test_sets_that_bounds_exclude_do_not_meet(spark):
+    """Postings of one template token: of sets that are all alike in size and too far on to link no pair
+    meets; of others those pairs meet that length and position allow."""
+    import random
+    rng = random.Random(4)
+    far = [(1, i, 100, 75) for i in range(200)]
+    some = [(2, 1000 + i, n, n - 1 - rng.randint(0, n // 4)) for i, n in enumerate(rng.choices(range(1, 200), k=150))]
+    df = spark.createDataFrame(far + some, "token long, cid long, n long, rest long")
+    got = jaccard_join._meeting(df).collect()
+    want = {frozenset((a[1], b[1])) for a in some for b in some
+            if a[1] < b[1] and 4 * min(a[2], b[2]) >= 3 * max(a[2], b[2]) and 1 + min(a[3], b[3]) >= jaccard_join.need(a[2], b[2])}
+    assert len(got) == len(want) and {frozenset((r["a_cid"], r["b_cid"])) for r in got} == want and len(want) > 100
+    larger, smaller = jaccard_join._dealt(df.where("token = 1"))
+    assert larger.join(smaller, (larger["a_token"] == smaller["b_token"]) & (larger["band"] == smaller["band"])).count() == 0
+
+
 def test_one_row_of_each_group_stays(odd_docs, odd_rows):
     kept = jaccard_join.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
