@@ -392,11 +392,46 @@ def _checked_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _classes(sets: DataFrame) -> DataFrame:
+    return written(sets.where("tokens is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+
+
+def class_links(classes: DataFrame) -> DataFrame:
+    """(x, y): every link between different classes, once, inside components too.  Their number can grow
+    with the square of a group of near copies, which ``linked`` avoids."""
+    pairs = _meeting(_postings(classes)).select(F.col("a_cid").alias("x"), F.col("b_cid").alias("y")).distinct()
+    side = [classes.select(F.col("cid").alias(c), F.col("n").alias("n" + c), F.col("tokens").alias("t" + c)) for c in "xy"]
+    both = pairs.join(side[0], "x").join(side[1], "y")
+    common = F.lit(PERCENT) * (F.col("nx") + F.col("ny"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+                 for x, y in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "least")), pa.array(n, pa.int64())], names=["x", "y", "least", "common"])
+
+    counted = both.select("x", "y", "tx", "ty", common.alias("least")).mapInArrow(check, "x long, y long, least long, common long")
+    return counted.where(F.col("common") * (100 + PERCENT) >= F.col("least")).select("x", "y")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_links of every row: how many other rows it links with, those with an equal set among them."""
+    sets = document_sets(docs, id_col, text_col)
+    classes = _classes(sets)
+    links = written(class_links(classes), "links")
+    rows = sets.where("tokens is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.union(links.select("y", "x")).join(rows.withColumnRenamed("cid", "y"), "y").groupBy("x").agg(F.sum("rows").alias("others"))
+    n = rows.join(both, rows["cid"] == both["x"], "left").select("cid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = sets.select("doc", F.when(F.col("tokens").isNotNull(), F.col("cid")).alias("cid")).join(n, "cid", "left")
+    return out.select(F.when(F.col("doc") < MAX_ID, F.col("doc")).cast(docs.schema[id_col].dataType).alias(id_col),
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text_key, n, cid, label): the component (a class id) of every row; ``label`` is null for
     rows that link with nothing, and ``doc`` is 2 ** 63 - 1 for a null id."""
     sets = document_sets(docs, id_col, text_col)
-    classes = written(sets.where("tokens is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    classes = _classes(sets)
     posts = _postings(classes)
     labels = classes.sparkSession.createDataFrame([], "cid long, label long")
     for seed in range(ROUNDS):

@@ -110,6 +110,15 @@ def test_sets_that_bounds_exclude_do_not_meet(spark):
     assert larger.join(smaller, (larger["a_token"] == smaller["b_token"]) & (larger["band"] == smaller["band"])).count() == 0
 
 
+def test_links_of_every_document_equal_brute_force(odd_docs, odd_rows):
+    """Links inside components too: of 30 near copies some do not link with each other."""
+    sets = [shingles(r[1]) for r in odd_rows]
+    want = sorted(((r[0], sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)))
+                   for i, (r, a) in enumerate(zip(odd_rows, sets))), key=str)
+    assert sorted((tuple(r) for r in jaccard_join.link_counts(odd_docs).collect()), key=str) == want
+    assert max(n for _, n in want) > 3
+
+
 def test_one_row_of_each_group_stays(odd_docs, odd_rows):
     kept = jaccard_join.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
