@@ -9,8 +9,10 @@ event time and are given once the watermark has passed.
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,8 +188,12 @@ class AdmissionProcessor(StatefulProcessor):
 
     Rows are seconds (t, ids in order) that the watermark has passed: a later batch holds only later
     seconds, so sorting within the batch gives event-time order and the state stays at ``limit`` times.
+    Of a second only the first ``limit`` ids can be admitted; the others are given out at once, so
+    memory follows the seconds of the batch, not the creations.
     """
 
+    CHUNK = 1 << 16            # events of an output batch
+
     def __init__(self, limit: int = ADDRESS_LIMIT, span: int = DAY):
         self.limit, self.span = limit, span
 
@@ -195,13 +201,26 @@ class AdmissionProcessor(StatefulProcessor):
         self.admitted = handle.getListState("admitted", "t bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seconds = sorted((int(t), sorted(map(int, ids))) for chunk in rows for t, ids in zip(chunk["event_time"], chunk["ids"]))
+        at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for chunk in rows:
+            for part, out in ((slice(self.limit), False), (slice(self.limit, None), True)):
+                some = [ids[part] for ids in chunk["ids"]]
+                n = [len(x) for x in some]
+                t, ids = np.repeat(chunk["event_time"].to_numpy(np.int64), n), np.fromiter(chain.from_iterable(some), np.int64, sum(n))
+                if not out:
+                    at.append(t)
+                    who.append(ids)
+                elif len(ids):
+                    yield pd.DataFrame({"event_id": ids, "remote_ip": key[0], "event_time": t, "admitted": False})
+        t, ids = np.concatenate(at), np.concatenate(who)
+        order = np.lexsort((ids, t))
+        t, ids = t[order], ids[order]
         times = [int(r[0]) for r in self.admitted.get()] if self.admitted.exists() else []
-        events = [(i, t) for t, ids in seconds for i in ids]
-        yes = set(admitted_ids(((t, i) for i, t in events), times, self.limit, self.span))
-        self.admitted.put([(t,) for t in times])
-        yield pd.DataFrame({"event_id": pd.array([i for i, _ in events], dtype="int64"), "remote_ip": key[0],
-                            "event_time": pd.array([t for _, t in events], dtype="int64"), "admitted": [i in yes for i, _ in events]})
+        for k in range(0, len(t), self.CHUNK):
+            a, b = t[k:k + self.CHUNK], ids[k:k + self.CHUNK]
+            yes = admitted_ids(zip(a.tolist(), b.tolist()), times, self.limit, self.span)
+            yield pd.DataFrame({"event_id": b, "remote_ip": key[0], "event_time": a, "admitted": np.isin(b, yes)})
+        self.admitted.put([(x,) for x in times])
 
     def close(self) -> None:
         pass
@@ -211,11 +230,12 @@ def admit(events: DataFrame, delay: str, limit: int = ADDRESS_LIMIT, span: int =
     """STR-06: admission control per address on the create stream, in event-time order.
 
     First the ids of one address and second are put together (partial aggregation, append mode);
-    what the watermark has passed is walked with the at most ``limit`` admitted times as state.
+    of what the watermark has passed only the first ``limit`` of them can be admitted and are walked, with
+    the at most ``limit`` admitted times as state; the others are refused as they come.
     """
     c = creates(events).withColumn("second_ts", F.timestamp_seconds("event_time")).withWatermark("second_ts", delay)
     g = c.groupBy(F.window("second_ts", "1 second").alias("w"), "remote_ip").agg(F.collect_set("event_id").alias("ids"))
-    seconds = g.select("remote_ip", F.unix_seconds(F.col("w.start")).alias("event_time"), "ids")
+    seconds = g.select("remote_ip", F.unix_seconds(F.col("w.start")).alias("event_time"), F.array_sort("ids").alias("ids"))
     return seconds.groupBy("remote_ip").transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limit, span), outputStructType=ADMIT_SCHEMA,
         outputMode="Append", timeMode="None")
