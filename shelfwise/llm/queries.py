@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import html_text, jaccard_join, mixing, permutation_index, piece_sampling, pii, quality, substring_dedup, token_counts, url_filter
+from shelfwise.llm import (html_text, jaccard_join, mixing, permutation_index, piece_sampling, pii, prefix_trie, quality, ranked_search,
+                           substring_dedup, token_counts, url_filter, warc)
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -58,6 +59,45 @@ g AS (SELECT *, {_GLOBS_SQL} AS glob_hit FROM h)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN glob_hit THEN 'block' ELSE 'allow' END) AS verdict, glob_hit
 FROM g LEFT JOIN fit USING (page_id)""")
 
+_TERMS = r"regexp_extract_all(" + _LOWER.format(x="coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+oracle("op11_ranked_search", f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS n_all, CAST(sum(len(t)) AS BIGINT) AS l_all FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_all),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""")
+
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+list_reduce(list_prepend(xor(crc, byte), range(8)), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295), 4294967295)"""
+oracle("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'r': role, 'x': text}} ORDER BY turn NULLS FIRST, role, text) AS w FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, w, {_CRC32} % 6 AS h FROM c),
+s AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, md5(CAST(to_json(s[1:d]) AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS up,
+             CASE WHEN d > 0 THEN length(s[d].x) ELSE 0 END AS chars, len(s) = d AS ends
+      FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM s)),
+n AS (SELECT node, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node, d),
+k AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.up = n.node) AS n_children FROM n),
+a AS (SELECT DISTINCT k.node, k.d, k.n_children, k.n_convs, k.chars, anc.node AS top, anc.d AS top_d
+      FROM k JOIN p ON p.node = k.node AND p.d = k.d JOIN p anc ON anc.conv_id = p.conv_id AND anc.d <= p.d),
+b AS (SELECT top, top_d, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM a GROUP BY ALL)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves, b.saved_tokens, k.ends_sha256
+FROM k JOIN b ON b.top = k.node AND b.top_d = k.d LEFT JOIN k u ON u.node = k.up AND u.d = k.d - 1""")
+
+oracle("op13_warc", """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS x FROM pages),
+o AS (SELECT x, min(page_id) AS original FROM p WHERE strlen(x) >= 100 GROUP BY x)
+SELECT page_id, url, CAST(strlen(p.x) AS BIGINT) AS payload_bytes, sha256(p.x) AS payload_digest,
+       CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > original THEN original END AS refers_to
+FROM p LEFT JOIN o USING (x)""")
+
 
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +159,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, a row per node."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, from archives that were written and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""

@@ -9,7 +9,7 @@ from tests.llm.test_documents import base_spans, shingles
 
 def test_every_operator_has_one_query():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "personal_data", "mix_sources", "encode"]
