@@ -7,6 +7,7 @@ windows of one comparison collide with probability 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import checkpoint_table as written
 
-__all__ = ["Words", "buffers", "byte_hashes", "covered", "drawn", "mix", "per_row", "slices", "table", "text_or_empty", "window_hashes",
-           "window_rows", "written", "WORD_RX"]
+__all__ = ["Words", "aside", "buffers", "byte_hashes", "covered", "drawn", "mix", "per_row", "release", "slices", "table", "text_or_empty", "unused",
+           "window_hashes", "window_rows", "written", "WORD_RX"]
 
 WORD_RX = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
@@ -33,6 +34,29 @@ def text_or_empty(col: str) -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def unused(columns: list[str]) -> str:
+    """A name for an operator's own column that no column has, whatever its case."""
+    taken, name = {c.lower() for c in columns}, "_own"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def aside(docs: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names for the columns that begin with an operator's own ``prefix``, and the names
+    to give back (for ``withColumnsRenamed``)."""
+    taken = {c.lower() for c in docs.columns}
+    back = {}
+    for c in docs.columns:
+        if c.lower().startswith(prefix):
+            name = f"given{len(back)}"
+            while name in taken:
+                name += "_"
+            taken.add(name)
+            back[name] = c
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def drawn(rows: DataFrame, draw: F.Column, limit: int) -> list:
     """The ``limit`` rows with the least draw (a 64-bit hash; ties by the row), to the driver.
 
@@ -60,6 +84,15 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> Iterato
         cut = end
 
 
+def release() -> None:
+    """Give memory that Arrow's pool and the C library keep after a slice back to the machine: workers
+    stay alive between stages, beside the JVM's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (len + 1) of a string array; nulls count as empty."""
     arr = arr.cast(pa.large_string())

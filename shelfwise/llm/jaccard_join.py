@@ -3,8 +3,8 @@
 A document's set holds its distinct 5-word shingles (A-Z lower-cased, 56-bit hashes); two documents
 link when 100 * intersection >= 75 * union.  Null, empty and blank texts have an empty set and link
 with nothing.  Equal sets are one class from then on; rows that share an id are judged by their own
-texts.  A null id is no document's smallest.  Only id and text are read; an empty table gives an
-empty result.
+texts.  A null id is no document's smallest.  Only id and text are read, and ``one_of_each`` keeps the
+other columns, whatever their names; an empty table gives an empty result.
 
 1. Document frequencies.  Every slice of a task sends its sorted shingles, packed, to buckets of the
    hash range; buckets send back those that a second document holds.  Shingles common inside a slice
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Words, buffers, mix, slices, text_or_empty, window_hashes, window_rows, written
+from shelfwise.llm.common import Words, buffers, mix, release, slices, text_or_empty, unused, window_hashes, window_rows, written
 from shelfwise.llm.components import components
 
 SHINGLE = 5
@@ -200,10 +200,22 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in some], pa.int64()),
                                                       "slice": pa.array([r[1] for r in some], pa.int64()),
                                                       "blob": pa.array([r[2] for r in some], pa.binary())})
+                del rows
+                release()
+
+    def reply(group: pa.Table) -> pa.Table:
+        out = _reply(group)
+        release()
+        return out
+
+    def sets_of(group: pa.Table) -> pa.Table:
+        out = _sets_of(group)
+        release()
+        return out
 
     sent = narrow.select("doc", "text_key", "text").mapInArrow(send, "bucket long, slice long, blob binary")
-    replies = sent.groupBy("bucket").applyInArrow(_reply, "slice long, own boolean, blob binary")
-    sets = replies.groupBy("slice").applyInArrow(_sets_of, "doc long, text_key long, n long, cid long, tokens binary")
+    replies = sent.groupBy("bucket").applyInArrow(reply, "slice long, own boolean, blob binary")
+    sets = replies.groupBy("slice").applyInArrow(sets_of, "doc long, text_key long, n long, cid long, tokens binary")
     return written(sets, "shingle-sets")
 
 
@@ -427,28 +439,37 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, text_key, n, cid, label): the component (a class id) of every row; ``label`` is null for
-    rows that link with nothing, and ``doc`` is 2 ** 63 - 1 for a null id."""
+def _sets_and_labels(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     sets = document_sets(docs, id_col, text_col)
     classes = _classes(sets)
     posts = _postings(classes)
     labels = classes.sparkSession.createDataFrame([], "cid long, label long")
     for seed in range(ROUNDS):
         labels = _relabel(labels, _round(posts, classes, labels, seed))
-    labels = _relabel(labels, _checked_pairs(posts, classes, labels))
+    return sets, _relabel(labels, _checked_pairs(posts, classes, labels))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, text_key, n, cid, label): the component (a class id) of every row; ``label`` is null for
+    rows that link with nothing, and ``doc`` is 2 ** 63 - 1 for a null id."""
+    sets, labels = _sets_and_labels(docs, id_col, text_col)
     may = F.when(F.col("tokens").isNotNull(), F.coalesce("label", "cid"))
     return sets.join(labels, "cid", "left").select("doc", "text_key", "n", "cid", may.alias("label"))
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row."""
-    rows = linked(docs, id_col, text_col)
-    low = rows.where("label is not null").groupBy("label").agg(F.min("doc").alias("low"))
-    out = rows.join(low, "label", "left")
+    sets, labels = _sets_and_labels(docs, id_col, text_col)
+    # The least id goes by class: first of each class's rows, then of each component's classes, and back.
+    # Only a class of equal sets gathers rows, in a join of two written tables, which Spark splits.
+    own = sets.where("tokens is not null").groupBy("cid").agg(F.min("doc").alias("low"))
+    own = written(own.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "class-ids")
+    least = written(own.groupBy("label").agg(F.min("low").alias("least")), "component-ids")
+    classes = written(own.join(least, "label").select("cid", "least"), "class-components")
+    out = sets.select("doc", "n", F.when(F.col("tokens").isNotNull(), F.col("cid")).alias("cid")).join(classes, "cid", "left")
     kind = docs.schema[id_col].dataType
     return out.select(F.when(F.col("doc") < MAX_ID, F.col("doc")).cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.coalesce("low", "doc") < MAX_ID, F.coalesce("low", "doc")).alias("component_id"))
+                      F.when(F.coalesce("least", "doc") < MAX_ID, F.coalesce("least", "doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,9 +479,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("doc", "text_key")).alias("k")).select("k.*")
     keep = first.union(rows.where("label is null").select("doc", "text_key")).distinct()
     blank = ~text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("_jac_doc"),
-                        F.xxhash64(text_or_empty(text_col)).alias("_jac_key"),
-                        F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("_jac_row"))
-    keep = keep.select(F.col("doc").alias("_jac_doc"), F.col("text_key").alias("_jac_key"))
-    kept = keyed.join(keep, ["_jac_doc", "_jac_key"], "left_semi")
-    return kept.dropDuplicates(["_jac_doc", "_jac_key", "_jac_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = unused(docs.columns)
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("doc"), F.xxhash64(text_or_empty(text_col)).alias("text_key"),
+                   F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("row"))
+    keyed = docs.withColumn(own, key)
+    keep = keep.select(F.col("doc").alias("keep_doc"), F.col("text_key").alias("keep_key")).alias("keep")
+    same = (F.col(f"{own}.doc") == F.col("keep.keep_doc")) & (F.col(f"{own}.text_key") == F.col("keep.keep_key"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates([own]).drop(own)

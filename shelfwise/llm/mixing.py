@@ -11,7 +11,8 @@ document is lost.  With a budget, a quota may be less than a source: that is the
 Null or empty texts have no tokens; a source without tokens keeps one epoch and takes no part in
 the weights.  A null source is a source of its own.  Rows that share an id share their place in the
 permutation, so they are taken or left together.  An empty table gives an empty result.  Columns
-of the input pass through; names that begin with ``_mix_`` are reserved.
+of the input pass through ``mixed``, whatever their names; ``apply_mix`` adds names that begin with
+``_mix_``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORD_RX, text_or_empty, written
+from shelfwise.llm.common import WORD_RX, aside, text_or_empty, written
 
 MAX_REPETITION = 2.0
 BLOCK_ROWS = 4096          # documents a block holds on average
@@ -171,4 +172,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
           **how) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as the weights ask; texts are not shuffled."""
     sources, _ = plan_mix(docs, id_col, source_col, text_col, **how)
-    return apply_mix(docs, sources, id_col, source_col, how.get("seed", 9)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, back = aside(docs, "_mix_")
+    out = apply_mix(docs, sources, id_col, source_col, how.get("seed", 9)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumnsRenamed(back)

@@ -31,13 +31,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import byte_hashes, mix, slices, text_or_empty
+from shelfwise.llm.common import byte_hashes, mix, release, slices, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 8
 SHARPNESS = 1.0            # exponent of the pieces' weights
-SLICE = 2 << 20
+SLICE = 512 << 10          # text of a slice: its arrays take about 150 times as much
 SLOPE, LONG = 6.0, 120     # scale of unit sums (nats a character), and how long a unit they serve
 BLANK = "▁"
 FIXED = float(1 << 40)     # log-probabilities are added as integers: exact, whatever shares a slice
@@ -419,6 +419,18 @@ def _spells(pieces: Pieces, ids: np.ndarray, offs: np.ndarray, plain: list[bytes
     return ok
 
 
+_PIECES: dict = {}
+
+
+def pieces_of(model: bytes, sharpness: float = SHARPNESS) -> Pieces:
+    """The vocabulary's tables, made once for a worker (tasks import this module for that)."""
+    key = (model, sharpness)
+    if key not in _PIECES:
+        _PIECES.clear()
+        _PIECES[key] = Pieces(model, sharpness)
+    return _PIECES[key]
+
+
 def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
                    samples: int = SAMPLES, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
     """id, rank, ids, n_pieces, log_prob, perturbed, inclusion, decodes for every sample of every row."""
@@ -427,7 +439,8 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit("key"), F.col(id_col)).alias("key"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto, sharpness)
+        from shelfwise.llm import piece_sampling as own        # the worker's module, which outlives the task
+        pieces = own.pieces_of(proto, sharpness)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
@@ -445,6 +458,8 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.astype(np.int32))), pa.array(length[rows].astype(np.int64)),
                         pa.array(log_prob[rows]), pa.array(value[rows]), pa.array(chance), pa.array(ok, pa.bool_())],
                         names=["id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "decodes"])
+                del texts, plain, ranked, best_left, ids, start, length, log_prob, value, live, rows, offs, flat, ok, chance
+                release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = narrow.mapInArrow(run, f"id {kind}, rank int, ids array<int>, n_pieces long, log_prob double, perturbed double, inclusion double, decodes boolean")
@@ -457,7 +472,8 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", mode
         proto = f.read()
 
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(proto)
+        from shelfwise.llm import piece_sampling as own
+        pieces = own.pieces_of(proto)
         for lists in batches:
             yield lists.map(lambda ids: None if ids is None else pieces.decode(ids))
 

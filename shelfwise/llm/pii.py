@@ -10,7 +10,7 @@ by pattern (a bounded table), expectation-maximisation estimates the labelers' r
 and a logistic classifier over the span's features is trained on the posteriors.  A candidate whose
 probability reaches ``threshold`` becomes a span, unless it overlaps a base span.
 
-Null texts are empty.  Repeated rows get the same spans.  An empty table gives an empty result and
+Extra columns pass through ``redacted``, whatever their names.  Null texts are empty.  Repeated rows get the same spans.  An empty table gives an empty result and
 a model that adds nothing.  Offsets are code points, end exclusive.  Positions are prefix sums over
 the gaps between matches, in blocks, so a text with very many matches stays linear.
 """
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import text_or_empty
+from shelfwise.llm.common import aside, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
@@ -290,6 +290,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become the
     first one's mark.  ``chars_col`` follows the new text.  A null text stays null."""
+    docs, back = aside(docs, "_pii_")
     spans = with_spans(docs, text_col)
     w = fit(spans)
     text, names = F.col("_pii_text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
@@ -311,4 +312,4 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(
             F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)

@@ -150,7 +150,7 @@ def rebuilt(turns: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
 def mismatches(turns: DataFrame, prefixes: DataFrame) -> int:
     """Nodes whose members' last turns are not all equal, by the stored roles and texts."""
     key = ["depth", *_S]
-    several = prefixes.groupBy(*key).agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select(*key, "low")
+    several = written(prefixes.groupBy(*key).agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select(*key, "low"), "shared")
     refs = prefixes.join(several, key).select("ref", "low").distinct()
     found = refs.join(turns.select("ref", "role", "text"), "ref").groupBy("low").agg(
         F.min("role").alias("r0"), F.max("role").alias("r1"), F.min("text").alias("t0"), F.max("text").alias("t1"))

@@ -7,7 +7,7 @@ probability of being good reaches ``threshold`` and the base checks hold.
 
 Null and empty texts have no words and fail the base check.  Repeated rows are judged alike; an
 empty table gives an empty result and a neutral model.  Extra columns pass through ``keep_good``
-unread; a column named ``_quality`` is the one name reserved there.
+unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import Words, covered, per_row, slices, window_hashes, window_rows
+from shelfwise.llm.common import Words, aside, covered, per_row, slices, window_hashes, window_rows
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -184,6 +184,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns; one scan to fit, one to filter."""
+    docs, back = aside(docs, "_quality")
     featured = with_features(docs, text_col)
     q, model = F.col("_quality"), fit(featured)
-    return featured.where(~base_failed(q) & (posterior(q, model) >= threshold)).drop("_quality")
+    return featured.where(~base_failed(q) & (posterior(q, model) >= threshold)).drop("_quality").withColumnsRenamed(back)

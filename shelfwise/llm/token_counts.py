@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import slices, text_or_empty
+from shelfwise.llm.common import aside, slices, text_or_empty
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of that vocabulary (fixed value).
@@ -170,6 +170,7 @@ def _with_columns(df: DataFrame, new: dict[str, str]) -> T.StructType:
 def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``tree``."""
     data = _read(vocabulary)
+    docs, back = aside(docs, "_count_")
     keep = [c for c in docs.columns if c not in ("n_tokens", "tree")]
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("_count_text"))
 
@@ -183,7 +184,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array([sum(x["tokens"]) for x in tree], pa.int64()),
                                                   pa.array(tree, kind)], names=[*keep, "n_tokens", "tree"])
 
-    return narrow.mapInArrow(run, _with_columns(narrow.drop("_count_text"), {"n_tokens": "bigint", "tree": TREE}))
+    return narrow.mapInArrow(run, _with_columns(narrow.drop("_count_text"), {"n_tokens": "bigint", "tree": TREE})).withColumnsRenamed(back)
 
 
 def apply_edits(counted: DataFrame, edits_col: str = "edits", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -191,6 +192,8 @@ def apply_edits(counted: DataFrame, edits_col: str = "edits", text_col: str = "t
     that were encoded again."""
     data = _read(vocabulary)
     new = {text_col: "string", "n_tokens": "bigint", "tree": TREE, "n_encoded": "bigint"}
+    counted, back = aside(counted, "_count_")
+    edits_col = {c: name for name, c in back.items()}.get(edits_col, edits_col)
     keep = [c for c in counted.columns if c not in new]
     narrow = counted.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("_count_text"), F.col("tree").alias("_count_tree"),
                             F.col(edits_col).cast(EDITS).alias("_count_edits"))
@@ -216,7 +219,7 @@ def apply_edits(counted: DataFrame, edits_col: str = "edits", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()),
                                                   pa.array(trees, kind), pa.array(encoded, pa.int64())], names=[*keep, *new])
 
-    return narrow.mapInArrow(run, _with_columns(counted.select(*[F.col(f"`{c}`") for c in keep]), new))
+    return narrow.mapInArrow(run, _with_columns(counted.select(*[F.col(f"`{c}`") for c in keep]), new)).withColumnsRenamed(back)
 
 
 def sample_edits(key: Column, text: Column, word: Column) -> Column:

@@ -63,3 +63,21 @@ def test_drawn_rows_do_not_depend_on_partitions(spark):
     for parts in (1, 9):
         assert [r["id"] for r in drawn(df.repartition(parts), draw, 40)] == want
     assert len(drawn(df.limit(7), draw, 40)) == 7 and drawn(df.limit(0), draw, 40) == []
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Every operator that passes columns on keeps those that have the names it uses itself."""
+    from pyspark.sql import functions as F
+
+    from shelfwise.llm import jaccard_join, mixing, pii, quality, token_counts
+    text = " ".join(f"the word{i} of it." for i in range(40)) + " mail a.b@example.org now"
+    names = ["_own", "_OWN_", "_jac_doc", "_jac_key", "_pii_text", "_pii_email", "_PII_base", "_quality", "_mix_source", "_mix_epochs", "_count_text", "given0", "keep_doc"]
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, text + " x", "b", 5), (3, None, "a", 5)], "doc_id long, text string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    counted = token_counts.count_tokens(docs).withColumn("edits", F.lit(None).cast(token_counts.EDITS))
+    for out in (jaccard_join.one_of_each(docs), pii.redacted(docs), quality.keep_good(docs), mixing.mixed(docs), token_counts.apply_edits(counted)):
+        rows = out.collect()
+        assert rows and out.columns[:3] == docs.columns[:3] or set(docs.columns) <= set(out.columns)
+        for r in rows:
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
+    assert "a.b@" not in pii.redacted(docs).first()["text"]
