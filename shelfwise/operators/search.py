@@ -4,19 +4,22 @@ PRJ-01 is a case-insensitive *literal* substring filter (the reference escapes
 ``%`` and ``_``; ``contains(lower, lower)`` has no wildcards at all).  PRJ-02
 then splits the matching code into lines and keeps lines that contain the term
 case-sensitively, one output row per line.  PRJ-03 searches many terms at
-once: each term is joined to the rows through its rarest character n-grams (an
-equi-join, so no pair of row x term is evaluated unless the row holds them),
-then verified with ``contains``.
+once, in the scan of the texts: terms come in blocks of bounded size, and no text
+is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from shelfwise.functions.byte_windows import TermSet, scan, term_keys
 from shelfwise.functions.text import (contains_ci, drop_trailing_empty, highlight, split_keywords,
                                       split_line_parts)
 from shelfwise.session import checkpoint_table
@@ -84,10 +87,8 @@ def library_keywords(f: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- PRJ-03
 
-# How many of a term's rarest n-grams a row must hold to be verified.
-PREFILTER_NGRAMS = 2
-# Longest n-gram used for the prefilter (longer terms use n-grams of this length).
-NGRAM_MAX = 4
+# Terms that one scan of the texts looks for: what the driver gathers and a task holds is 16 bytes each.
+TERMS_A_SCAN = 1 << 18
 
 
 def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -96,62 +97,51 @@ def _long_form(f: DataFrame, fields: Sequence[str]) -> DataFrame:
         F.struct(F.lit(i).alias("fidx"), F.lower(fld).alias("ltext")) for i, fld in enumerate(fields)]))).where("ltext is not null")
 
 
-def _ngrams(s: Column, n: int) -> Column:
-    """Distinct character n-grams of ``s`` (empty when shorter than n).
-
-    One linear regex pass with an overlapping lookahead; a ``substring`` per
-    position would rescan the UTF-8 string from its start each time (quadratic
-    on long documents).
-    """
-    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-
-
-def _ngram_rows(s: Column, lengths: Sequence[int]) -> Column:
-    """One row (n, g) per distinct n-gram of every length."""
-    def of(n: int) -> Column:
-        return F.transform(_ngrams(s, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    return F.inline(F.concat(*map(of, lengths)))
-
-
-def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+def search_many(f: DataFrame, terms: DataFrame, fields: Sequence[str] = FIELDS, terms_a_scan: int = TERMS_A_SCAN) -> DataFrame:
     """PRJ-03: every (term, function, field) where the field contains the term
     (case-insensitive literal).  ``terms`` has a ``term`` column.
 
-    A term of length m is matched through n-grams of length min(m, NGRAM_MAX).  The texts are cut
-    into n-grams once; those that occur in a term are written as one narrow table, which gives both
-    their frequency and, through each term's rarest n-grams, the candidates; one join brings the
-    candidates to their texts, where each is verified.  No join is told to broadcast: Spark does so
-    where the written term tables are below its threshold.
+    The terms' keys are tested at every place of every text in the stage that scans the texts (see
+    ``byte_windows``); what leaves it is a row per text and term found, which a join by key turns into
+    terms.  More than ``terms_a_scan`` terms are dealt by hash to several scans.  Terms of up to eight
+    bytes are compared as they are, longer ones by 128 bits of hashes.  Null terms and texts match
+    nothing, the empty term every text.
     """
     names = F.array(*[F.lit(fld) for fld in fields])
-    t = checkpoint_table(terms.select("term").where("term is not null").distinct().withColumn("lt", F.lower("term")), "terms")
-    lengths = [r["n"] for r in t.select(F.least(F.length("lt"), F.lit(NGRAM_MAX)).alias("n")).distinct().collect()]   # NGRAM_MAX + 1 at most
+    t = _keyed_terms(terms)
     docs = _long_form(f, fields)
-    parts = []
-    if 0 in lengths:                       # the empty term matches every text
+    n, empty = t.agg(F.count(F.lit(1)), F.count_if(F.col("size") == 0)).first()
+    scans = -(-n // terms_a_scan)
+    parts = [_found(docs, t.where((F.col("size") > 0) & (F.pmod(F.xxhash64("one", "two"), F.lit(scans)) == b))) for b in range(scans)]
+    if empty:
         parts.append(docs.select(F.lit("").alias("term"), "function_id", "fidx"))
-    lengths = sorted(n for n in lengths if n)
-    if lengths:
-        parts.append(_ngram_join(docs, t.where("lt <> ''"), lengths))
     if not parts:
-        return docs.limit(0).select(F.lit("").alias("term"), "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts = [docs.limit(0).select(F.lit("").alias("term"), "function_id", "fidx")]
+    out = reduce(DataFrame.unionByName, parts)
     return out.select("term", "function_id", F.element_at(names, F.col("fidx") + 1).alias("result_type"))
 
 
-def _ngram_join(docs: DataFrame, t: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """(term, function_id, fidx) of every text that contains a term's lower-case form."""
-    words = t.select("lt").distinct()
-    tg = checkpoint_table(words.select("lt", F.least(F.length("lt"), F.lit(NGRAM_MAX)).alias("m"), _ngram_rows(F.col("lt"), lengths))
-                          .where("n = m").select("lt", "n", "g"), "term-ngrams")
-    grams = checkpoint_table(tg.select("n", "g").distinct(), "ngrams")
-    held = checkpoint_table(docs.select("function_id", "fidx", _ngram_rows(F.col("ltext"), lengths)).join(grams, ["n", "g"], "left_semi"),
-                            "held-ngrams")
-    freq = held.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("lt").orderBy(F.asc("df"), F.asc("g")))
-    rare = tg.join(freq, ["n", "g"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("_r", rank) \
-        .where(F.col("_r") <= PREFILTER_NGRAMS)
-    few = checkpoint_table(rare.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("lt"))).select("lt", "n", "g", "_k"), "rare-ngrams")
-    cand = held.join(few, ["n", "g"]).groupBy("function_id", "fidx", "lt", "_k").agg(F.count(F.lit(1)).alias("_hits")).where("_hits = _k")
-    found = cand.select("function_id", "fidx", "lt").join(docs, ["function_id", "fidx"]).where(F.contains("ltext", "lt"))
-    return found.select("function_id", "fidx", "lt").join(t, "lt").select("term", "function_id", "fidx")
+def _keyed_terms(terms: DataFrame) -> DataFrame:
+    """(term, size, one, two, lead) of the distinct terms, written; keys of the lower-case form."""
+    t = terms.select("term").where("term is not null").distinct().withColumn("lt", F.lower("term"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, *hashes = term_keys(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in hashes)],
+                                             names=["term", "size", "one", "two", "lead"])
+
+    return checkpoint_table(t.mapInArrow(keys, "term string, size long, one long, two long, lead long"), "terms")
+
+
+def _found(docs: DataFrame, t: DataFrame) -> DataFrame:
+    """(term, function_id, fidx) of the texts that contain a term of ``t``, a bounded block of terms."""
+    held = t.select("size", "one", "lead").distinct().toPandas()
+    block = TermSet(held["size"].to_numpy(np.int64), held["one"].to_numpy(np.int64).view(np.uint64), held["lead"].to_numpy(np.int64).view(np.uint64))
+    kind = docs.schema["function_id"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scan(batches, "ltext", ["function_id", "fidx"], block)
+
+    hits = docs.mapInArrow(search, f"function_id {kind}, fidx int, one long, two long")
+    return hits.join(t.select("term", "one", "two"), ["one", "two"]).select("term", "function_id", "fidx")

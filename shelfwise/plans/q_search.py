@@ -96,7 +96,7 @@ def prj03_search_many(spark, d):
 @register("prj03_search_many_short", with_views(
     "WITH terms AS (SELECT DISTINCT lang AS term FROM documents)" + _MANY_SQL, "functions"))
 def prj03_search_many_short(spark, d):
-    # A few short terms (language codes): the broadcast nested-loop path.
+    # A few short terms (language codes), which nearly every text contains.
     terms = load(spark, d, "documents").select(F.col("lang").alias("term"))
     return S.search_many(view(spark, d, "functions"), terms)
 
@@ -105,7 +105,7 @@ def prj03_search_many_short(spark, d):
     "WITH terms AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS term FROM benchmark)" + _MANY_SQL,
     "functions"))
 def prj03_search_many_words(spark, d):
-    # Terms: every word of the benchmark passages (thousands of terms): the n-gram equi-join path.
+    # Terms: every word of the benchmark passages (thousands of terms).
     terms = load(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
     return S.search_many(view(spark, d, "functions"), terms)
 

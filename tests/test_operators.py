@@ -123,6 +123,27 @@ def test_search_many_equals_a_test_of_every_pair(spark):
     assert S.search_many(f, spark.createDataFrame([], "term string")).count() == 0
 
 
+def test_search_many_in_several_scans_and_with_long_terms(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abé漢 ", k=rng.randint(0, 60))) for _ in range(60)] + ["é" * 40, "ab" * 3000, None, ""]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "function_id bigint, code string").repartition(3)
+    terms = sorted({t[a:a + n] for t in texts if t for a in range(0, min(len(t), 40), 5) for n in (1, 2, 3, 5, 8, 9, 12, 30, 200)} | {"É", "AB", "zz", "ab" * 2000, ""})
+    want = sorted((t, i, "code") for t in terms for i, x in enumerate(texts) if x is not None and t.lower() in x.lower())
+    for block in (1 << 18, 200):
+        out = S.search_many(f, spark.createDataFrame([(t,) for t in terms], "term string"), ["code"], terms_a_scan=block)
+        assert sorted(map(tuple, out.collect())) == want
+
+
+def test_search_many_moves_no_text(spark, sf_dir):
+    """Texts reach the scan's Python stage and nothing else: no exchange below it or of a text above it."""
+    from shelfwise.sources.tables import view
+    out = S.search_many(view(spark, sf_dir, "functions"), spark.createDataFrame([("the",), ("nothing like it",)], "term string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("MapInArrow"):plan.index("Scan parquet", plan.index("MapInArrow"))]
+    assert "Exchange" not in scan and plan.count("MapInArrow") == 1
+    assert not any("ltext" in line for line in plan.splitlines() if "Exchange" in line or "Join" in line)
+
+
 def test_parse_keywords_strictness(spark):
     cases = {'["a", "b", "a"]': (True, ["a", "b"]), "[]": (True, []), "[null]": (False, None),
              "['a']": (False, None), '["a", 1]': (False, None), '"a"': (False, None), "not json": (False, None),
