@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 8
 SHARPNESS = 1.0            # exponent of the pieces' weights
-SLICE = 512 << 10          # text of a slice: its arrays take about 150 times as much
+SLICE = 1 << 20            # text of a slice: its arrays take about 150 times as much
 SLOPE, LONG = 6.0, 120     # scale of unit sums (nats a character), and how long a unit they serve
 BLANK = "▁"
 FIXED = float(1 << 40)     # log-probabilities are added as integers: exact, whatever shares a slice
