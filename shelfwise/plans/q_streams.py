@@ -135,6 +135,24 @@ SELECT session_id, key, val FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id, key ORDER BY seq DESC) AS rn FROM kv_log)
 WHERE rn = 1 AND val IS NOT NULL""", "kv_log"))
 def str07_live_state(spark, d):
-    live = runner.run_update(ST.live_state(kv_changes(ST.event_stream(spark, d))), "str07",
-                             ["session_id", "key"])
+    changes = kv_changes(ST.event_stream(spark, d), "event_ts")
+    live = ST.latest_contents(runner.run_update(ST.live_state(changes, DELAY), "str07", ["period", "session_id", "key"]))
     return live.filter(F.col("val").isNotNull()).select("session_id", "key", "val")
+
+
+# A session ends 3600 s after its last change (whole seconds); what it then holds, as "key=value" in key order.
+@register("str07_expired_contents", f"""
+WITH c AS (SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) // 1000000 AS t, concat('k', cast(event_id % 5 AS varchar)) AS key,
+                  CASE WHEN event_type = 'error' THEN NULL ELSE cast(event_id AS varchar) END AS val FROM events),
+o AS (SELECT *, lag(t) OVER (PARTITION BY session_id ORDER BY t, seq) AS prev FROM c),
+g AS (SELECT *, sum(CASE WHEN prev IS NULL OR t - prev >= 3600 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY session_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS sid FROM o),
+e AS (SELECT session_id, sid, max(t) + 3600 AS expired FROM g GROUP BY session_id, sid),
+l AS (SELECT session_id, sid, key, arg_max(coalesce(val, ''), seq) AS val FROM g GROUP BY session_id, sid, key)
+SELECT e.session_id, CAST(expired AS BIGINT) AS expired, coalesce(string_agg(key || '=' || val, ',' ORDER BY key) FILTER (val <> ''), '') AS contents
+FROM e JOIN l ON l.session_id = e.session_id AND l.sid = e.sid
+WHERE expired * 1000 + 1000 <= {_WM_MS} GROUP BY ALL""")
+def str07_expired_contents(spark, d):
+    out = runner.run_append(ST.expired_contents(kv_changes(ST.event_stream(spark, d), "event_ts"), DELAY), "str07end")
+    entries = F.transform(F.array_sort(F.map_entries("data")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return out.select("session_id", "expired", F.array_join(entries, ",").alias("contents"))

@@ -162,10 +162,11 @@ def kv_log(spark: SparkSession, d: str) -> DataFrame:
     return kv_changes(load(spark, d, "events"))
 
 
-def kv_changes(ev: DataFrame) -> DataFrame:
-    """Session-state changes of events (a table or a stream): (seq, session_id, key, val); NULL val = delete."""
+def kv_changes(ev: DataFrame, *keep: str) -> DataFrame:
+    """Session-state changes of events (a table or a stream): (seq, session_id, key, val), and the columns
+    ``keep``; NULL val = delete."""
     return ev.select(
-        F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"),
+        *keep, F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"),
         F.concat(F.lit("k"), _str(F.col("event_id") % 5)).alias("key"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
          .otherwise(_str(F.col("event_id"))).alias("val"))

@@ -9,12 +9,11 @@ event time and are given once the watermark has passed.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import islice
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -184,66 +183,116 @@ def expiry_events(events: DataFrame, delay: str, lock_ttl: int = LOCK_TTL, sessi
 # ---------------------------------------------------------------- STR-06
 
 class AdmissionProcessor(StatefulProcessor):
-    """STR-06: per address, the admitted creation times of the last ``span`` seconds.
+    """STR-06: per address, the admitted creation times of the last ``span`` seconds, and the ids that
+    may still be admitted.
 
-    Rows are seconds (t, ids in order) that the watermark has passed: a later batch holds only later
-    seconds, so sorting within the batch gives event-time order and the state stays at ``limit`` times.
-    Of a second only the first ``limit`` ids can be admitted; the others are given out at once, so
-    memory follows the seconds of the batch, not the creations.
+    Of one second only the first ``limit`` ids can be admitted, so no more are kept: the others are
+    refused as they come, a chunk at a time.  The kept ones wait, as two arrays, until a timer tells that
+    the watermark has passed their second; then they are walked in event-time order.  State is ``limit``
+    times, and ``limit`` ids for each second within the delay.
     """
 
-    CHUNK = 1 << 16            # events of an output batch
+    CHUNK = 1 << 14            # events that are looked at together
 
     def __init__(self, limit: int = ADDRESS_LIMIT, span: int = DAY):
         self.limit, self.span = limit, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.admitted = handle.getListState("admitted", "t bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for chunk in rows:
-            for part, out in ((slice(self.limit), False), (slice(self.limit, None), True)):
-                some = [ids[part] for ids in chunk["ids"]]
-                n = [len(x) for x in some]
-                t, ids = np.repeat(chunk["event_time"].to_numpy(np.int64), n), np.fromiter(chain.from_iterable(some), np.int64, sum(n))
-                if not out:
-                    at.append(t)
-                    who.append(ids)
-                elif len(ids):
-                    yield pd.DataFrame({"event_id": ids, "remote_ip": key[0], "event_time": t, "admitted": False})
-        t, ids = np.concatenate(at), np.concatenate(who)
+        self.handle = handle
+        self.state = handle.getValueState("address", "admitted array<bigint>, seconds array<bigint>, ids array<bigint>")
+
+    def _load(self) -> tuple[list[int], np.ndarray, np.ndarray]:
+        if not self.state.exists():
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        admitted, t, ids = (list(x) if x is not None else [] for x in self.state.get())
+        return admitted, np.array(t, np.int64), np.array(ids, np.int64)
+
+    @staticmethod
+    def _placed(t: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by second and id, and the place that each then has in its second."""
         order = np.lexsort((ids, t))
-        t, ids = t[order], ids[order]
-        times = [int(r[0]) for r in self.admitted.get()] if self.admitted.exists() else []
-        for k in range(0, len(t), self.CHUNK):
-            a, b = t[k:k + self.CHUNK], ids[k:k + self.CHUNK]
-            yes = admitted_ids(zip(a.tolist(), b.tolist()), times, self.limit, self.span)
-            yield pd.DataFrame({"event_id": b, "remote_ip": key[0], "event_time": a, "admitted": np.isin(b, yes)})
-        self.admitted.put([(x,) for x in times])
+        new = np.ones(len(t), bool)
+        new[1:] = np.diff(t[order]) != 0
+        begin = np.flatnonzero(new)
+        return order, np.arange(len(t)) - np.repeat(begin, np.diff(np.append(begin, len(t))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        admitted, t, ids = self._load()
+        next_timer = t.min() if len(t) else None
+        while chunk := list(islice(rows, self.CHUNK)):
+            t = np.concatenate([t, np.array([r["event_time"] for r in chunk], np.int64)])
+            ids = np.concatenate([ids, np.array([r["event_id"] for r in chunk], np.int64)])
+            order, place = self._placed(t, ids)
+            few, more = order[place < self.limit], order[place >= self.limit]
+            for second, event in zip(t[more].tolist(), ids[more].tolist()):
+                yield Row(event_id=event, remote_ip=key[0], event_time=second, admitted=False)
+            t, ids = t[few], ids[few]
+        if len(t) and (next_timer is None or t.min() < next_timer):
+            self.handle.registerTimer((int(t.min()) + 1) * 1000)
+        self.state.update((admitted, t.tolist(), ids.tolist()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        admitted, t, ids = self._load()
+        passed = (t + 1) * 1000 <= timerValues.getCurrentWatermarkInMs()
+        order = np.flatnonzero(passed)[np.lexsort((ids[passed], t[passed]))]
+        waiting = list(zip(t[order].tolist(), ids[order].tolist()))
+        yes = set(admitted_ids(waiting, admitted, self.limit, self.span))
+        for second, event in waiting:
+            yield Row(event_id=event, remote_ip=key[0], event_time=second, admitted=event in yes)
+        t, ids = t[~passed], ids[~passed]
+        if len(t):
+            self.handle.registerTimer((int(t.min()) + 1) * 1000)
+        self.state.update((admitted, t.tolist(), ids.tolist()))
 
     def close(self) -> None:
         pass
 
 
 def admit(events: DataFrame, delay: str, limit: int = ADDRESS_LIMIT, span: int = DAY) -> DataFrame:
-    """STR-06: admission control per address on the create stream, in event-time order.
-
-    First the ids of one address and second are put together (partial aggregation, append mode);
-    of what the watermark has passed only the first ``limit`` of them can be admitted and are walked, with
-    the at most ``limit`` admitted times as state; the others are refused as they come.
-    """
-    c = creates(events).withColumn("second_ts", F.timestamp_seconds("event_time")).withWatermark("second_ts", delay)
-    g = c.groupBy(F.window("second_ts", "1 second").alias("w"), "remote_ip").agg(F.collect_set("event_id").alias("ids"))
-    seconds = g.select("remote_ip", F.unix_seconds(F.col("w.start")).alias("event_time"), F.array_sort("ids").alias("ids"))
-    return seconds.groupBy("remote_ip").transformWithStateInPandas(
+    """STR-06: admission control per address on the create stream, in event-time order; a second is
+    decided once the watermark has passed it.  One shuffle, by address."""
+    c = creates(events).select("event_id", "remote_ip", "event_time", F.timestamp_seconds("event_time").alias("second_ts"))
+    return c.withWatermark("second_ts", delay).groupBy("remote_ip").transformWithState(
         statefulProcessor=AdmissionProcessor(limit, span), outputStructType=ADMIT_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 # ---------------------------------------------------------------- STR-07
 
-def live_state(changes: DataFrame) -> DataFrame:
-    """STR-07: session contents as keyed state: the latest (seq, val) per (session, key)."""
-    g = changes.groupBy("session_id", "key").agg(F.max(F.struct("seq", "val")).alias("l"))
+def live_state(changes: DataFrame, delay: str, ttl: int = SESSION_TTL) -> DataFrame:
+    """STR-07: session contents as keyed state with a time to live: the latest (seq, val) per
+    (session, key) and period of ``ttl`` seconds, in update mode.
+
+    A period's state goes when the watermark passes its end, so state holds the keys that sessions
+    touched within ``ttl`` and the delay, however long the stream runs.  What was written stays in the
+    sink: ``latest_contents`` folds its periods.
+    """
+    c = changes.withWatermark("event_ts", delay)
+    g = c.groupBy(F.window("event_ts", f"{ttl} seconds").alias("w"), "session_id", "key").agg(F.max(F.struct("seq", "val")).alias("l"))
+    return g.select(F.unix_seconds(F.col("w.start")).alias("period"), "session_id", "key", F.col("l.seq").alias("seq"), F.col("l.val").alias("val"))
+
+
+def latest_contents(written: DataFrame) -> DataFrame:
+    """(session_id, key, seq, val): the contents of all sessions from ``live_state``'s sink."""
+    g = written.groupBy("session_id", "key").agg(F.max(F.struct("seq", "val")).alias("l"))
     return g.select("session_id", "key", F.col("l.seq").alias("seq"), F.col("l.val").alias("val"))
+
+
+def expired_contents(changes: DataFrame, delay: str, ttl: int = SESSION_TTL) -> DataFrame:
+    """STR-07, at the end of a session: (session_id, expired, data), once, when ``ttl`` seconds have
+    passed since its last change and the watermark knows; its state is gone then.  A change after that
+    begins a new session, without the old contents.  ``data`` maps keys to values; deleted keys are not in it.
+
+    Changes are first reduced to the latest per key and second (partial aggregation, before any shuffle), so
+    a session's state grows with its keys and active seconds, not with its changes.
+    """
+    c = changes.withWatermark("event_ts", delay)
+    g = c.groupBy(F.window("event_ts", "1 second").alias("w"), "session_id", "key").agg(F.max(F.struct("seq", "val")).alias("l"))
+    seconds = g.select(F.window_time("w").alias("second"), "session_id", "key", F.col("l.seq").alias("seq"), F.col("l.val").alias("val"))
+    s = seconds.groupBy(F.session_window("second", f"{ttl} seconds").alias("s"), "session_id").agg(
+        F.collect_list(F.struct("key", "seq", "val")).alias("changes"))
+    # Sorted by key and seq, an entry is a key's latest if the next one has another key.
+    order = F.array_sort("changes")
+    last = F.filter(order, lambda x, i: F.coalesce(F.get(order, i + 1)["key"] != x["key"], F.lit(True)) & x["val"].isNotNull())
+    data = F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["val"])))
+    return s.select("session_id", F.unix_seconds(F.col("s.end")).alias("expired"), data.alias("data"))
