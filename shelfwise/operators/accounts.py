@@ -8,6 +8,9 @@ Every clock is a parameter: an ``int`` literal or a per-row ``Column``.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -142,11 +145,12 @@ def fmt_code(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 3), F.lit(" - "), F.substring(c, 4, 3))
 
 
-# First digits of the decimal digit ranges of Unicode's basic plane besides ASCII; each range holds ten
-# (fixed values of the character database).
-DIGIT_STARTS = (0x660, 0x6F0, 0x7C0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xDE6, 0xE50, 0xED0, 0xF20,
-                0x1040, 0x1090, 0x17E0, 0x1810, 0x1946, 0x19D0, 0x1A80, 0x1A90, 0x1B50, 0x1BB0, 0x1C40, 0x1C50, 0xA620, 0xA8D0,
-                0xA900, 0xA9D0, 0xA9F0, 0xAA50, 0xABF0, 0xFF10)
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """All decimal digits of Unicode besides ASCII, and what each stands for."""
+    found = [(chr(c), unicodedata.decimal(chr(c), None)) for c in range(128, sys.maxunicode + 1)]
+    found = [(x, v) for x, v in found if v is not None]
+    return "".join(x for x, _ in found), "".join(str(v) for _, v in found)
 
 
 def parse_rating(c: Column) -> Column:
@@ -155,7 +159,6 @@ def parse_rating(c: Column) -> Column:
     Accepts what ``int()`` does: white space and a sign around digits of any script, with single
     underscores between digits.
     """
-    other = "".join(chr(a + k) for a in DIGIT_STARTS for k in range(10))
-    s = F.translate(py_strip(c), other, "0123456789" * len(DIGIT_STARTS))
+    s = F.translate(py_strip(c), *_digits())
     v = F.when(s.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*$"), F.regexp_replace(s, r"^\+|_", "").try_cast("decimal(38,0)"))
     return F.when(v.between(1, 5), v.cast("int"))

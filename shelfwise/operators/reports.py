@@ -88,14 +88,16 @@ def build_messages(c, prompts: Sequence[tuple[str, int, str, str | None]], task:
 def conversation_messages(conv: DataFrame) -> DataFrame:
     """TXT-05: messages of each conversation in turn order, with 1-based ``pos``.
 
-    Positions come from range-partitioned numbering of (conversation, turn), so one very long
-    conversation is spread over many tasks; the texts are joined to them once.
+    Positions come from numbering whole rows in ranges of (conversation, turn, role, start of the text), so
+    one very long conversation is spread over many tasks, and every row has a place of its own: null
+    turns come first, rows with one turn follow each other by role and text, and repeated rows stay
+    as often as they are.  Rows without a conversation id are one conversation.
     """
     from shelfwise.sources.writers import sequential_ids
 
-    places = sequential_ids(conv.select("conv_id", "turn"), ["turn"], "pos", start=1, group=["conv_id"])
-    return conv.join(places, ["conv_id", "turn"]) \
-        .select("conv_id", F.col("pos").cast("bigint").alias("pos"), "role", F.col("text").alias("content"))
+    rows = conv.select("conv_id", "turn", "role", "text", F.substring("text", 1, 16).alias("_start"))
+    placed = sequential_ids(rows, ["turn", "role", "text"], "pos", start=1, group=["conv_id"], ranges=["turn", "role", "_start"])
+    return placed.select("conv_id", F.col("pos").cast("bigint").alias("pos"), "role", F.col("text").alias("content"))
 
 
 # ---------------------------------------------------------------- tool reports
@@ -235,10 +237,11 @@ def test_results(reports: DataFrame, variant: str = "page", key: str = "file_id"
     failure; a report without one of its keys (a crash report has none) shows ok 0, fail 1.
     ``handle`` -> (success, executed, ok, errors, failures, skipped): ok = total - errors - failures
     - skipped; a report with an ``error`` key, whatever its value, becomes one error message
-    ('<error>: <type>: <message>' or the time-out form) without counts and lists.
+    ('<error>: <type>: <message>' or the time-out form) without counts and lists; members of the payload
+    count when their key is there, and a null reads ``None``.
     """
     r = F.from_json(F.col(col), TEST_REPORT)
-    base = reports.select(key, r.alias("r"), F.coalesce(F.json_object_keys(col), F.array().cast("array<string>")).alias("keys"))
+    base = reports.select(key, col, r.alias("r"), F.coalesce(F.json_object_keys(col), F.array().cast("array<string>")).alias("keys"))
 
     def has(name: str) -> Column:
         return F.array_contains("keys", name)
@@ -259,10 +262,14 @@ def test_results(reports: DataFrame, variant: str = "page", key: str = "file_id"
     is_err = has("error")
     err = F.coalesce(F.col("r.error"), F.lit("None"))          # as a missing value reads in a message
     timed_out = F.coalesce(F.contains(F.col("r.errorMessage"), F.lit(TIMED_OUT)), F.lit(False))
-    err_msg = (F.when(timed_out, F.concat(err, F.lit(TIMED_OUT_TEXT)))
-               .when(F.col("r.payload.errorType").isNotNull(),
-                     F.concat_ws(": ", err, F.col("r.payload.errorType"), F.col("r.payload.errorMessage")))
-               .otherwise(F.concat_ws(": ", err, F.col("r.payload.errorMessage"))))
+    inner = F.json_object_keys(F.get_json_object(col, "$.payload"))
+
+    def said(name: str) -> Column:
+        """A member of the payload as it reads in a message; null (left out) where there is none."""
+        return F.when(F.array_contains(inner, name), F.coalesce(F.col(f"r.payload.{name}"), F.lit("None")))
+
+    base = base.select("*", said("errorType").alias("error_type"), said("errorMessage").alias("error_message"))
+    err_msg = F.when(timed_out, F.concat(err, F.lit(TIMED_OUT_TEXT))).otherwise(F.concat_ws(": ", err, "error_type", "error_message"))
     ok = F.col("r.total") - F.size(er) - F.size(fl) - F.size(sk)
 
     def unless_error(value: Column) -> Column:

@@ -45,7 +45,7 @@ def prj09_role(spark, d):
     return view(spark, d, "users").select("user_id", A.role("admin").alias("role"))
 
 
-_ATTEMPTS_SQL = "SELECT event_id AS attempt_id, (event_id * 7) % 1600 AS user_id, event_time, success AS credentials_ok " \
+_ATTEMPTS_SQL = "SELECT event_id AS attempt_id, CASE WHEN event_id % 10 = 3 THEN -1 - user_id ELSE user_id END AS user_id, event_time, success AS credentials_ok " \
                 "FROM auth_events WHERE event_type = 'login'"
 
 
@@ -60,11 +60,11 @@ SELECT attempt_id, user_id, event_time, credentials_ok, reason, reason = 'ok' AS
        CASE WHEN uid IS NOT NULL THEN user_id END AS log_user_id
 FROM r""", "auth_events", "users"))
 def prj08_login_outcome(spark, d):
-    # Attempts: login events, each naming an account (some names are unknown);
+    # Attempts: login events, each naming the event's account (a tenth name one that does not exist);
     # the password check's outcome is an input (the event's success flag).
     ev = view(spark, d, "auth_events").filter(F.col("event_type") == "login")
     attempts = ev.select(F.col("event_id").alias("attempt_id"),
-                         ((F.col("event_id") * 7) % 1600).alias("user_id"), "event_time",
+                         F.when(F.col("event_id") % 10 == 3, -1 - F.col("user_id")).otherwise(F.col("user_id")).alias("user_id"), "event_time",
                          F.col("success").alias("credentials_ok"))
     return A.login_outcome(attempts, view(spark, d, "users"), F.col("event_time"))
 
@@ -163,10 +163,10 @@ SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 W
   WHEN 7 THEN CASE WHEN l_partkey % 10 BETWEEN 1 AND 5 THEN CAST(l_partkey % 10 AS INTEGER) END END AS rating
 FROM lineitem""")
 def prj18_parse_rating(spark, d):
-    # Submitted texts by line number: ' 1 ', '+2', an Arabic three, '4.0', '0_5', '6', the part's last digit.
+    # Submitted texts by line number: ' 1 ', '+2', an Arabic or a mathematical three, '4.0', '0_5', '6', the part's last digit.
     li = load(spark, d, "lineitem")
     n = F.col("l_linenumber")
-    text = (F.when(n == 1, " 1 ").when(n == 2, "+2").when(n == 3, "\u0663").when(n == 4, "4.0")
+    text = (F.when(n == 1, " 1 ").when(n == 2, "+2").when(n == 3, F.when(F.col("l_partkey") % 2 == 0, "\u0663").otherwise("\U0001D7D1")).when(n == 4, "4.0")
             .when(n == 5, "0_5").when(n == 6, "6").otherwise((F.col("l_partkey") % 10).cast("string")))
     return li.select("l_orderkey", "l_linenumber", A.parse_rating(text).alias("rating"))
 

@@ -11,6 +11,7 @@ from shelfwise.plans.oracle_views import AS_OF, with_views
 from shelfwise.plans.registry import register
 from shelfwise.session import scratch_path
 from shelfwise.sources import writers as W
+from shelfwise.sources.keyed_table import KeyedTable
 from shelfwise.sources.tables import load, view
 
 # ---------------------------------------------------------------- VAL / JON-06
@@ -174,7 +175,7 @@ def _validated_dated(spark, d):
     return ok
 
 
-@register("dml01_upsert", with_views(f"""
+_DML01_SQL = with_views(f"""
 WITH dl AS (SELECT l_orderkey*8 + l_linenumber AS seq, o_custkey AS user_id, l_partkey AS function_id,
                    l_linenumber AS value, o_orderdate < TIMESTAMP '{_SPLIT}' AS early
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -187,7 +188,10 @@ u AS (SELECT user_id, function_id, value, 0 AS src, CAST(NULL AS BIGINT) AS seq
       UNION ALL SELECT user_id, function_id, value, 1, seq FROM ok WHERE NOT early)
 SELECT user_id, function_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, function_id ORDER BY src DESC, seq DESC NULLS LAST, value DESC) AS rn
-  FROM u) WHERE rn = 1""", "functions"))
+  FROM u) WHERE rn = 1""", "functions")
+
+
+@register("dml01_upsert", _DML01_SQL)
 def dml01_upsert(spark, d):
     # Current table: ratings from orders before 1996; changes: the submissions after it.
     ok = _validated_dated(spark, d)
@@ -196,7 +200,20 @@ def dml01_upsert(spark, d):
     return CH.upsert(current, changes, ["user_id", "function_id"], "seq", ["value"], unique_order=True)
 
 
-@register("dml02_apply_actions", with_views("""
+TABLE_BUCKETS = 16
+
+
+@register("dml01_ratings_table", _DML01_SQL)
+def dml01_ratings_table(spark, d):
+    # The same, in a table on disk: only buckets that a submission hits are written again.
+    ok = _validated_dated(spark, d)
+    current = CH.latest_value(ok.filter("early"), ["user_id", "function_id"], "seq", ["value"], unique_order=True)
+    ratings = KeyedTable.create(current, scratch_path(spark, "ratings"), ["user_id", "function_id"], TABLE_BUCKETS)
+    ratings.upsert(ok.filter(~F.col("early")).select("user_id", "function_id", "seq", "value"), "seq", unique_order=True)
+    return ratings.read()
+
+
+_DML02_SQL = with_views("""
 WITH a AS (SELECT seq, action_time, user_id, action,
                   CASE WHEN action IN ('promote', 'demote') THEN 'admin' WHEN action IN ('disable', 'enable') THEN 'disabled'
                        WHEN action = 'verify' THEN 'verified' WHEN action IN ('lock', 'unlock') THEN 'locked' END AS flag
@@ -213,11 +230,25 @@ FROM users u
 LEFT JOIN l la ON la.user_id = u.user_id AND la.flag = 'admin'
 LEFT JOIN l lv ON lv.user_id = u.user_id AND lv.flag = 'verified'
 LEFT JOIN l ld ON ld.user_id = u.user_id AND ld.flag = 'disabled'
-LEFT JOIN l ll ON ll.user_id = u.user_id AND ll.flag = 'locked'""", "users", "actions"))
+LEFT JOIN l ll ON ll.user_id = u.user_id AND ll.flag = 'locked'""", "users", "actions")
+
+
+@register("dml02_apply_actions", _DML02_SQL)
 def dml02_apply_actions(spark, d):
     return CH.apply_actions(view(spark, d, "users"), view(spark, d, "actions"))
 
 
+@register("dml02_users_table", _DML02_SQL)
+def dml02_users_table(spark, d):
+    # The table on disk takes the log in two parts and is read back.
+    users = KeyedTable.create(view(spark, d, "users"), scratch_path(spark, "users"), ["user_id"], TABLE_BUCKETS)
+    log = view(spark, d, "actions")
+    half = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    users.apply_actions(log.where(F.col("seq") <= half))
+    users.apply_actions(log.where(F.col("seq") > half))
+    return users.read()
+
+
 def _cascade(spark, d):
     names = ["users", "functions", "sessions", "account_events", "auth_events", "ratings"]
     tables = {n: view(spark, d, n) for n in names}

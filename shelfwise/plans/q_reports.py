@@ -118,10 +118,18 @@ def txt05_build_messages(spark, d):
 
 
 @register("txt05_conversation_messages", """
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, text AS content
-FROM conversations""")
+WITH c AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 AND turn = 2 THEN NULL ELSE turn END AS turn, role, text FROM conversations
+           UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE (conv_id + turn) % 7 = 0
+           UNION ALL SELECT conv_id, turn, role, substr(text, 1, 20) FROM conversations WHERE (conv_id + turn) % 13 = 0)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, role, text AS content
+FROM c""")
 def txt05_conversation_messages(spark, d):
-    return RP.conversation_messages(load(spark, d, "conversations"))
+    # Some turns without a number, some sent twice, some sent again in other words.
+    c = load(spark, d, "conversations")
+    lost = (F.col("conv_id") % 11 == 0) & (F.col("turn") == 2)
+    again, other = (c.where((F.col("conv_id") + F.col("turn")) % n == 0) for n in (7, 13))
+    return RP.conversation_messages(c.withColumn("turn", F.when(~F.coalesce(lost, F.lit(False)), F.col("turn"))).unionByName(again).unionByName(
+        other.withColumn("text", F.substring("text", 1, 20))))
 
 
 # ---------------------------------------------------------------- tool reports
@@ -142,13 +150,13 @@ def _items(n: Column, make) -> Column:
 
 
 def _files(spark, d) -> DataFrame:
-    """Documents as checked files, with their words."""
-    words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
-    return load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), words.alias("words"))
+    """Documents as checked files, with all their lines (a null text is one empty line)."""
+    text = F.coalesce("text", F.lit(""))
+    return load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), text.alias("text"), F.split(text, "\n").alias("lines"))
 
 
-def _word(i: Column) -> Column:
-    return F.coalesce(F.get("words", i.cast("int")), F.lit(""))
+def _line(i: Column) -> Column:
+    return F.get("lines", i.cast("int"))
 
 
 def lint_reports(spark, d) -> DataFrame:
@@ -160,22 +168,22 @@ def lint_reports(spark, d) -> DataFrame:
         F.when(i % 2 == 0, i + 2).cast("long").alias("endLine"),
         F.when(i % 2 == 0, fid % 5 + 3).alias("endColumn"), F.lit("file.py").alias("path"),
         F.concat(F.lit("rule-"), _s((fid + i) % 7)).alias("symbol"),
-        F.concat(F.lit("finding "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("message"),
+        F.concat(F.lit("finding "), _s(fid), F.lit("."), _s(i), F.lit(" "), _line(i)).alias("message"),
         F.concat(F.lit("X"), F.lpad(_s((fid + i) % 100), 4, "0")).alias("message-id"))
-    return docs.select("file_id", _items(fid % 4, make).alias("report"))
+    return docs.select("file_id", _items(F.when(fid % 4 == 0, 0).otherwise(F.size("lines")), make).alias("report"))
 
 
 def security_reports(spark, d) -> DataFrame:
     docs = _files(spark, d)
     fid = F.col("file_id")
     make = lambda i: F.struct(
-        F.concat(F.lit("issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("description"),
+        F.concat(F.lit("issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _line(i)).alias("description"),
         F.lit("check").alias("test"), F.concat(F.lit("B"), _s(100 + (fid + i) % 20)).alias("test_id"),
         ((fid + i) % 50).alias("cwe_id"), _pick(_SEC_SEV, fid + i).alias("severity"),
         _pick(_SEC_CONF, fid * (i + 1)).alias("confidence"), F.lit("o").alias("object"),
         F.array((i + 3).cast("long"), (i + 1).cast("long"), (i + 2).cast("long")).alias("line_range"),
         i.cast("long").alias("col"), (i + 4).cast("long").alias("col_end"))
-    return docs.select("file_id", _items(fid % 3, make).alias("report"))
+    return docs.select("file_id", _items(F.when(fid % 3 == 0, 0).otherwise(F.size("lines")), make).alias("report"))
 
 
 def type_reports(spark, d) -> DataFrame:
@@ -184,9 +192,9 @@ def type_reports(spark, d) -> DataFrame:
     pos = lambda ln, ch: F.struct(ln.cast("long").alias("line"), ch.cast("long").alias("character"))
     make = lambda i: F.struct(
         _pick(_TYPE_SEV, fid + i).alias("severity"),
-        F.concat(F.lit("type issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _word(i)).alias("message"),
+        F.concat(F.lit("type issue "), _s(fid), F.lit("."), _s(i), F.lit(" "), _line(i)).alias("message"),
         F.struct(pos(i * 2, i).alias("start"), pos(i * 2 + 1, i + 5).alias("end")).alias("range"))
-    diags = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), fid % 3), make).alias("generalDiagnostics")))
+    diags = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), make).alias("generalDiagnostics")))
     return docs.select("file_id", F.when(fid % 5 == 0, 0).otherwise(1).alias("exit_status"), diags.alias("report"))
 
 
@@ -194,23 +202,24 @@ def _arr(values: list[str]) -> str:
     return "[" + ", ".join(_q(v) for v in values) + "]"
 
 
-_WORD_SQL = "' ', coalesce(string_split(replace(text, chr(10), ' '), ' ')[i + 1], '')"
+_WORD_SQL = "' ', line_text"
+_LINES_SQL = "(SELECT doc_id, unnest(ls) AS line_text, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"
 _LINT_ROWS = f"""lint AS (SELECT doc_id AS file_id, i AS idx, {_arr(_LINT_TYPES)}[(doc_id + i) % 6 + 1] AS type,
        concat('rule-', cast((doc_id + i) % 7 AS varchar)) AS symbol,
        concat('finding ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS message,
        concat('X', lpad(cast((doc_id + i) % 100 AS varchar), 4, '0')) AS message_id, '' AS obj,
        i + 1 AS line, doc_id % 5 AS "column",
        CASE WHEN i % 2 = 0 THEN i + 2 END AS endLine, CASE WHEN i % 2 = 0 THEN doc_id % 5 + 3 END AS endColumn
-FROM (SELECT doc_id, text, unnest(range(doc_id % 4)) AS i FROM documents))"""
+FROM {_LINES_SQL} WHERE doc_id % 4 <> 0)"""
 _SEC_ROWS = f"""sec AS (SELECT doc_id AS file_id, i AS idx, concat('issue ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS description,
        'check' AS test, concat('B', cast(100 + (doc_id + i) % 20 AS varchar)) AS test_id, (doc_id + i) % 50 AS cwe_id,
        {_arr(_SEC_SEV)}[(doc_id + i) % 4 + 1] AS severity, {_arr(_SEC_CONF)}[(doc_id * (i + 1)) % 3 + 1] AS confidence,
        'o' AS object, i + 1 AS line, i + 3 AS line_end, i AS col, i + 4 AS col_end
-FROM (SELECT doc_id, text, unnest(range(doc_id % 3)) AS i FROM documents))"""
+FROM {_LINES_SQL} WHERE doc_id % 3 <> 0)"""
 _TYPE_ROWS = f"""typ AS (SELECT doc_id AS file_id, i AS idx, {_arr(_TYPE_SEV)}[(doc_id + i) % 3 + 1] AS severity,
        concat('type issue ', cast(doc_id AS varchar), '.', cast(i AS varchar), {_WORD_SQL}) AS message,
        i * 2 + 1 AS line, i * 2 + 2 AS endLine, i AS col, i + 5 AS endCol
-FROM (SELECT doc_id, text, unnest(range(doc_id % 3 + 1)) AS i FROM documents WHERE doc_id % 5 <> 0))"""
+FROM {_LINES_SQL} WHERE doc_id % 5 <> 0)"""
 
 
 @register("txt08_lint_findings", f"""WITH {_LINT_ROWS}
@@ -294,13 +303,16 @@ def txt13_finding_counts(spark, d):
 
 def test_reports(spark, d) -> DataFrame:
     """Reports of nine kinds by file: three results, a result without two of its lists, and five
-    forms of a failed call (no payload, typed, timed out, without a value, untyped)."""
+    forms of a failed call (no payload, typed, timed out, without a value, untyped), with a message for
+    every line of the document, or its whole text."""
     docs = _files(spark, d)
     fid = F.col("file_id")
     total = fid % 7 + 3
     none = F.array().cast("array<string>")
-    said = lambda kind: F.array(F.concat(F.lit(f"{kind} "), _s(fid), F.lit(" "), _word(F.lit(0))))
-    call = lambda error, **more: F.to_json(F.struct(F.lit(error).alias("error"), *[v.alias(k) for k, v in more.items()]))
+    said = lambda kind: F.transform("lines", lambda x: F.concat(F.lit(f"{kind} "), _s(fid), F.lit(" "), x))
+    call = lambda error, **more: F.to_json(
+        F.struct(F.lit(error).alias("error"), *[v.alias(k) for k, v in more.items()]), {"ignoreNullFields": "false"})
+    odd = F.floor(fid / 9) % 2 == 1        # of a kind, every second has a null in its payload
     late = F.lit("Task timed out after 3.00 seconds")
 
     def result(failures, errors, skipped, successful):
@@ -311,23 +323,25 @@ def test_reports(spark, d) -> DataFrame:
     rep = (F.when(k == 0, result(none, none, none, True)).when(k == 1, result(said("f"), said("e"), F.array(F.lit("s")), False))
            .when(k == 2, result(none, none, none, False))
            .when(k == 3, call("Unhandled", payload=F.struct(F.lit(None).cast("string").alias("x"))))
-           .when(k == 4, call("Unhandled", payload=F.struct(F.lit("MemoryError").alias("errorType"), _word(F.lit(1)).alias("errorMessage"))))
+           .when(k == 4, call("Unhandled", payload=F.struct(
+               F.when(~odd, F.lit("MemoryError")).alias("errorType"), F.col("text").alias("errorMessage"))))
            .when(k == 5, call("Unhandled", errorMessage=late, payload=F.struct(late.alias("errorMessage"))))
-           .when(k == 6, F.concat(F.lit('{"error": null, "payload": '), F.to_json(F.struct(_word(F.lit(1)).alias("errorMessage"))), F.lit("}")))
-           .when(k == 7, call("Unhandled", payload=F.struct(_word(F.lit(1)).alias("errorMessage"))))
+           .when(k == 6, F.concat(F.lit('{"error": null, "payload": '), F.to_json(F.struct(F.col("text").alias("errorMessage"))), F.lit("}")))
+           .when(k == 7, call("Unhandled", payload=F.struct(F.when(~odd, F.col("text")).alias("errorMessage"))))
            .otherwise(F.to_json(F.struct(total.alias("total"), said("f").alias("failures"), F.lit(False).alias("successful")))))
     return docs.select("file_id", rep.alias("report"))
 
 
-_FIRST = "coalesce(string_split(replace(text, chr(10), ' '), ' ')[{n}], '')"
-_SAID = "concat('{kind} ', cast(doc_id AS varchar), ' ', " + _FIRST.format(n=1) + ")"
+_TEXT, _ODD = "coalesce(text, '')", "(doc_id // 9) % 2 = 1"
+_N_LINES = f"len(string_split({_TEXT}, chr(10)))"
+_SAID = "array_to_string(list_transform(string_split(" + _TEXT + ", chr(10)), lambda x: concat('{kind} ', cast(doc_id AS varchar), ' ', x)), chr(10))"
 
 
 @register("txt14_test_results_page", f"""
 SELECT doc_id AS file_id, doc_id % 9 = 0 AS success,
-       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 4 WHEN 2 THEN doc_id % 7 + 3 - 1
+       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 3 * {_N_LINES} - 1 WHEN 2 THEN doc_id % 7 + 3 - 1
                        ELSE 0 END AS ok,
-       CAST(CASE doc_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 1 END AS BIGINT) AS fail,
+       CAST(CASE doc_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 3 * {_N_LINES} + 1 ELSE 1 END AS BIGINT) AS fail,
        CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN concat({_SAID.format(kind='f')}, chr(10), {_SAID.format(kind='e')})
                        ELSE 'Failed to run unit tests' END AS messages
 FROM documents""")
@@ -338,11 +352,12 @@ def txt14_test_results_page(spark, d):
 @register("txt14_test_results_handle", f"""
 SELECT doc_id AS file_id, doc_id % 9 = 0 AS success,
        CASE WHEN doc_id % 9 IN (0, 1, 2, 8) THEN doc_id % 7 + 3 ELSE 0 END AS executed,
-       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 3 WHEN 2 THEN doc_id % 7 + 3 WHEN 8 THEN doc_id % 7 + 2 END AS ok,
+       CASE doc_id % 9 WHEN 0 THEN doc_id % 7 + 3 WHEN 1 THEN doc_id % 7 + 3 - 2 * {_N_LINES} - 1 WHEN 2 THEN doc_id % 7 + 3
+                       WHEN 8 THEN doc_id % 7 + 3 - {_N_LINES} END AS ok,
        CASE doc_id % 9 WHEN 1 THEN {_SAID.format(kind='e')} WHEN 3 THEN 'Unhandled'
-                       WHEN 4 THEN concat('Unhandled: MemoryError: ', {_FIRST.format(n=2)})
-                       WHEN 5 THEN 'Unhandled: Execution took too long, task timed out.' WHEN 6 THEN concat('None: ', {_FIRST.format(n=2)})
-                       WHEN 7 THEN concat('Unhandled: ', {_FIRST.format(n=2)}) ELSE '' END AS errors,
+                       WHEN 4 THEN concat('Unhandled: ', CASE WHEN {_ODD} THEN 'None' ELSE 'MemoryError' END, ': ', {_TEXT})
+                       WHEN 5 THEN 'Unhandled: Execution took too long, task timed out.' WHEN 6 THEN concat('None: ', {_TEXT})
+                       WHEN 7 THEN concat('Unhandled: ', CASE WHEN {_ODD} THEN 'None' ELSE {_TEXT} END) ELSE '' END AS errors,
        CASE WHEN doc_id % 9 IN (1, 8) THEN {_SAID.format(kind='f')} WHEN doc_id % 9 IN (0, 2) THEN '' END AS failures,
        CASE WHEN doc_id % 9 = 1 THEN 's' WHEN doc_id % 9 IN (0, 2, 8) THEN '' END AS skipped
 FROM documents""")

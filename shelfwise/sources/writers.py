@@ -21,8 +21,11 @@ from shelfwise.session import checkpoint_table
 
 
 def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int = 1,
-                   partitions: int | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """Add ``id_col`` = start, start + 1, ... in ``order`` (unique within a group).
+                   partitions: int | None = None, group: Sequence[str] = (), ranges: Sequence[str] | None = None) -> DataFrame:
+    """Add ``id_col`` = start, start + 1, ... in ``order``; rows equal in it are numbered one after the other.
+
+    ``ranges``: columns whose order agrees with ``order`` and that cut the ranges instead (short ones, as
+    the bounds pass through the driver).
 
     With ``group`` the numbering restarts in every group.  A group may span
     several range partitions (a hot group is spread over many tasks); its
@@ -31,7 +34,7 @@ def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int
     spark = df.sparkSession
     group = list(group)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpoint_table(df.repartitionByRange(n, *group, *order).withColumn("_rp", F.spark_partition_id()))
+    ranged = checkpoint_table(df.repartitionByRange(n, *group, *(ranges or order)).withColumn("_rp", F.spark_partition_id()))
     counts = ranged.groupBy("_rp", *group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = before.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,9 +43,12 @@ def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int
     if not group:
         offsets = F.broadcast(offsets)   # exactly one row per range partition
     w = Window.partitionBy("_rp", *group).orderBy(*order)
-    return ranged.join(offsets, ["_rp", *group]) \
+    # Null-safe: rows without a group are a group.
+    offsets = offsets.select(*[F.col(c).alias(f"_of_{c}") for c in ("_rp", *group)], "_off")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("_rp", *group)]
+    return ranged.join(offsets, same) \
         .withColumn(id_col, F.lit(start) + F.col("_off") + F.row_number().over(w) - 1) \
-        .drop("_rp", "_off")
+        .select(*df.columns, id_col)
 
 
 def insert_with_defaults(existing: DataFrame, new_rows: DataFrame, id_col: str, order: Sequence[str],

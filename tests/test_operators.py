@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfwise.functions import pyhelpers as PH
+from shelfwise.operators import accounts as A
 from shelfwise.operators import catalog as C
 from shelfwise.operators import changes as CH
 from shelfwise.operators import rates as R
@@ -216,3 +217,37 @@ def test_grouped_sequential_ids_split_hot_group(spark):
     for g, pairs in by.items():
         pairs.sort()
         assert [p for _, p in pairs] == list(range(1, len(pairs) + 1)), g
+
+
+def test_every_turn_of_a_conversation_has_a_place(spark):
+    """Null turns, turns sent twice and turns without a conversation keep their rows."""
+    rows = [(1, None, "u", "a"), (1, None, None, None), (1, 0, "u", "x"), (1, 0, "u", "x"), (1, 0, "u", "w"), (1, 3, "u", "last"), (2, 5, "u", None),
+            (None, 1, "u", "lost"), (None, None, "u", "lost too")] + [(3, t % 40, "u", f"{t:040d}") for t in range(400)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = {}
+    for r in RP.conversation_messages(df).collect():
+        got.setdefault(r["conv_id"], []).append((r["pos"], r["role"], r["content"]))
+    nulls_first = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    for conv in (1, 2, 3, None):
+        want = sorted((r[1:] for r in rows if r[0] == conv), key=nulls_first)
+        assert sorted(got[conv]) == [(i + 1, role, text) for i, (_, role, text) in enumerate(want)]
+
+
+def test_payload_members_count_by_their_key(spark):
+    reports = ['{"error": "U", "payload": {"errorType": null, "errorMessage": "m"}}', '{"error": "U", "payload": {"errorType": "T", "errorMessage": null}}',
+               '{"error": "U", "payload": {"errorMessage": null}}', '{"error": "U", "payload": {}}', '{"error": "U"}']
+    df = spark.createDataFrame(list(enumerate(reports)), "file_id bigint, report string")
+    got = {r.file_id: r.errors for r in RP.test_results(df, "handle").collect()}
+    assert got == {0: ["U: None: m"], 1: ["U: T: None"], 2: ["U: None"], 3: ["U"], 4: ["U"]}
+
+
+def test_digits_of_every_script(spark):
+    import unicodedata
+    texts = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd"] + ["\U0001D7D1\U0001D7CE", "²", "½", "\U0001F103"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", A.parse_rating(F.col("t")).alias("v")).collect():
+        try:
+            n = int(r["t"])
+        except ValueError:
+            n = None
+        assert r["v"] == (n if n is not None and 1 <= n <= 5 else None), r["t"]
