@@ -2,8 +2,8 @@
 
 Spark enforces no UNIQUE, NOT NULL, CHECK or FOREIGN KEY, so each becomes an
 operator.  Row rules are evaluated in one pass (one ``count_if`` per rule in a
-single aggregate, partial-aggregated per task); uniqueness is a keyed count;
-foreign keys are ``left_anti`` joins.
+single aggregate, partial-aggregated per task); uniqueness is a count of
+fingerprints, and of values only where fingerprints repeat; foreign keys are ``left_anti`` joins.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import checkpoint_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,6 +43,20 @@ def _violation(rule: Rule) -> Column:
     raise ValueError(f"row rule expected, got {rule.kind}")
 
 
+def _fingerprints(df: DataFrame, column: str) -> DataFrame:
+    """(_fingerprint, k): rows per 64-bit hash of the column's values, nulls left out, written.  The first phase of
+    a UNIQUE rule: eight bytes a value are shuffled, whatever the values are."""
+    seen = df.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("_fingerprint"))
+    return checkpoint_table(seen.groupBy("_fingerprint").agg(F.count(F.lit(1)).alias("k")), "fingerprints")
+
+
+def _may_repeat(df: DataFrame, column: str, prints: DataFrame) -> DataFrame:
+    """The rows whose fingerprint occurs more than once: all repeated values are among them.  Second
+    phase: only their values are compared, so two values of one hash do no harm."""
+    often = checkpoint_table(prints.filter("k > 1").select("_fingerprint"), "repeated")
+    return df.filter(F.col(column).isNotNull()).withColumn("_fingerprint", F.xxhash64(column)).join(often, "_fingerprint", "left_semi").drop("_fingerprint")
+
+
 def check_constraints(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """VAL-01 report: one row per rule (rule, checked, violations)."""
     row_rules = [r for r in rules if r.kind != "unique"]
@@ -58,11 +74,12 @@ def check_constraints(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         if r.kind != "unique":
             continue
         # Non-null duplicates: every row of a key that occurs more than once violates.
-        counts = df.filter(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count(F.lit(1)).alias("k"))
-        parts.append(counts.agg(F.lit(r.name).alias("rule"),
-                                F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("checked"),
-                                F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0))
-                                .cast("bigint").alias("violations")))
+        prints = _fingerprints(df, r.column)
+        counts = _may_repeat(df, r.column, prints).groupBy(r.column).agg(F.count(F.lit(1)).alias("k"))
+        none = F.lit(0).cast("bigint")
+        both = prints.agg(F.sum("k").alias("checked")).withColumn("violations", none).unionByName(
+            counts.agg(F.sum(F.when(F.col("k") > 1, F.col("k"))).alias("violations")).withColumn("checked", none))
+        parts.append(both.agg(F.lit(r.name).alias("rule"), *[F.coalesce(F.sum(c), none).cast("bigint").alias(c) for c in ("checked", "violations")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -79,9 +96,9 @@ def violating_rows(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
         parts.append(df.select(F.explode(broken).alias("rule"), F.col(key).alias("key")))
     for r in rules:
         if r.kind == "unique":
-            dup = df.filter(F.col(r.column).isNotNull()).groupBy(r.column) \
-                .agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(r.column)
-            parts.append(df.join(dup, r.column, "left_semi").select(F.lit(r.name).alias("rule"), F.col(key).alias("key")))
+            few = _may_repeat(df.select(r.column, F.col(key).alias("key")), r.column, _fingerprints(df, r.column))
+            dup = few.groupBy(r.column).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(r.column)
+            parts.append(few.join(dup, r.column, "left_semi").select(F.lit(r.name).alias("rule"), "key"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -251,3 +251,25 @@ def test_digits_of_every_script(spark):
         except ValueError:
             n = None
         assert r["v"] == (n if n is not None and 1 <= n <= 5 else None), r["t"]
+
+
+def test_unique_compares_values_only_where_fingerprints_repeat(spark, monkeypatch):
+    """Also when different values share a fingerprint, and without a value in the first shuffle."""
+    from shelfwise.operators import constraints as V
+    rows = [(i, v) for i, v in enumerate(["a", "b", "a", None, None, "c", "d", "a", "e", "d"])]
+    df = spark.createDataFrame(rows, "_fingerprint bigint, v string")
+    rules = [V.Rule("v unique", "unique", "v")]
+
+    def results():
+        report = [tuple(r) for r in V.check_constraints(df, rules).collect()]
+        return report, sorted(r["key"] for r in V.violating_rows(df, rules, "_fingerprint").collect())
+    want = ([("v unique", 8, 5)], [0, 2, 6, 7, 9])
+    assert results() == want
+    monkeypatch.setattr(V.F, "xxhash64", lambda *c: F.lit(1).cast("long"))           # all values share one
+    assert results() == want
+    monkeypatch.undo()
+    shuffles = []
+    monkeypatch.setattr(V, "checkpoint_table", lambda x, name: shuffles.append(x) or x)
+    V.check_constraints(df, rules)
+    first = shuffles[0]._jdf.queryExecution().executedPlan().toString()
+    assert "v#" not in first[first.index("Exchange"):].split("\n")[0]
