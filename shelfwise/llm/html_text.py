@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,18 @@ class Page:
         run: list[str] = []
         link_chars = 0
         links = hidden = foreign = 0
+        opened: Counter = Counter()        # open elements by name, so that no search is for nothing
+        turns: list[int] = []              # places of the open drawings, formulas and points of return to html
+        heads: list[int] = []              # and of the open heads, templates and noscripts
+        ends = -1                          # where the next end of a noscript was found to be
+
+        def push(e: tuple[str, int, bool, bool, bool, bool]) -> None:
+            opened[e[0]] += 1
+            if e[5] or e[0] in POINTS:
+                turns.append(len(stack))
+            if e[0] in ("head", "template", "noscript"):
+                heads.append(len(stack))
+            stack.append(e)
 
         def flush() -> None:
             nonlocal link_chars
@@ -119,6 +132,8 @@ class Page:
 
         def close(name: str) -> None:
             nonlocal links, hidden, foreign
+            if not opened[name]:
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     break
@@ -130,6 +145,10 @@ class Page:
                 hidden -= e[3]
                 links -= e[4]
                 foreign -= e[5]
+                opened[e[0]] -= 1
+            for places in (turns, heads):
+                while places and places[-1] >= k:
+                    places.pop()
             del stack[k:]
 
         at = 0
@@ -154,12 +173,15 @@ class Page:
                 continue
             attrs = m[3] if m[2] else m[6]
             if hidden and name not in IN_HEAD:
-                above = next((t for t, *_ in reversed(stack) if t in ("head", "template", "noscript")), "")
-                if above == "head" or (above == "noscript" and not NOSCRIPT_END.search(source, at)):
+                above = stack[heads[-1]][0] if heads else ""
+                if above == "noscript" and ends < at:
+                    found = NOSCRIPT_END.search(source, at)
+                    ends = found.start() if found else len(source) + 1
+                if above == "head" or (above == "noscript" and ends > len(source)):
                     close("head")          # that was left open
             inner = ""
             while foreign:                 # the innermost drawing or formula, or the html inside of it
-                inner = next(e[0] for e in reversed(stack) if e[5] or e[0] in POINTS)
+                inner = stack[turns[-1]][0]
                 if inner not in FOREIGN or name not in BREAKS:
                     break
                 close(inner)
@@ -168,7 +190,7 @@ class Page:
                 if name == "svg":
                     run.append(" ")
                 if not attrs.rstrip().endswith("/") or VALUE_SLASH_RX.search(attrs):
-                    stack.append((name, stack[-1][1], True, name in UNSEEN, False, name in FOREIGN))
+                    push((name, stack[-1][1], True, name in UNSEEN, False, name in FOREIGN))
                     hidden += name in UNSEEN
                     foreign += name in FOREIGN
                 continue
@@ -178,12 +200,12 @@ class Page:
                 if name not in ("title",):
                     flush()
                 continue
-            if name in CLOSES_P and not foreign and any(e[0] == "p" for e in stack):
+            if name in CLOSES_P and not foreign and opened["p"]:
                 close("p")
             elif name in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 same = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
                 edge = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(name, ("table",))
-                for t, *_ in reversed(stack):
+                for t, *_ in reversed(stack) if any(opened[t] for t in same) else ():
                     if t in edge:
                         break
                     if t in same:
@@ -205,7 +227,7 @@ class Page:
                 node = self._node(node, GROUPS.get(name, 4), sum(t in AGAINST for t in tokens), sum(t in FOR for t in tokens))
                 self.tags[node] = 1
             if not attrs.endswith("/") or name in INLINE:
-                stack.append((name, node, name in INLINE, name in NEVER, name == "a", False))
+                push((name, node, name in INLINE, name in NEVER, name == "a", False))
                 links += name == "a"
                 hidden += name in NEVER
         flush()

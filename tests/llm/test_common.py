@@ -81,3 +81,15 @@ def test_columns_named_like_the_operators_own(spark):
         for r in rows:
             assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
     assert "a.b@" not in pii.redacted(docs).first()["text"]
+
+
+def test_deep_pages_parse_in_linear_time():
+    import time
+
+    from shelfwise.llm.html_text import Page
+    n = 20_000
+    for page in ("<div>" * n + "x", "<p>" + "<div>" * n + "</p>" * n, "<svg>" + "<g>" * n, "<ul>" + "<li><div>" * n, "<b>" * n + "</i>" * n,
+                 "<noscript>" + "<p>x</p>" * n, "<head><noscript>" + "<p>x</p>" * n + "</noscript>"):
+        start = time.process_time()
+        Page(page).features()
+        assert time.process_time() - start < 3, page[:12]
