@@ -88,7 +88,7 @@ def check_constraints(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def violating_rows(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     """VAL-01 second form: (rule, key) of every offending row.  All row rules share one scan that reads
-    only their columns; each unique rule takes a pass of its own."""
+    only their columns; each unique rule takes two passes of its own, the second for the rows that may repeat."""
     row_rules = [r for r in rules if r.kind != "unique"]
     parts = []
     if row_rules:
@@ -96,7 +96,7 @@ def violating_rows(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
         parts.append(df.select(F.explode(broken).alias("rule"), F.col(key).alias("key")))
     for r in rules:
         if r.kind == "unique":
-            few = _may_repeat(df.select(r.column, F.col(key).alias("key")), r.column, _fingerprints(df, r.column))
+            few = checkpoint_table(_may_repeat(df.select(r.column, F.col(key).alias("key")), r.column, _fingerprints(df, r.column)), "may-repeat")
             dup = few.groupBy(r.column).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(r.column)
             parts.append(few.join(dup, r.column, "left_semi").select(F.lit(r.name).alias("rule"), "key"))
     out = parts[0]
