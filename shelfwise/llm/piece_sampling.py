@@ -110,7 +110,7 @@ class Lattice:
     vocabulary lacks), the chance to take it, and the running sum of the chances."""
 
     def __init__(self, pieces: Pieces, units: list[str]):
-        chars = np.frombuffer("".join(u + "\0" for u in units).encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le"), np.uint32)
         size = np.array([len(u) for u in units], np.int64)
         self.end = np.cumsum(size + 1) - 1     # a place of its own, with no edges
         self.base = self.end - size
@@ -234,7 +234,11 @@ def units_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = np.append(starts[1:], len(raw))[:len(starts)]
     _, one, number = np.unique(byte_hashes(raw, starts, ends), return_index=True, return_inverse=True)
     data = raw.tobytes()
-    units = [data[a:b].decode().replace(" ", BLANK) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    units = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    if units and b"\0" not in data:        # all at once, with a mark between them
+        units = b"\0".join(units).decode().replace(" ", BLANK).split("\0")
+    else:
+        units = [u.decode().replace(" ", BLANK) for u in units]
     return units, number, np.diff(np.searchsorted(starts, offs))
 
 
@@ -459,7 +463,7 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         pa.array(log_prob[rows]), pa.array(value[rows]), pa.array(chance), pa.array(ok, pa.bool_())],
                         names=["id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "decodes"])
                 del texts, plain, ranked, best_left, ids, start, length, log_prob, value, live, rows, offs, flat, ok, chance
-                release()
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = narrow.mapInArrow(run, f"id {kind}, rank int, ids array<int>, n_pieces long, log_prob double, perturbed double, inclusion double, decodes boolean")

@@ -93,3 +93,11 @@ def test_deep_pages_parse_in_linear_time():
         start = time.process_time()
         Page(page).features()
         assert time.process_time() - start < 3, page[:12]
+
+
+def test_units_of_texts_with_and_without_zero_characters():
+    from shelfwise.llm.piece_sampling import units_of
+    for text in ("a  b\nc é", "a\0 b\0\0c", "", "\0", "   ", "x"):
+        units, number, _ = units_of([text])
+        joined = "".join(units[k] for k in number)
+        assert joined.replace("▁", " ").strip(" ") == text.strip(" ")
