@@ -51,6 +51,37 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - counts), counts)
 
 
+class Places:
+    """Where each of some distinct 64-bit keys stands among them: an open table with free places."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = _U(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.table = np.full((1 << (64 - int(self.shift))) + len(keys) + 1, -1, np.int32)
+        for k, place in enumerate(self._first(keys).tolist()):
+            while self.table[place] >= 0:
+                place += 1
+            self.table[place] = k
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        return (((h ^ (h >> _U(31))) * _MUL) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are keys (ascending), and their numbers."""
+        place = self._first(h)
+        at, found = np.arange(len(h)), np.full(len(h), -1, np.int32)
+        while len(at):
+            k = self.table[place]
+            taken = np.flatnonzero(k >= 0)     # a free place ends the search
+            at, place, k = at[taken], place[taken], k[taken]
+            same = self.keys[k] == h[at]
+            found[at[same]] = k[same]
+            more = np.flatnonzero(~same)
+            at, place = at[more], place[more] + 1
+        seen = np.flatnonzero(found >= 0)
+        return seen, found[seen]
+
+
 class Pieces:
     """The vocabulary as hash tables by piece length."""
 
@@ -78,11 +109,11 @@ class Pieces:
         self.text_size = np.array([len(t) for t in self.text], np.int64)
         self.text_first = np.cumsum(self.text_size) - self.text_size
         self.longest = max(by_length)
-        self.tables = {}                   # by length: hashes, piece or -1, whether longer pieces begin so
+        self.tables = {}                   # by length: places of the hashes, piece or -1, whether longer pieces begin so
         for size in range(1, self.longest + 1):
             own, begun = dict(by_length.get(size, [])), starts.get(size, set())
             keys = sorted(own.keys() | begun)
-            self.tables[size] = (np.array(keys, _U), np.array([own.get(h, -1) for h in keys], np.int32),
+            self.tables[size] = (Places(np.array(keys, _U)), np.array([own.get(h, -1) for h in keys], np.int32),
                                  np.array([h in begun for h in keys], bool))
         self.weight = (-sharpness * np.log(2.0 + np.arange(n))).astype(np.float64)
         self.byte_weight = -sharpness * float(np.log(2.0 + n))
@@ -127,9 +158,8 @@ class Lattice:
                 break
             h = h * _MUL + code[at + k - 1]
             keys, ids, begun = pieces.tables[k]
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            seen = np.flatnonzero(keys[place] == h)
-            at, h, place = at[seen], h[seen], place[seen]
+            seen, place = keys.find(h)
+            at, h = at[seen], h[seen]
             ids = ids[place]
             good = np.flatnonzero(ids >= 0)
             hits.append((k, at[good], ids[good], pieces.weight[ids[good]]))
@@ -191,6 +221,7 @@ class Lattice:
             self.upto[e] += self.upto[e - 1]
             rank += 1
             at = at[self.count[at] > rank]
+        self.unlikely = bool((self.chance <= 0).any())
         some = self.count > 0
         self.upto[self.first[some] + self.count[some] - 1] = 2.0       # rounding never leaves a draw without an edge
 
@@ -201,7 +232,7 @@ class Lattice:
         while len(more):
             e[more] += 1
             more = more[u[more] >= self.upto[e[more]]]
-        for k in np.flatnonzero(self.chance[e] <= 0):      # rounding again
+        for k in np.flatnonzero(self.chance[e] <= 0) if self.unlikely else ():     # rounding again
             e[k] = self.first[at[k]] + int(np.argmax(self.chance[self.first[at[k]]:self.first[at[k]] + self.count[at[k]]]))
         return e
 
@@ -246,9 +277,9 @@ def _salt(n: int) -> np.uint64:
     return _U((n * int(_MUL)) % (1 << 64))
 
 
-def _draw(key: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform in (0, 1) from hashes."""
-    h = mix(mix(key + _salt(salt)) ^ (a.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + b.astype(_U) * _U(0x165667B19E3779F9)))
+def _draw(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Uniform in (0, 1) from hashes; ``key`` comes salted and mixed."""
+    h = mix(key ^ (a.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + b.astype(_U) * _U(0x165667B19E3779F9)))
     return ((h >> _U(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 
 
@@ -263,7 +294,7 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
     base, end = lattice.base[unit], lattice.end[unit]
     keys = mix(keys.astype(_U) + _salt(seed))
 
-    log_tau = np.log(-np.log(_draw(keys, np.zeros(rows), np.zeros(rows), 1)))
+    log_tau = np.log(-np.log(_draw(mix(keys + _salt(1)), np.zeros(rows), np.zeros(rows))))
     # A node: the path and decision where it leaves its parent, and the edges (bits) taken there so far.
     parent = np.zeros(rows, np.int64)
     keep = np.zeros(rows, np.int64)
@@ -294,19 +325,22 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
             pos[lead[turn]] = lattice.pos[store["edge"][node[turn]]]
         owner = row_of[act]
         which = np.arange(len(act))
+        salted, nth = mix(keys + _salt(16 + r))[owner], act - first[owner]
+        start, stop = base[act], end[act]
         steps: list[tuple] = []
         count = np.zeros(len(act), np.int64)
         while len(which):
             at = pos[which]
-            u = _draw(keys[owner[which]], act[which] - first[owner[which]], at - base[act[which]], 16 + r)
+            u = _draw(salted[which], nth[which], at - start[which])
             e = lattice.take(at, u)
             if not steps and r:            # what the parent and its siblings took is barred
                 for d, k in zip(turn.tolist(), lead[turn].tolist()):
                     e[k] = lattice.take_other(int(at[k]), int(barred[d]), float(u[k]))
             steps.append((which, e))
             count[which] += 1
-            pos[which] = at + lattice.size[e]
-            which = which[pos[which] < end[act[which]]]
+            at = at + lattice.size[e]
+            pos[which] = at
+            which = which[at < stop[which]]
         slot = np.cumsum(count) - count
         edge = np.zeros(int(count.sum()), np.int64)
         for k, (which, e) in enumerate(steps):
@@ -352,18 +386,17 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
                 options[k] -= int(barred[d]).bit_count()
         some = np.flatnonzero(options > 0)     # where one edge is left, nothing leaves the path
         opened, row, e, at = opened[some], row[some], e[some], at[some]
-        mass = np.log(np.maximum(away[some], 1e-300)) + (sums[opened] - sums[path_from[row]]) / FIXED
         unit_at = path["unit"][opened]
-        wait = np.log(-np.log(_draw(keys[row], unit_at - first[row], at - base[unit_at], 4096 + r)))
-        clock = np.logaddexp(log_tau[row], wait - mass)
+        wait = -np.log(_draw(mix(keys + _salt(4096 + r))[row], unit_at - first[row], at - base[unit_at]))
+        delay = np.log(wait / np.maximum(away[some], 1e-300)) - (sums[opened] - sums[path_from[row]]) / FIXED
         groups = np.searchsorted(row, np.arange(rows + 1))
         full = np.flatnonzero(np.diff(groups))
         for _ in range(samples - r):       # the earliest of each row, as many as may still be taken
             if not len(full):
                 break
             low = np.full(rows, np.inf)
-            low[full] = np.minimum.reduceat(clock, groups[full])
-            hit = np.flatnonzero((clock == low[row]) & np.isfinite(clock))
+            low[full] = np.minimum.reduceat(delay, groups[full])
+            hit = np.flatnonzero((delay == low[row]) & np.isfinite(delay))
             rows_hit, one = np.unique(row[hit], return_index=True)
             hit = hit[one]
             if not len(hit):
@@ -371,8 +404,8 @@ def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, samples: int = SA
             place = opened[hit] - path_from[rows_hit]
             bits = np.int64(1) << (e[hit] - lattice.first[at[hit]])
             bits = np.where(place == kept[rows_hit], bits | barred[rows_hit], bits)
-            pool.append((rows_hit, clock[hit], np.full(len(hit), r), place, bits))
-            clock[hit] = np.inf
+            pool.append((rows_hit, np.logaddexp(log_tau[rows_hit], delay[hit]), np.full(len(hit), r), place, bits))
+            delay[hit] = np.inf
         # The earliest open prefix of every row is searched next.
         live = np.zeros(rows, bool)
         if pool:
@@ -397,12 +430,14 @@ def _results(pieces: Pieces, lattice: Lattice, out: list) -> list:
         ids = lattice.piece[edge]
         as_bytes = np.flatnonzero(ids == -2)
         if len(as_bytes):                  # characters outside the vocabulary become their bytes
-            spelled = [pieces.byte_ids[list(chr(c).encode())] for c in lattice.code[lattice.pos[edge[as_bytes]]].tolist()]
+            codes, which = np.unique(lattice.code[lattice.pos[edge[as_bytes]]], return_inverse=True)
+            spelled = [pieces.byte_ids[list(chr(c).encode())] for c in codes.tolist()]
+            size = np.array([len(s) for s in spelled], np.int64)
             many = np.ones(len(ids), np.int64)
-            many[as_bytes] = [len(s) for s in spelled]
+            many[as_bytes] = size[which]
             place = np.cumsum(many) - many
             wide = np.repeat(ids, many)
-            wide[spread(place[as_bytes], many[as_bytes])] = np.concatenate(spelled)
+            wide[spread(place[as_bytes], size[which])] = np.concatenate(spelled)[spread((np.cumsum(size) - size)[which], size[which])]
             sums = np.concatenate([[0], np.cumsum(many)])
             path_from, length, ids = sums[path_from], sums[path_from + length] - sums[path_from], wide
         ranked.append((ids, path_from, length, log_prob, value, live))
