@@ -109,12 +109,13 @@ class Pieces:
         self.text_size = np.array([len(t) for t in self.text], np.int64)
         self.text_first = np.cumsum(self.text_size) - self.text_size
         self.longest = max(by_length)
-        self.tables = {}                   # by length: places of the hashes, piece or -1, whether longer pieces begin so
+        self.tables = {}                   # by length: hashes, piece or -1, whether longer pieces begin so
         for size in range(1, self.longest + 1):
             own, begun = dict(by_length.get(size, [])), starts.get(size, set())
             keys = sorted(own.keys() | begun)
-            self.tables[size] = (Places(np.array(keys, _U)), np.array([own.get(h, -1) for h in keys], np.int32),
+            self.tables[size] = (np.array(keys, _U), np.array([own.get(h, -1) for h in keys], np.int32),
                                  np.array([h in begun for h in keys], bool))
+        self.places = {size: Places(keys) for size, (keys, _, _) in self.tables.items()}
         self.weight = (-sharpness * np.log(2.0 + np.arange(n))).astype(np.float64)
         self.byte_weight = -sharpness * float(np.log(2.0 + n))
 
@@ -157,8 +158,8 @@ class Lattice:
             if not len(at):
                 break
             h = h * _MUL + code[at + k - 1]
-            keys, ids, begun = pieces.tables[k]
-            seen, place = keys.find(h)
+            _, ids, begun = pieces.tables[k]
+            seen, place = pieces.places[k].find(h)
             at, h = at[seen], h[seen]
             ids = ids[place]
             good = np.flatnonzero(ids >= 0)
