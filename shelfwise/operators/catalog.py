@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import exact_mean, round_half_up
@@ -123,15 +123,23 @@ def page(df: DataFrame, sort: str, id_col: str, size: int, after=None, descendin
     Rows without a sort value come last in either direction, so a value is followed by them and
     a missing value only by greater ids among them.  Ids ascend within equal values.
     """
-    c, i = F.col(sort), F.col(id_col)
     if after is not None:
-        value, last = after
-        if value is None:
-            df = df.filter(c.isNull() & (i > F.lit(last)))
-        else:
-            beyond = c < F.lit(value) if descending else c > F.lit(value)
-            df = df.filter(beyond | ((c == F.lit(value)) & (i > F.lit(last))) | c.isNull())
-    return df.orderBy(F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort), F.asc(id_col)).limit(size)
+        df = df.filter(beyond(sort, id_col, after, descending))
+    return df.orderBy(*page_order(sort, id_col, descending)).limit(size)
+
+
+def page_order(sort: str, id_col: str, descending: bool) -> list[Column]:
+    """The order of a paged listing."""
+    return [F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort), F.asc(id_col)]
+
+
+def beyond(sort: str, id_col: str, after, descending: bool) -> Column:
+    """Whether a row comes after the key ``after`` = (sort value, id) in a paged listing."""
+    (value, last), c, i = after, F.col(sort), F.col(id_col)
+    if value is None:
+        return c.isNull() & (i > F.lit(last))
+    further = c < F.lit(value) if descending else c > F.lit(value)
+    return further | ((c == F.lit(value)) & (i > F.lit(last))) | c.isNull()
 
 
 def permissions(pairs: DataFrame, f: DataFrame, u: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from shelfwise.operators import accounts as A
 from shelfwise.operators import rates as R
 from shelfwise.plans.oracle_views import AS_OF, EPOCH, with_views
 from shelfwise.plans.registry import register
+from shelfwise.session import checkpoint_table, scratch_path
+from shelfwise.sources.keyed_files import lookup_listed, write_for_lookup
 from shelfwise.sources.tables import load, view
 
 _STATUS_SQL = f"""CASE WHEN coalesce(u.disabled, false) OR coalesce(u.locked <> 0 AND u.locked > {{clock}} - 300, false)
@@ -25,6 +27,19 @@ def prj05_lookup(spark, d):
     return A.lookup(f, keys, "function_id")
 
 
+@register("prj05_lookup_files", with_views("""
+SELECT k.user_id, u.username, u.admin, u.user_id IS NOT NULL AS found
+FROM (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM auth_events WHERE user_id IS NOT NULL GROUP BY user_id)
+      ORDER BY n DESC, user_id LIMIT 100) k LEFT JOIN users u ON u.user_id = k.user_id""", "auth_events", "users"))
+def prj05_lookup_files(spark, d):
+    # The hundred busiest accounts, looked up in files made for it.
+    path = scratch_path(spark, "users")
+    write_for_lookup(view(spark, d, "users").select("user_id", "username", "admin"), path, "user_id")
+    busiest = view(spark, d, "auth_events").where("user_id IS NOT NULL").groupBy("user_id").count() \
+        .orderBy(F.desc("count"), "user_id").limit(100).select("user_id")
+    return lookup_listed(spark.read.parquet(path), checkpoint_table(busiest, "busiest"), "user_id")
+
+
 @register("prj06_lock_active", with_views(f"""
 SELECT user_id, locked, coalesce(locked <> 0 AND locked > {AS_OF - 300}, false) AS lock_active FROM users""",
     "users"))

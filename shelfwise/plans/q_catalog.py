@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shelfwise.operators import catalog as C
 from shelfwise.plans.oracle_views import AS_OF, with_views
 from shelfwise.plans.registry import register
+from shelfwise.session import scratch_path
+from shelfwise.sources.listing import Listing
 from shelfwise.sources.tables import view
 
 # Exact half-up rounding of sum/n to d digits with integer arithmetic (oracle side).
@@ -243,3 +245,34 @@ def srt02_page_average(spark, d):
 def srt02_page_average_desc(spark, d):
     # The same, downwards.
     return _walk(_rated(spark, d), "average", True, [None, (3.0, 20), (1.1, 0), (None, 30)])
+
+
+def _listing_sql(order: str) -> str:
+    return with_views(_RANKED + f"""
+n AS (SELECT *, row_number() OVER (ORDER BY {order}, function_id) - 1 AS place FROM c)
+SELECT function_id, name, average, CAST(place // 50 AS INTEGER) AS page FROM n WHERE place < 200""", "functions", "ratings")
+
+
+def _listing_pages(spark, d, descending):
+    """The first four pages of a listing, each after the last row of the one before."""
+    listing = Listing.build(_rated(spark, d), scratch_path(spark, "listing"), "average", "function_id", descending)
+    out, after = None, None
+    for i in range(4):
+        p = listing.page(50, after).withColumn("page", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+        last = p.select("average", "function_id").tail(1)
+        if not last:
+            break
+        after = tuple(last[0])
+    return out
+
+
+@register("srt02_listing", _listing_sql("average NULLS LAST"))
+def srt02_listing(spark, d):
+    # The catalog by average, written once; a page opens the ranges that hold it.
+    return _listing_pages(spark, d, False)
+
+
+@register("srt02_listing_desc", _listing_sql("average DESC NULLS LAST"))
+def srt02_listing_desc(spark, d):
+    return _listing_pages(spark, d, True)
