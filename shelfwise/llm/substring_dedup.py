@@ -11,7 +11,9 @@ go to a bucket of their document.  Where a run straddles the start of a common p
 each document's own, so a minimiser that ``HOT_RUNS`` documents or more hold, as a sample of whole
 documents estimates, does not gather its runs: each of its windows goes by its own hash, as 128 bits
 without text, and per slice only the least document's.  Which minimisers are hot is known before any
-text is packed, so equal windows still meet; the sample decides on routes, never on results.  What
+text is packed, as a filter of fixed size: ``HOT_RUNS`` grows with the input beyond some 1.3 TB, so that
+no more than about ``MOST_HOT`` are.  Tasks ask the same filter, so equal windows still meet, also those of
+a minimiser that it takes for hot by mistake; sample and filter decide on routes, never on results.  What
 still gathers is one window in many rows that share one id.
 
 Null and empty texts have no words and nothing removed.  Rows that share an id count as one document
@@ -39,10 +41,38 @@ EXPANSION = 3.1            # packed bytes for each byte of text
 HOT_RUNS = 2048            # documents with one minimiser from which its windows are dealt one by one
 SAMPLE_BYTES = 64 << 20    # text whose minimisers are counted for that, at least ...
 SAMPLE_HITS = 16           # ... and so much that a hot one is expected this often
+MOST_HOT = 1 << 22         # minimisers that may be hot: with more text, more documents make a hot one
+RUN_BYTES = 150            # text for each minimiser of a document, on average
+FILTER_LOG = 26            # places of the filter of hot minimisers: at most 8 MB, whatever the input
 MAX_ID = (1 << 63) - 1
 _U = np.uint64
 RANGES = "doc long, text_key long, start int, stop int"
-NO_HOT = np.zeros(0, _U)
+
+
+class Hot:
+    """The minimisers taken for hot: words of a bitmap over their last ``FILTER_LOG`` bits.  Words without
+    a bit are not stored."""
+
+    def __init__(self, index: np.ndarray, words: np.ndarray):
+        order = np.argsort(index)
+        self.index, self.words = index[order].astype(np.int64), words[order].view(_U)
+
+    def __contains__(self, least: int) -> bool:
+        return bool(self.test(np.array([least], _U))[0])
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def test(self, least: np.ndarray) -> np.ndarray:
+        if not len(self.index):
+            return np.zeros(len(least), bool)
+        spot = least & _U((1 << FILTER_LOG) - 1)
+        at = np.minimum(np.searchsorted(self.index, (spot >> _U(6)).astype(np.int64)), len(self.index) - 1)
+        found = self.index[at] == (spot >> _U(6)).astype(np.int64)
+        return found & ((self.words[at] >> (spot & _U(63))) & _U(1)).astype(bool)
+
+
+NO_HOT = Hot(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -135,7 +165,7 @@ def _by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
 
 
-def pack_slice(doc: np.ndarray, key: np.ndarray, arr: pa.Array, buckets: int, k: int = WINDOW, hot: np.ndarray = NO_HOT) -> Iterator[tuple[int, bytes]]:
+def pack_slice(doc: np.ndarray, key: np.ndarray, arr: pa.Array, buckets: int, k: int = WINDOW, hot: Hot = NO_HOT) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed super-k-mers) of a slice.  ``meta`` holds id, text key, first word, and windows;
     windows are negative for runs that are already decided (removed), which carry no text.  ``hot`` are
     the minimisers whose windows are dealt one by one."""
@@ -143,7 +173,7 @@ def pack_slice(doc: np.ndarray, key: np.ndarray, arr: pa.Array, buckets: int, k:
     at, count, row, least, first, last = super_kmers(w, k)
     if not len(at):
         return
-    often = np.isin(least, hot)
+    often = hot.test(least)
     settled = tuple(np.zeros(0, np.int64) for _ in range(3))
     if often.any():
         n = count[often]
@@ -207,9 +237,16 @@ def count_bucket(blobs: list[bytes], k: int = WINDOW) -> list[np.ndarray]:
     return ranges_of(doc[hit], key[hit], place[hit], k)
 
 
-def hot_minimisers(narrow: DataFrame, total: int, k: int = WINDOW) -> np.ndarray:
-    """Minimisers that about ``HOT_RUNS`` rows or more hold, counted in a sample of rows, in order."""
-    share = min(1.0, max(SAMPLE_BYTES / max(total, 1), SAMPLE_HITS / HOT_RUNS))
+def hot_runs(total: int) -> int:
+    """How many documents make a minimiser hot: so many that ``total`` bytes have ``MOST_HOT`` such at most."""
+    return max(HOT_RUNS, total // (RUN_BYTES * MOST_HOT))
+
+
+def hot_minimisers(narrow: DataFrame, total: int, k: int = WINDOW) -> Hot:
+    """Minimisers that about ``hot_runs`` rows or more hold, counted in a sample of rows.  What comes to the
+    driver are words of the filter: 16 MB at most."""
+    runs = hot_runs(total)
+    share = min(1.0, max(SAMPLE_BYTES / max(total, 1), SAMPLE_HITS / runs))
     few = narrow.select("text")
     if share < 1.0:
         few = few.sample(False, share, seed=k)
@@ -225,9 +262,11 @@ def hot_minimisers(narrow: DataFrame, total: int, k: int = WINDOW) -> np.ndarray
                 found, n = np.unique(least[new], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"least": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    often = (few.mapInArrow(held, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= F.lit(HOT_RUNS * share)).select("least").collect())
-    return np.sort(np.array([r["least"] for r in often], dtype=np.int64).view(_U))
+    spot = F.col("least").bitwiseAND(F.lit((1 << FILTER_LOG) - 1))
+    words = (few.mapInArrow(held, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= F.lit(runs * share)).select(F.shiftright(spot, 6).alias("index"), spot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+             .groupBy("index").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).toArrow())
+    return Hot(words.column("index").to_numpy(), words.column("word").to_numpy())
 
 
 def _row_key(id_col: str) -> Column:

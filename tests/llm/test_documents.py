@@ -362,3 +362,33 @@ def test_token_counts_on_odd_rows(odd_docs, odd_rows, no_docs, encoder):
         assert r["n_tokens"] == len(encoder.encode_ordinary(r["text"])) == sum(r["tree"]["tokens"])
     assert token_counts.edited_counts(odd_docs).count() == len(odd_rows)
     assert token_counts.edited_counts(no_docs).count() == 0
+
+
+def test_hot_minimisers_are_a_filter_of_fixed_size(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    common = " ".join(f"c{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{common} own {i} " + " ".join(f"w{i}x{j}" for j in range(55))) for i in range(300)], "doc long, text string")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 100)
+    hot = substring_dedup.hot_minimisers(docs, total)
+    w = substring_dedup.Words(*substring_dedup.buffers(pa.array([common])))
+    assert hot.test(np.unique(substring_dedup.super_kmers(w)[3])).all()
+    assert 1 <= len(hot) <= 60             # the common passage's and its edge's, no document's own
+    none = substring_dedup.hot_minimisers(docs.limit(0), 0)
+    assert len(none) == 0 and not none.test(np.arange(9, dtype=np.uint64)).any() and 7 not in none
+    # With twice the text, a hot minimiser takes twice the documents: the number of hot ones stays.
+    monkeypatch.undo()
+    big = substring_dedup.RUN_BYTES * substring_dedup.MOST_HOT * substring_dedup.HOT_RUNS
+    assert substring_dedup.hot_runs(big // 2) == substring_dedup.hot_runs(big) == substring_dedup.HOT_RUNS
+    for size in (2 * big, 100 * big):
+        assert size / substring_dedup.RUN_BYTES / substring_dedup.hot_runs(size) <= substring_dedup.MOST_HOT * 1.001
+    # All bits, the last too, come back from the words.
+    keys = np.array([0, 63, (1 << 26) - 1, (1 << 64) - 1, 1 << 40], dtype=np.uint64)
+    spot = keys & np.uint64((1 << 26) - 1)
+    index, inverse = np.unique(spot >> np.uint64(6), return_inverse=True)
+    words = np.zeros(len(index), np.uint64)
+    np.bitwise_or.at(words, inverse, np.uint64(1) << (spot & np.uint64(63)))
+    all_of = substring_dedup.Hot(index.astype(np.int64), words.view(np.int64))
+    assert all_of.test(keys).all() and not all_of.test(np.array([1, 62, 64], np.uint64)).any()
